@@ -31,8 +31,13 @@ class Params:
         return cls(*[F.col(f"{prefix}{name}") for name in PARAMETERS])
 
 
+def _over(top: Column, bottom: Column) -> Column:
+    """Division that gives null, not an error, on a zero parameter."""
+    return F.try_divide(top, bottom)
+
+
 def _milkbot(t: Column, p: Params) -> Column:
-    return p.a * (1 - F.exp((p.c - t) / p.b) / 2) * F.exp(-p.d * t)
+    return p.a * (1 - F.exp(_over(p.c - t, p.b)) / 2) * F.exp(-p.d * t)
 
 
 def _wood(t: Column, p: Params) -> Column:
@@ -62,7 +67,7 @@ def _sikka(t: Column, p: Params) -> Column:
 
 
 def _nelder(t: Column, p: Params) -> Column:
-    return t / (p.a + p.b * t + p.c * t * t)
+    return _over(t, p.a + p.b * t + p.c * t * t)
 
 
 def _dhanoa(t: Column, p: Params) -> Column:
@@ -74,19 +79,19 @@ def _emmans(t: Column, p: Params) -> Column:
 
 
 def _hayashi(t: Column, p: Params) -> Column:
-    return p.b * (F.exp(-t / p.c) - F.exp(-t / (p.a * p.c)))
+    return p.b * (F.exp(_over(-t, p.c)) - F.exp(_over(-t, p.a * p.c)))
 
 
 def _rook(t: Column, p: Params) -> Column:
-    return p.a * (1 / (1 + p.b / (p.c + t))) * F.exp(-p.d * t)
+    return p.a * _over(F.lit(1.0), 1 + _over(p.b, p.c + t)) * F.exp(-p.d * t)
 
 
 def _dijkstra(t: Column, p: Params) -> Column:
-    return p.a * F.exp(p.b * (1 - F.exp(-p.c * t)) / p.c - p.d * t)
+    return p.a * F.exp(_over(p.b * (1 - F.exp(-p.c * t)), p.c) - p.d * t)
 
 
 def _prasad(t: Column, p: Params) -> Column:
-    return p.a + p.b * t + p.c * t * t + p.d / t
+    return p.a + p.b * t + p.c * t * t + _over(p.d, t)
 
 
 MODELS: dict[str, Callable[[Column, Params], Column]] = {
@@ -132,25 +137,26 @@ def peak_day_closed(model: str, params: Params | None = None) -> Column:
     """Day of the peak where a formula exists, else null."""
     p = params or Params.of()
     if model == "wood":
-        return p.b / p.c
+        return _over(p.b, p.c)
     if model == "milkbot":
-        return p.c - p.b * F.ln(2 * p.b * p.d / (1 + p.b * p.d))
+        return p.c - p.b * F.ln(_over(2 * p.b * p.d, 1 + p.b * p.d))
     if model == "fischer":
-        return F.ln(p.a * p.c / p.b) / p.c
+        return _over(F.ln(_over(p.a * p.c, p.b)), p.c)
     if model == "wilmink":
-        return F.ln(-p.b / (p.c * p.k)) / p.k
+        return _over(F.ln(_over(-p.b, p.c * p.k)), p.k)
     return F.lit(None).cast("double")
 
 
 def lower_gamma(s: Column, x: Column, terms: int = 400) -> Column:
     """Lower incomplete gamma by its power series, all terms positive for x >= 0."""
-    start = F.struct((1 / s).alias("term"), (1 / s).alias("total"))
+    first = _over(F.lit(1.0), s)
+    start = F.struct(first.alias("term"), first.alias("total"))
     summed = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)),
         start,
         lambda acc, i: F.struct(
-            (acc["term"] * x / (s + i)).alias("term"),
-            (acc["total"] + acc["term"] * x / (s + i)).alias("total"),
+            _over(acc["term"] * x, s + i).alias("term"),
+            (acc["total"] + _over(acc["term"] * x, s + i)).alias("total"),
         ),
     )
     return F.pow(x, s) * F.exp(-x) * summed["total"]
@@ -163,13 +169,14 @@ def integral_closed(model: str, length: Column, params: Params | None = None) ->
     if model == "wood":
         return p.a * F.pow(p.c, -(p.b + 1)) * lower_gamma(p.b + 1, p.c * T)
     if model == "wilmink":
-        return p.a * T + p.b * T * T / 2 + p.c / p.k * (F.exp(p.k * T) - 1)
+        return p.a * T + p.b * T * T / 2 + _over(p.c, p.k) * (F.exp(p.k * T) - 1)
     if model == "fischer":
-        return p.a * T - p.b * T * T / 2 - p.a / p.c * (1 - F.exp(-p.c * T))
+        return p.a * T - p.b * T * T / 2 - _over(p.a, p.c) * (1 - F.exp(-p.c * T))
     if model == "milkbot":
-        fast = p.d + 1 / p.b
+        fast = p.d + _over(F.lit(1.0), p.b)
         return p.a * (
-            (1 - F.exp(-p.d * T)) / p.d - F.exp(p.c / p.b) / 2 * (1 - F.exp(-fast * T)) / fast
+            _over(1 - F.exp(-p.d * T), p.d)
+            - F.exp(_over(p.c, p.b)) / 2 * _over(1 - F.exp(-fast * T), fast)
         )
     if model == "ali_schaeffer":
         h = float(HORIZON)
@@ -189,4 +196,4 @@ def persistency_wood(b: Column, c: Column) -> Column:
 
 
 def persistency_milkbot(d: Column) -> Column:
-    return F.lit(0.693) / d
+    return _over(F.lit(0.693), d)

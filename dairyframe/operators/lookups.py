@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dairyframe.operators.skew import join_lookup
+
 # Published prior mean and standard deviation per parity group 1, 2, 3 and later.
 PRIORS: dict[int, dict[str, tuple[float, float]]] = {
     1: {"scale": (34.11, 7.0), "ramp": (29.96, 3.0), "decay": (0.001835, 0.000738), "offset": (-0.5, 0.02)},
@@ -44,14 +46,16 @@ def with_owner(records: DataFrame, users: DataFrame, organizations: DataFrame) -
     """Records with user and organization names, both optional.
 
     ``users``: user_id, user_name, user_email; ``organizations``: organization_id, organization_name.
-    No broadcast is forced: the planner broadcasts a side it has measured to be small.
+    One user or organization may own a large share of the records, hence the balanced lookups.
     """
-    return records.join(users, "user_id", "left").join(organizations, "organization_id", "left")
+    named = join_lookup(records, users, ["user_id"])
+    return join_lookup(named, organizations, ["organization_id"])
 
 
 def members_of(memberships: DataFrame, users: DataFrame, organizations: DataFrame) -> DataFrame:
     """One row per membership with both names, inner on both sides."""
-    return memberships.join(users, "user_id").join(organizations, "organization_id")
+    named = join_lookup(memberships, users, ["user_id"], "inner")
+    return join_lookup(named, organizations, ["organization_id"], "inner")
 
 
 def memberships_per_user(members: DataFrame) -> DataFrame:
@@ -78,8 +82,8 @@ def hierarchical_stats(
     """Statistics by (herd, parity), else herd, else parity, else global, plus the level used.
 
     ``records``: herd_id and parity of any type, optionally ``stats`` (kept when given, level 0).
-    The tables carry ``stats MAP<STRING, DOUBLE>`` unique per key. Herd tables grow with the data and
-    are joined without a hint; the parity table is folded to a handful of rows by its key.
+    The tables carry ``stats MAP<STRING, DOUBLE>`` unique per key. A herd or parity may hold a large
+    share of the records, hence the balanced lookups.
     """
     keyed = records.withColumns({"_h": as_int(F.col("herd_id")), "_p": as_int(F.col("parity"))})
     given = F.col("stats") if "stats" in records.columns else F.lit(None).cast("map<string,double>")
@@ -89,7 +93,8 @@ def hierarchical_stats(
     )
     herd = per_herd.select(F.col("herd_id").cast("bigint").alias("_h"), F.col("stats").alias("_s2"))
     parity = per_parity.select(F.col("parity").cast("bigint").alias("_p"), F.col("stats").alias("_s3"))
-    joined = keyed.join(pair, ["_h", "_p"], "left").join(herd, "_h", "left").join(parity, "_p", "left")
+    joined = join_lookup(keyed, pair, ["_h", "_p"])
+    joined = join_lookup(join_lookup(joined, herd, ["_h"]), parity, ["_p"])
     fallback = F.create_map(*[F.lit(x) for item in overall.items() for x in item])
     level = (
         F.when(F.col("_given").isNotNull(), 0)

@@ -6,7 +6,7 @@ The Wilmink form used everywhere is the fitted one, ``a + b*t + c*exp(k*t)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -124,10 +124,12 @@ def brody_two_term(t: Column, a: Column, b: Column, k1: Column, k2: Column) -> C
     return a * F.exp(-k1 * t) - b * F.exp(-k2 * t)
 
 
-def curve_by_name(model: Column, t: Column, params: Params | None = None) -> Column:
-    """Like :func:`curve` for a table that mixes models; unknown names give null."""
+def curve_by_name(
+    model: Column, t: Column, params: Params | None = None, models: Sequence[str] | None = None
+) -> Column:
+    """Like :func:`curve` for a table that mixes ``models`` (default all); unknown names give null."""
     picked = None
-    for name in MODELS:
+    for name in models or MODELS:
         value = curve(name, t, params)
         picked = F.when(model == name, value) if picked is None else picked.when(model == name, value)
     return picked
@@ -147,12 +149,16 @@ def peak_day_closed(model: str, params: Params | None = None) -> Column:
     return F.lit(None).cast("double")
 
 
-def lower_gamma(s: Column, x: Column, terms: int = 400) -> Column:
-    """Lower incomplete gamma by its power series, all terms positive for x >= 0."""
+def lower_gamma(s: Column, x: Column) -> Column:
+    """Lower incomplete gamma by its power series, all terms positive for x >= 0.
+
+    Terms shrink once their index passes x, so the count follows x.
+    """
+    terms = F.greatest(F.lit(30), F.ceil(x + 12 * F.sqrt(x) + 30)).cast("int")
     first = _over(F.lit(1.0), s)
     start = F.struct(first.alias("term"), first.alias("total"))
     summed = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
+        F.sequence(F.lit(1), terms),
         start,
         lambda acc, i: F.struct(
             _over(acc["term"] * x, s + i).alias("term"),

@@ -8,6 +8,7 @@ where a closed form is missing or unusable; nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,7 +21,10 @@ CLOSED_TOTAL = ("wood", "wilmink", "fischer", "milkbot", "ali_schaeffer")
 CHARACTERISTICS = ("time_to_peak", "peak_yield", "cumulative_milk_yield", "persistency")
 
 
-def _by_model(models: Sequence[str], value: Callable[[str], Column]) -> Column:
+def _by_model(known: Sequence[str], value: Callable[[str], Column], present: Sequence[str] | None) -> Column:
+    models = [m for m in known if present is None or m in present]
+    if not models:
+        return F.lit(None).cast("double")
     picked = F.when(F.col("model") == models[0], value(models[0]))
     for name in models[1:]:
         picked = picked.when(F.col("model") == name, value(name))
@@ -40,13 +44,15 @@ def characteristics_from_params(
     *,
     length: int | str = curves.HORIZON,
     persistency: str = "derived",
+    models: Sequence[str] | None = None,
 ) -> DataFrame:
     """Key columns, model, time_to_peak, peak_yield, cumulative_milk_yield, persistency.
 
     ``length`` is the horizon of the total and the end of the persistency slope: a number of days, or
     'max' for each lactation's own last day. Negative values become null, except persistency, which is
     null only when the end day is the peak day. ``persistency='literature'`` uses the published
-    formulas and needs wood or milkbot rows.
+    formulas and needs wood or milkbot rows. ``models`` names the models that occur, which keeps the
+    expressions short.
     """
     fitting_options = ("derived", "literature")
     if persistency not in fitting_options:
@@ -59,7 +65,7 @@ def characteristics_from_params(
     horizon = F.greatest(F.lit(curves.HORIZON), last.cast("int"), end)
     p = Params.of()
     daily = F.transform(
-        F.sequence(F.lit(1), F.col("_horizon")), lambda t: curves.curve_by_name(F.col("model"), t, p)
+        F.sequence(F.lit(1), F.col("_horizon")), lambda t: curves.curve_by_name(F.col("model"), t, p, models)
     )
     known = F.col("a").isNotNull()
     base = params.filter(known).select(
@@ -68,10 +74,10 @@ def characteristics_from_params(
     base = base.withColumn("_y", daily).withColumn("_top", F.array_max("_y"))
     base = base.withColumn("_day", F.array_position("_y", F.col("_top")).cast("int"))
 
-    closed_day = _usable(_by_model(CLOSED_PEAK, lambda m: curves.peak_day_closed(m, p)))
+    closed_day = _usable(_by_model(CLOSED_PEAK, lambda m: curves.peak_day_closed(m, p), models))
     base = base.withColumn("_peak", F.when(closed_day > 0, closed_day))
-    at_peak = _usable(_by_model(CLOSED_PEAK, lambda m: curves.curve(m, F.col("_peak"), p)))
-    total = _usable(_by_model(CLOSED_TOTAL, lambda m: curves.integral_closed(m, F.col("_end"), p)))
+    at_peak = _usable(_by_model(CLOSED_PEAK, lambda m: curves.curve(m, F.col("_peak"), p), models))
+    total = _usable(_by_model(CLOSED_TOTAL, lambda m: curves.integral_closed(m, F.col("_end"), p), models))
     inner = F.aggregate(F.slice("_y", 1, F.col("_end")), F.lit(0.0), lambda acc, y: acc + y)
     trapezoid = inner - (F.element_at("_y", 1) + F.element_at("_y", F.col("_end"))) / 2
     if persistency == "literature":
@@ -95,7 +101,8 @@ def calculate_characteristics(
     df: DataFrame, model: str, *, length: int | str = curves.HORIZON, persistency: str = "derived"
 ) -> DataFrame:
     """Fit one model per lactation of a test-day table and derive its characteristics."""
-    return characteristics_from_params(fitting.fit_curve(df, model), length=length, persistency=persistency)
+    fit = fitting.fit_curve(df, model)
+    return characteristics_from_params(fit, length=length, persistency=persistency, models=[model])
 
 
 def characteristics_batch(
@@ -103,11 +110,13 @@ def characteristics_batch(
 ) -> DataFrame:
     """Several models for many lactations, keyed by id; the day aggregation is shared by all fits."""
     days = fitting.weighted_days(df)
-    fits = [fitting.fit_days(days, model) for model in models]
-    stacked = fits[0]
-    for fit in fits[1:]:
-        stacked = stacked.unionByName(fit)
-    return characteristics_from_params(stacked, length=length, persistency=persistency)
+    results = [
+        characteristics_from_params(
+            fitting.fit_days(days, model), length=length, persistency=persistency, models=[model]
+        )
+        for model in models
+    ]
+    return reduce(DataFrame.unionByName, results)
 
 
 def curve_stats(values: Column) -> list[Column]:

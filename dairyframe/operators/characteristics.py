@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dairyframe.functions import curves
+from dairyframe.functions import arrays, curves
 from dairyframe.functions.curves import PARAMETERS, Params
 from dairyframe.operators import fitting
 
@@ -121,16 +121,13 @@ def characteristics_batch(
 
 def curve_stats(values: Column) -> list[Column]:
     """mean, max, min, population std and total of a predicted curve array."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, y: acc + y)
-    mean = total / n
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, y: acc + (y - mean) * (y - mean))
+    moments = arrays.moments(values)
     return [
-        mean.alias("mean_milk"),
+        moments["mean"].alias("mean_milk"),
         F.array_max(values).alias("max_milk"),
         F.array_min(values).alias("min_milk"),
-        F.sqrt(spread / n).alias("std_milk"),
-        total.alias("total_milk"),
+        moments["std"].alias("std_milk"),
+        arrays.total(values).alias("total_milk"),
     ]
 
 

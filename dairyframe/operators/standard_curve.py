@@ -22,6 +22,7 @@ GRID_DAYS = (10, 30, 50, 70, 90, 110, 130, 150, 170, 190, 210, 230, 250, 270, 29
 WIDE_GRID = (0, *GRID_DAYS, 305)
 HORIZON = 305
 INTERVAL, LAST_INTERVAL = 20, 25
+FLAT_KG = 1e-9
 
 
 @dataclass(frozen=True)
@@ -283,14 +284,15 @@ Interpolation = Callable[..., DataFrame]
 def standardized_grid(points: DataFrame) -> DataFrame:
     """Grid yields scaled per lactation to mean 0 and sample std 1: test_id, grid ARRAY<STRUCT<grid_day, z>>.
 
-    A lactation has at most as many points as the grid has days.
+    A lactation has at most as many points as the grid has days. One whose spread is below 1e-9 kg is
+    constant up to rounding and has no scaled form.
     """
     rows = points.groupBy("test_id").agg(
         F.avg("milk_kg").alias("_m"),
         F.stddev_samp("milk_kg").alias("_s"),
         F.collect_list(F.struct("grid_day", "milk_kg")).alias("_g"),
     )
-    usable = F.col("_s") > 0
+    usable = F.col("_s") > FLAT_KG
     scaled = F.transform("_g", lambda p: F.struct(p["grid_day"].alias("grid_day"), ((p["milk_kg"] - F.col("_m")) / F.col("_s")).alias("z")))
     return rows.filter(usable).select("test_id", scaled.alias("grid"))
 

@@ -140,9 +140,9 @@ def membership(spark, sf_dir):
 
 LEVEL_SQL = dict(
     y="SELECT herd_id, parity, yield_kg FROM aly JOIN cow USING (test_id)",
-    l1="SELECT herd_id, parity, round(avg(yield_kg), 4) AS v FROM y WHERE herd_id % 3 <> 0 AND parity < 5 GROUP BY 1, 2",
-    l2="SELECT herd_id, round(avg(yield_kg), 4) AS v FROM y WHERE herd_id % 4 <> 0 GROUP BY 1",
-    l3="SELECT parity, round(avg(yield_kg), 4) AS v FROM y WHERE parity <> 2 GROUP BY 1",
+    l1="SELECT herd_id, parity, round(sum(yield_kg), 2) / count(*) AS v FROM y WHERE herd_id % 3 <> 0 AND parity < 5 GROUP BY 1, 2",
+    l2="SELECT herd_id, round(sum(yield_kg), 2) / count(*) AS v FROM y WHERE herd_id % 4 <> 0 GROUP BY 1",
+    l3="SELECT parity, round(sum(yield_kg), 2) / count(*) AS v FROM y WHERE parity <> 2 GROUP BY 1",
     rec="""SELECT test_id, CASE WHEN test_id % 11 <> 0 THEN herd_id END AS herd_id, CASE WHEN test_id % 13 <> 0 THEN parity END AS parity,
                   CASE WHEN test_id % 17 = 0 THEN 1.5 END AS given FROM cow""",
 )
@@ -163,7 +163,7 @@ LEVEL_SQL = dict(
 def hierarchical(spark, sf_dir):
     cows = ds.cow(spark, sf_dir)
     rows = ds.aly(spark, sf_dir).join(cows, "test_id")
-    stats = F.create_map(F.lit("AchievedMilk"), F.round(F.avg("yield_kg"), 4)).alias("stats")
+    stats = F.create_map(F.lit("AchievedMilk"), F.round(F.sum("yield_kg"), 2) / F.count(F.lit(1))).alias("stats")
     pair = rows.filter("herd_id % 3 <> 0 AND parity < 5").groupBy("herd_id", "parity").agg(stats)
     herd = rows.filter("herd_id % 4 <> 0").groupBy("herd_id").agg(stats)
     parity = rows.filter("parity <> 2").groupBy("parity").agg(stats)

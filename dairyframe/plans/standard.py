@@ -36,15 +36,15 @@ def grid_views(grid) -> dict[str, str]:
         grid=_grid_sql(grid),
         br="""SELECT test_id, g, max(CASE WHEN dim < g THEN dim END) AS bd, min(CASE WHEN dim > g THEN dim END) AS ad,
                      max(CASE WHEN dim = g THEN first END) AS exact FROM days CROSS JOIN grid GROUP BY 1, 2""",
-        both="""SELECT br.*, b.first AS bm, a.first AS am FROM br LEFT JOIN days b ON b.test_id = br.test_id AND b.dim = bd
+        br2="""SELECT br.*, b.first AS bm, a.first AS am FROM br LEFT JOIN days b ON b.test_id = br.test_id AND b.dim = bd
                 LEFT JOIN days a ON a.test_id = br.test_id AND a.dim = ad""",
         pts=f"""SELECT * FROM (SELECT test_id, g, CASE WHEN exact IS NOT NULL THEN exact
                    WHEN bd IS NOT NULL AND ad IS NOT NULL AND ad < 305 THEN {g_sql("g")}
                      + ((am - bm) - ({g_sql("ad")} - {g_sql("bd")})) / (ad - bd) * (g - bd) + (bm - {g_sql("bd")}) END AS y
-                 FROM both) WHERE y IS NOT NULL""",
+                 FROM br2) WHERE y IS NOT NULL""",
         lin="""SELECT * FROM (SELECT test_id, g, CASE WHEN exact IS NOT NULL THEN exact
                    WHEN bd IS NOT NULL AND ad IS NOT NULL THEN bm + (am - bm) / (ad - bd) * (g - bd) END AS y
-                 FROM both) WHERE y IS NOT NULL""",
+                 FROM br2) WHERE y IS NOT NULL""",
     )
 
 
@@ -56,7 +56,7 @@ INNER = grid_views(sc.GRID_DAYS)
     "join_bracket",
     ds.with_views(
         "testday",
-        """SELECT test_id, g AS grid_day, bd AS before_day, bm AS before_milk, ad AS after_day, am AS after_milk FROM both""",
+        """SELECT test_id, g AS grid_day, bd AS before_day, bm AS before_milk, ad AS after_day, am AS after_milk FROM br2""",
         **INNER,
     ),
 )
@@ -66,20 +66,20 @@ def bracket(spark, sf_dir):
 
 @query(
     "interp_standard_curve",
-    ds.with_views("testday", "SELECT test_id, g AS grid_day, round(y, 4) AS milk_kg FROM pts", **WIDE),
+    ds.with_views("testday", "SELECT test_id, g AS grid_day, round(y, 9) AS milk_kg FROM pts", **WIDE),
 )
 def interp_standard(spark, sf_dir):
     out = sc.interp_standard_curve(ds.testday(spark, sf_dir), CURVE)
-    return out.withColumn("milk_kg", F.round("milk_kg", 4))
+    return out.withColumn("milk_kg", F.round("milk_kg", 9))
 
 
 @query(
     "interp_linear_range",
-    ds.with_views("testday", "SELECT test_id, g AS grid_day, round(y, 4) AS milk_kg FROM lin", **WIDE),
+    ds.with_views("testday", "SELECT test_id, g AS grid_day, round(y, 9) AS milk_kg FROM lin", **WIDE),
 )
 def interp_range(spark, sf_dir):
     out = sc.interp_linear_range(ds.testday(spark, sf_dir))
-    return out.withColumn("milk_kg", F.round("milk_kg", 4))
+    return out.withColumn("milk_kg", F.round("milk_kg", 9))
 
 
 @query(
@@ -87,7 +87,7 @@ def interp_range(spark, sf_dir):
     ds.with_views(
         "testday",
         """SELECT g.test_id, g AS grid_day, round(coalesce(lin.y,
-                CASE WHEN g < d1 THEN m1 + (m2 - m1) / (d2 - d1) * (g - d1) ELSE m3 + (m4 - m3) / (d4 - d3) * (g - d3) END), 4) AS milk_kg
+                CASE WHEN g < d1 THEN m1 + (m2 - m1) / (d2 - d1) * (g - d1) ELSE m3 + (m4 - m3) / (d4 - d3) * (g - d3) END), 9) AS milk_kg
            FROM (SELECT * FROM ends CROSS JOIN grid) g LEFT JOIN lin USING (test_id, g)""",
         **WIDE,
         num="""SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dim) AS up,
@@ -101,24 +101,23 @@ def interp_range(spark, sf_dir):
 )
 def interp_all(spark, sf_dir):
     out = sc.interp_linear_all(ds.testday(spark, sf_dir))
-    return out.withColumn("milk_kg", F.round("milk_kg", 4))
+    return out.withColumn("milk_kg", F.round("milk_kg", 9))
 
 
 @query(
     "join_outer_coalesce",
     ds.with_views(
         "testday",
-        """SELECT test_id, coalesce(d.dim, l.g) AS dim, round(coalesce(d.last, l.y), 4) AS milk_kg, d.dim IS NOT NULL AS measured
-           FROM days d FULL JOIN lin l ON d.test_id = l.test_id AND d.dim = l.g""".replace(
-            "SELECT test_id", "SELECT coalesce(d.test_id, l.test_id) AS test_id"
-        ),
+        """SELECT coalesce(d.test_id, l.test_id) AS test_id, coalesce(d.dim, l.g) AS dim,
+                  round(coalesce(d.last, l.y), 9) AS milk_kg, d.dim IS NOT NULL AS measured
+           FROM days d FULL JOIN lin l ON d.test_id = l.test_id AND d.dim = l.g""",
         **WIDE,
     ),
 )
 def outer_coalesce(spark, sf_dir):
     records = ds.testday(spark, sf_dir).filter("dim <= 305")
     out = sc.measured_or_interpolated(al.dedup_day(records, keep="last"), sc.interp_linear_range(records))
-    return out.withColumn("milk_kg", F.round("milk_kg", 4))
+    return out.withColumn("milk_kg", F.round("milk_kg", 9))
 
 
 NEAREST = """
@@ -188,7 +187,7 @@ def islc_original(spark, sf_dir):
 
 SCALED = dict(
     z="""SELECT test_id, g, (y - avg(y) OVER w) / stddev_samp(y) OVER w AS z FROM
-         (SELECT * FROM pts WHERE test_id IN (SELECT test_id FROM pts GROUP BY 1 HAVING stddev_samp(y) > 0))
+         (SELECT * FROM pts WHERE test_id IN (SELECT test_id FROM pts GROUP BY 1 HAVING stddev_samp(y) > 1e-9))
          WINDOW w AS (PARTITION BY test_id)"""
 )
 
@@ -252,7 +251,7 @@ def pivot(spark, sf_dir):
     "center_yields",
     ds.with_views(
         "testday",
-        f"""SELECT test_id, dim, round(y - {g_sql("dim")}, 4) AS from_curve, round(y - avg(y) OVER (PARTITION BY dim), 4) AS from_mean
+        f"""SELECT test_id, dim, round(y - {g_sql("dim")}, 9) AS from_curve, round(y - avg(y) OVER (PARTITION BY dim), 9) AS from_mean
             FROM (SELECT test_id, dim, avg(milk_kg) AS y FROM testday WHERE dim <= 305 GROUP BY 1, 2)""",
     ),
 )
@@ -261,7 +260,7 @@ def center(spark, sf_dir):
     a = bp.center_yields(records, CURVE[1:]).withColumnRenamed("deviation", "from_curve")
     b = bp.center_yields(records).withColumnRenamed("deviation", "from_mean")
     out = a.join(b, ["test_id", "dim"])
-    return out.withColumns({c: F.round(c, 4) for c in ("from_curve", "from_mean")})
+    return out.withColumns({c: F.round(c, 9) for c in ("from_curve", "from_mean")})
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 METHODS = ("forward_fill", "backward_fill", "linear", "zero", "mean")
 
@@ -62,7 +62,7 @@ def _as_lists(x: pa.Array, out: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(missing) if missing.any() else None)
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _fill(x: pa.Array, method: pa.Array, edges: pa.Array) -> pa.Array:
     lengths = np.asarray(x.value_lengths().fill_null(0), dtype=np.int64)
     values = np.asarray(x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=float)

@@ -55,21 +55,19 @@ def fill(values: np.ndarray, lengths: np.ndarray, methods: np.ndarray, edges: bo
     return np.nan_to_num(out) if edges else out
 
 
-def _as_lists(x: pa.Array, out: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    missing = np.asarray(x.is_null())
-    values = pa.array(out, mask=np.isnan(out))
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(missing) if missing.any() else None)
-
-
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _fill(x: pa.Array, method: pa.Array, edges: pa.Array) -> pa.Array:
-    lengths = np.asarray(x.value_lengths().fill_null(0), dtype=np.int64)
+def _fill(x: pa.Array, size: pa.Array, method: pa.Array, edges: pa.Array) -> pa.Array:
+    lengths = np.maximum(np.asarray(size.fill_null(0), dtype=np.int64), 0)
     values = np.asarray(x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=float)
     display = len(edges) > 0 and bool(edges[0].as_py())
-    return _as_lists(x, fill(values, lengths, np.asarray(method.to_pylist(), dtype=object), display), lengths)
+    out = fill(values, lengths, np.asarray(method.to_pylist(), dtype=object), display)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    missing = x.is_null() if x.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, mask=np.isnan(out)), mask=missing)
 
 
 def fill_gaps(x: Column, method: Column, *, edges: bool = False) -> Column:
     """Fill a sequence by the method named in ``method``."""
-    return _fill(x, method, F.lit(edges))
+    # The second use of ``x`` also keeps the optimizer from folding this call into the result list of an
+    # aggregate that computes ``x``, where a Python function cannot run.
+    return _fill(x, F.size(x), method, F.lit(edges))

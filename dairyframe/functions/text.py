@@ -106,7 +106,7 @@ def cow_label(cow_id: Column, birth_year: Column, parity: Column) -> Column:
 
 def safe_path_part(c: Column) -> Column:
     """Runs of characters outside letters, digits and `_.=-` become ``-``."""
-    cleaned = F.trim(F.lit("-"), F.regexp_replace(F.trim(c), "[^A-Za-z0-9_.=-]+", "-"))
+    cleaned = F.trim(F.regexp_replace(F.trim(c), "[^A-Za-z0-9_.=-]+", "-"), F.lit("-"))
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("unnamed"))
 
 
@@ -134,4 +134,4 @@ def first_text(*cols: Column) -> Column:
 
 
 def path_parts(path: Column) -> Column:
-    return F.split(F.trim(F.lit("/"), path), "/")
+    return F.split(F.trim(path, F.lit("/")), "/")

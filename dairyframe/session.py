@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="dairyframe-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for files one query writes and reads back.
+
+    It lies in the shared folder of ``spark.checkpoint.dir``; only a local session falls back to a
+    temporary folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="dairyframe-")
+    return f"{shared.rstrip('/')}/dairyframe-{name}-{uuid.uuid4().hex}"

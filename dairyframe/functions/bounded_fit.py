@@ -15,7 +15,8 @@ import numpy as np
 COARSE = 13
 ROUNDS = 60
 NUDGE = 1e-5
-DAMPING = np.array([1e-6, 1e-3, 1e-1, 1.0, 30.0])
+DAMPING = np.array([1e-6, 1e-1, 10.0])
+LENGTHS = np.array([1.0, 0.3, 0.05, 0.005])
 ENOUGH = 1e-9
 CELLS = 400_000
 
@@ -161,8 +162,8 @@ def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.
     """Best parameters and residual sum per lactation.
 
     The nonlinear parameters start at the best point of a coarse grid over their ranges (in log
-    coordinates) and then take damped Gauss-Newton steps, several dampings tried at once, until no
-    step improves. A parameter that presses against its bound is held there.
+    coordinates) and then take damped Gauss-Newton steps, several dampings and step lengths tried at
+    once, until no step improves. A parameter that presses against its bound is held there.
     """
     lo = np.log([b[0] for b in bounds.search])
     hi = np.log([b[1] for b in bounds.search])
@@ -190,7 +191,8 @@ def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.
         scale = diagonal + 1e-12 * diagonal.max(axis=1, keepdims=True) + 1e-300
         damped = curvature[:, None] + DAMPING[None, :, None, None] * (scale[:, None, :, None] * np.eye(dims))
         step = -np.linalg.solve(damped, np.broadcast_to(gradient[:, None, :, None], (*damped.shape[:3], 1)))[..., 0]
-        theta = np.clip(here[:, None, :] + np.clip(np.nan_to_num(step), -1.0, 1.0), lo, hi)
+        step = np.clip(np.nan_to_num(step), -1.0, 1.0)[:, :, None, :] * LENGTHS[:, None]
+        theta = np.clip(here[:, None, :] + step.reshape(len(active), -1, dims), lo, hi)
         sse, found, _ = solve(part, np.exp(theta), bounds)
         rows, pick = np.arange(len(active)), np.argmin(sse, axis=1)
         gain = best[active] - sse[rows, pick]

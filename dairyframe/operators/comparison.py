@@ -20,9 +20,11 @@ def stats_columns(a: str = "a_kg", b: str = "b_kg") -> list[Column]:
     x, y = F.col(a), F.col(b)
     n = F.count(F.lit(1))
     varied = (n >= 2) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
+    # corr() divides by zero on a constant side before the guard can drop the result
+    pearson = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     relative = F.when(y != 0, F.abs((y - x) / y)).otherwise(F.lit(0.0))
     return [
-        F.when(varied, F.round(F.corr(x, y), 6)).alias("pearson"),
+        F.when(varied, F.round(pearson, 6)).alias("pearson"),
         F.round(F.sqrt(F.avg((y - x) * (y - x))), 3).alias("rmse"),
         F.round(F.avg(F.abs(y - x)), 3).alias("mae"),
         F.round(F.avg(relative) * 100, 3).alias("mape"),

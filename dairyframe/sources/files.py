@@ -75,7 +75,8 @@ def split_binary(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_files(spark: SparkSession, root: str, *, pattern: str = "*", recursive: bool = True, path_part: str | None = None) -> DataFrame:
     """Files by glob or part of the path: path, filename, label (parent folder), size, modified, content.
 
-    Only the columns a query uses are read; without ``content`` no file is opened.
+    Only the columns a query uses are read; without ``content`` no file is opened. Empty files are not
+    listed by Spark.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(root)

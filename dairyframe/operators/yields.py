@@ -89,9 +89,12 @@ def lactation_profile(df: DataFrame, *, keys: Sequence[str] = ("test_id",), cap:
     """
     days = collapse_days(df, order="milk_kg", keys=keys)
     usable = F.col("dim") > 0
-    in_order = Window.partitionBy(*keys, usable).orderBy("dim")
-    prev_day = F.lag("dim", 1, 0).over(in_order)
-    prev_milk = F.lag("last_milk", 1, 0.0).over(in_order)
+    # One window over all days keeps the shuffle of the final grouping; days <= 0 come first and count
+    # as the start (0, 0).
+    in_order = Window.partitionBy(*keys).orderBy("dim")
+    after_start = F.lag("dim").over(in_order) > 0
+    prev_day = F.when(after_start, F.lag("dim").over(in_order)).otherwise(0)
+    prev_milk = F.when(after_start, F.lag("last_milk").over(in_order)).otherwise(0.0)
     day, milk = F.col("dim"), F.col("first_milk")
     milk_at_cap = prev_milk + (cap - prev_day) / (day - prev_day) * (milk - prev_milk)
     days = days.select(

@@ -263,11 +263,7 @@ def unnest(spark, sf_dir):
     ),
 )
 def dedup(spark, sf_dir):
-    rows = ds.testday(spark, sf_dir)
-    out = al.dedup_day(rows, keep="last").withColumnRenamed("milk_kg", "last_kg")
-    for keep in ("first", "mean"):
-        out = out.join(al.dedup_day(rows, keep=keep).withColumnRenamed("milk_kg", f"{keep}_kg"), ["test_id", "dim"])
-    return out.withColumn("mean_kg", F.round("mean_kg", 6))
+    return al.day_values(ds.testday(spark, sf_dir)).withColumn("mean_kg", F.round("mean_kg", 6))
 
 
 @query(

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dairyframe.functions.arrays import let
 from dairyframe.operators import fitting
 from dairyframe.operators.yields import collapse_days
 
@@ -100,21 +101,34 @@ def bracket_days(df: DataFrame, *, grid: Sequence[int] = WIDE_GRID, order: str =
     )
 
 
+def _around(days: Column, g: Column) -> Column:
+    """The record on a grid day and its neighbours: STRUCT<e, b, a>, each null when there is none."""
+    return F.struct(_same(days, g).alias("e"), _before(days, g).alias("b"), _after(days, g).alias("a"))
+
+
 def _standard_value(days: Column, g: Column, curve: Column) -> Column:
     """Interpolated yield of grid day g along the standard curve, null where it is not defined."""
-    exact, b, a = _same(days, g), _before(days, g), _after(days, g)
-    g1, g2, gi = _at(curve, b["day"]), _at(curve, a["day"]), _at(curve, g)
-    slope = ((a["first"] - b["first"]) - (g2 - g1)) / (a["day"] - b["day"])
-    between = gi + (slope * (g - b["day"]) + (b["first"] - g1))
-    inside = b.isNotNull() & a.isNotNull() & (a["day"] < HORIZON)
-    return F.when(exact.isNotNull(), exact["first"]).when(inside, between)
+
+    def value(s: Column) -> Column:
+        exact, b, a = s["e"], s["b"], s["a"]
+        g1, g2, gi = _at(curve, b["day"]), _at(curve, a["day"]), _at(curve, g)
+        slope = ((a["first"] - b["first"]) - (g2 - g1)) / (a["day"] - b["day"])
+        between = gi + (slope * (g - b["day"]) + (b["first"] - g1))
+        inside = b.isNotNull() & a.isNotNull() & (a["day"] < HORIZON)
+        return F.when(exact.isNotNull(), exact["first"]).when(inside, between)
+
+    return let(_around(days, g), value)
 
 
 def _linear_value(days: Column, g: Column) -> Column:
     """Linear yield of grid day g inside the measured range, null outside."""
-    exact, b, a = _same(days, g), _before(days, g), _after(days, g)
-    between = b["first"] + (a["first"] - b["first"]) / (a["day"] - b["day"]) * (g - b["day"])
-    return F.when(exact.isNotNull(), exact["first"]).when(b.isNotNull() & a.isNotNull(), between)
+
+    def value(s: Column) -> Column:
+        exact, b, a = s["e"], s["b"], s["a"]
+        between = b["first"] + (a["first"] - b["first"]) / (a["day"] - b["day"]) * (g - b["day"])
+        return F.when(exact.isNotNull(), exact["first"]).when(b.isNotNull() & a.isNotNull(), between)
+
+    return let(_around(days, g), value)
 
 
 def _linear_or_extended(days: Column, g: Column) -> Column:
@@ -218,9 +232,11 @@ def islc_yield(df: DataFrame, standard: Standard, *, order: str = "pos", max_dim
     rows = rows.withColumn("known", F.concat(measured, added))
 
     def predict(g: Column) -> Column:
-        near = _nearest(F.col("points"), g)
-        b = F.element_at(F.element_at(factor, slots[near["day"]] + 1), slots[g] + 1)
-        return _at(curve, g) + b * (near["y"] - _at(curve, near["day"]))
+        def from_nearest(near: Column) -> Column:
+            b = F.element_at(F.element_at(factor, slots[near["day"]] + 1), slots[g] + 1)
+            return _at(curve, g) + b * (near["y"] - _at(curve, near["day"]))
+
+        return let(_nearest(F.col("points"), g), from_nearest)
 
     missing = F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: ~F.exists("known", lambda p: p["day"] == g))
     filled = F.transform(missing, lambda g: F.struct(g.alias("day"), predict(g).alias("y")))

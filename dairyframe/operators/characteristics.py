@@ -67,7 +67,7 @@ def characteristics_from_params(
     daily = F.transform(
         F.sequence(F.lit(1), F.col("_horizon")), lambda t: curves.curve_by_name(F.col("model"), t, p, models)
     )
-    known = F.col("a").isNotNull()
+    known = F.col("reason").isNull() if "reason" in params.columns else F.col("a").isNotNull()
     base = params.filter(known).select(
         *keys, "model", *PARAMETERS, end.alias("_end"), horizon.alias("_horizon")
     )

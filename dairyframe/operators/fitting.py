@@ -53,6 +53,12 @@ def nested_days(days: DataFrame, *, keys: Sequence[str] = ("test_id",)) -> DataF
     return rows.select(*keys, "max_dim", "top", *[F.col(f"_d.{name}").alias(name) for name in ("t", "w", "y")])
 
 
+def once(udf):
+    """A task function the optimizer must not copy: a filter on a fitted parameter would otherwise be
+    pushed below the fit and run it a second time."""
+    return udf.asNondeterministic()
+
+
 def _with_model(df: DataFrame, model: str, fitted: Column | None, keys: Sequence[str]) -> DataFrame:
     """keys, model, a, b, c, d, k, sse, days, max_dim, reason from a struct column of parameters."""
     name = "milkbot" if model == "milkbot_trf" else model
@@ -89,7 +95,7 @@ def _fit_bounded(days: DataFrame, model: str, *, keys: Sequence[str]) -> DataFra
         arrays = [pa.array(out[:, i], mask=missing) for i in range(out.shape[1])]
         return pa.StructArray.from_arrays(arrays, names=[*names, "sse"])
 
-    rows = nested_days(days, keys=keys).withColumn("_fit", fit("t", "w", "y", "top"))
+    rows = nested_days(days, keys=keys).withColumn("_fit", once(fit)("t", "w", "y", "top"))
     return _with_model(rows, model, F.col("_fit"), keys)
 
 
@@ -186,7 +192,7 @@ def _fit_ali_schaeffer(days: DataFrame, *, keys: Sequence[str]) -> DataFrame:
         arrays = [pa.array(out[:, i], mask=~usable) for i in range(6)]
         return pa.StructArray.from_arrays(arrays, names=[*names, "sse"])
 
-    rows = nested_days(days.filter(F.col("dim") >= 1), keys=keys).withColumn("_fit", fit("t", "w", "y"))
+    rows = nested_days(days.filter(F.col("dim") >= 1), keys=keys).withColumn("_fit", once(fit)("t", "w", "y"))
     return _with_model(rows, "ali_schaeffer", F.col("_fit"), keys)
 
 
@@ -220,7 +226,8 @@ def predict_curve(params: DataFrame, *, min_days: int = curves.HORIZON) -> DataF
     """Daily yields for days 1..max(305, max_dim) of every parameter row: key columns, day, milk_kg."""
     longest = F.greatest(F.lit(min_days), F.col("max_dim")) if "max_dim" in params.columns else F.lit(min_days)
     keys = [c for c in params.columns if c not in (*PARAMETERS, "max_dim", "days", "reason", "sse")]
-    long = params.filter(F.col("a").isNotNull()).select(
+    fitted = F.col("reason").isNull() if "reason" in params.columns else F.col("a").isNotNull()
+    long = params.filter(fitted).select(
         *keys, *PARAMETERS, F.explode(F.sequence(F.lit(1), longest.cast("int"))).alias("day")
     )
     return long.select(*keys, "day", curves.curve_by_name(F.col("model"), F.col("day"), Params.of()).alias("milk_kg"))

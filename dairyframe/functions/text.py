@@ -131,7 +131,3 @@ def byte_text(c: Column) -> Column:
 def first_text(*cols: Column) -> Column:
     """First column that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
-
-
-def path_parts(path: Column) -> Column:
-    return F.split(F.trim(path, F.lit("/")), "/")

@@ -1,11 +1,11 @@
-"""Session helpers: a local test session and lineage cutting on shared storage."""
+"""Session helpers: a local test session and scratch paths on shared storage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "dairyframe") -> SparkSession:
@@ -22,21 +22,6 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "dairyfram
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A folder is chosen here only where the session has none (local tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="dairyframe-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for files one query writes and reads back.
 

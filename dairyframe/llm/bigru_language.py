@@ -74,10 +74,10 @@ def _back(w: dict[str, np.ndarray], x: np.ndarray, order: Sequence[int], kept: l
     return {"e": de.astype(np.float32), "u": du}
 
 
-def train(spans: np.ndarray, labels: np.ndarray, languages: list[str], *, hidden: int = HIDDEN, epochs: int = 5, rate: float = 0.02, seed: int = 4) -> BiGRU:
+def train(spans: np.ndarray, labels: np.ndarray, languages: list[str], *, hidden: int = HIDDEN, steps: int = 320, rate: float = 0.02, seed: int = 4) -> BiGRU:
     """Fit spans (N, SPAN) of bytes, each position labelled with its span's language; byte 0 fills short spans.
 
-    Adam on the mean cross-entropy of all filled positions.
+    Adam on the mean cross-entropy of all filled positions, whole epochs until ``steps`` batches are done.
     """
     rng = np.random.default_rng(seed)
     classes = len(languages)
@@ -90,9 +90,10 @@ def train(spans: np.ndarray, labels: np.ndarray, languages: list[str], *, hidden
     weights = [f["e"], f["u"], f["o"], r["e"], r["u"], r["o"], b]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     there, back, step, batch = list(range(spans.shape[1])), list(range(spans.shape[1]))[::-1], 0, 192
-    total = max(1, epochs * -(-len(spans) // batch))
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(spans)), max(1, -(-len(spans) // batch))):
+    per_epoch = max(1, -(-len(spans) // batch))
+    total = per_epoch * -(-steps // per_epoch) if len(spans) else 0
+    for _ in range(total // per_epoch):
+        for rows in np.array_split(rng.permutation(len(spans)), per_epoch):
             x, y = spans[rows], labels[rows]
             hf, kf = _run(f, x, there)
             hr, kr = _run(r, x, back)

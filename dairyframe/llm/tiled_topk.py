@@ -52,8 +52,8 @@ def best_of_tile(ids: np.ndarray, scores: np.ndarray, own: np.ndarray, k: int) -
     found = []
     if scores.dtype == object:
         for query, line in zip(own, scores):
-            order = sorted((-s, i) for s, i in zip(line, ids) if i != query)[:k]
-            found += [(int(query), int(i), int(min(LIMIT, max(-LIMIT - 1, -s)))) for s, i in order]
+            order = sorted((-min(LIMIT, max(-LIMIT - 1, s)), i) for s, i in zip(line, ids) if i != query)[:k]
+            found += [(int(query), int(i), int(-s)) for s, i in order]
         return found
     scores = np.where(own[:, None] == ids[None, :], -np.inf, scores)
     k = min(k, len(ids))
@@ -83,7 +83,7 @@ def top_k(
     ties go to the smaller vec_id. Vectors that are null or hold a null or non-finite component, and rows
     without an id, take no part; rows that repeat an id count once, by their smallest vector. Vectors of
     different lengths never meet: only those as long as the query are its candidates. Scores beyond a long
-    are ranked exactly and shown as the nearest long. Fewer candidates give fewer rows; no rows give none.
+    count as the nearest long. Fewer candidates give fewer rows; no rows give none.
 
     Vectors are dealt into shards of about ``shard`` rows and queries into blocks of about ``block``; one
     task multiplies one block by one shard, so it holds block * shard scores and no more. Each tile keeps

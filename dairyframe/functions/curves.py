@@ -50,7 +50,7 @@ def _wilmink(t: Column, p: Params) -> Column:
 
 def _ali_schaeffer(t: Column, p: Params) -> Column:
     share = t / F.lit(float(HORIZON))
-    gap = F.ln(F.lit(float(HORIZON)) / t)
+    gap = F.ln(_over(F.lit(float(HORIZON)), t))
     return p.a + p.b * share + p.c * share * share + p.d * gap + p.k * gap * gap
 
 

@@ -51,8 +51,8 @@ def finite(c: Column) -> Column:
 
 
 def whole(c: Column) -> Column:
-    """Truncate toward zero to INT, the way an integer cast of a parsed number does."""
-    return c.cast("int")
+    """Truncate toward zero to INT, the way an integer cast of a parsed number does; null beyond its range."""
+    return c.try_cast("int")
 
 
 def to_date_time(c: Column) -> Column:

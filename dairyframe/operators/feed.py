@@ -20,7 +20,6 @@ SEARCH_FIELDS = (
     "submission_type", "benchmark_model",
 )
 SORTS = ("created_at", "organization", "user", "category", "status")
-LIST_LIMIT = 100
 ADMIN, OWNER = "admin", "owner"
 
 
@@ -33,10 +32,10 @@ def list_filter_sort(
     sort: str = "created_at",
     direction: str = "desc",
     tie: str = "record_id",
-    limit: int = LIST_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """A list view: filter by organization and user, ``contains`` on the name (case-sensitive), the
-    first ``limit`` by one sort key. ``tie`` makes the order total."""
+    """A list view: filter by organization and user, ``contains`` on the name (case-sensitive), in
+    order of one sort key; ``limit`` keeps the first rows only where it is asked for. ``tie`` makes the order total."""
     if organization_id is not None:
         df = df.filter(F.col("organization_id") == organization_id)
     if user_id is not None:
@@ -47,11 +46,12 @@ def list_filter_sort(
     if sort not in keys:
         raise ValueError(f"sort must be one of {', '.join(keys)}")
     key = keys[sort].asc() if direction == "asc" else keys[sort].desc()
-    return df.orderBy(key, tie).limit(limit)
+    ordered = df.orderBy(key, tie)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def list_page(
-    df: DataFrame, *, model: str | None = None, source: str | None = None, limit: int = 50, offset: int = 0, tie: str = "record_id"
+    df: DataFrame, *, model: str | None = None, source: str | None = None, limit: int, offset: int = 0, tie: str = "record_id"
 ) -> DataFrame:
     """One page, newest first, optionally of one model and source."""
     if model is not None:
@@ -137,8 +137,8 @@ def feed_filter(
     return feed
 
 
-def feed_top(feed: DataFrame, *, sort: str = "created_at", direction: str = "desc", limit: int = 100, tie: Sequence[str] = ("item_type", "item_id")) -> DataFrame:
-    """The first ``limit`` items by one of five sort keys, then by time, then by the tie columns."""
+def feed_top(feed: DataFrame, *, sort: str = "created_at", direction: str = "desc", limit: int | None = None, tie: Sequence[str] = ("item_type", "item_id")) -> DataFrame:
+    """Items (the first ``limit`` if given) by one of five sort keys, then by time, then by the tie columns."""
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {', '.join(SORTS)}")
     created = F.coalesce(F.col("created_at"), F.lit("0001-01-01").cast("timestamp"))
@@ -150,7 +150,8 @@ def feed_top(feed: DataFrame, *, sort: str = "created_at", direction: str = "des
         "status": [F.col("status")],
     }[sort]
     ordered = [k.desc() if direction == "desc" else k.asc() for k in [*keys, created]]
-    return feed.orderBy(*ordered, *tie).limit(limit)
+    ordered = feed.orderBy(*ordered, *tie)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def feed_kpis(feed: DataFrame) -> DataFrame:

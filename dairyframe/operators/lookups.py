@@ -69,7 +69,7 @@ def memberships_per_user(members: DataFrame) -> DataFrame:
 
 def as_int(c: Column) -> Column:
     """Optional id as BIGINT, through its number form; null when unreadable."""
-    return c.cast("string").try_cast("double").cast("bigint")
+    return c.cast("string").try_cast("double").try_cast("bigint")
 
 
 def hierarchical_stats(

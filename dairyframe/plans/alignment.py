@@ -356,7 +356,7 @@ def failures(spark, sf_dir):
     ds.with_views(
         "testday",
         """SELECT test_id, min(pos) AS first_pos, count(*) AS records FROM testday GROUP BY 1
-           ORDER BY first_pos, test_id LIMIT 2000""",
+           ORDER BY first_pos, test_id""",
     ),
 )
 def cap(spark, sf_dir):

@@ -97,7 +97,7 @@ SHOWN = ("item_type", "item_id", "title", "organization_name", "user_email", "st
             WHERE (contains(lower(title), 'er#00') OR contains(lower(item_type_label), 'er#00') OR contains(lower(organization_name), 'er#00')
                    OR contains(lower(user_email), 'er#00') OR contains(lower(user_name), 'er#00') OR contains(lower(status), 'er#00') OR contains(lower(source), 'er#00'))
               AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '2001-12-31'
-            ORDER BY organization_name DESC NULLS LAST, created_at DESC, item_type, item_id LIMIT 100""",
+            ORDER BY organization_name DESC NULLS LAST, created_at DESC, item_type, item_id""",
         **FEED,
     ),
 )
@@ -200,7 +200,7 @@ def _records(spark, sf_dir):
 @query(
     "list_filter_sort",
     f"""SELECT record_id, name, user_name, created_at FROM ({RECORDS_SQL}) WHERE organization_id = 7 AND contains(name, 'HIGH')
-        ORDER BY user_name ASC, record_id LIMIT 100""",
+        ORDER BY user_name ASC, record_id""",
 )
 def listing(spark, sf_dir):
     out = fd.list_filter_sort(_records(spark, sf_dir), organization_id=7, contains="HIGH", sort="user", direction="asc")

@@ -135,7 +135,11 @@ def _nested(spark, sf_dir):
     return al.nest_lactation(ds.testday(spark, sf_dir)).drop("part")
 
 
-PROJECT = "SELECT test_id, dim, max(milk_kg) AS y FROM testday WHERE dim <= 304 GROUP BY 1, 2"
+def _last_of_day(spark, sf_dir):
+    return al.last_of_day(ds.testday(spark, sf_dir))
+
+
+PROJECT = "SELECT test_id, dim, arg_max(milk_kg, pos) AS y FROM testday WHERE dim <= 304 GROUP BY 1, 2"
 
 
 @query(
@@ -149,7 +153,7 @@ PROJECT = "SELECT test_id, dim, max(milk_kg) AS y FROM testday WHERE dim <= 304
     ),
 )
 def project(spark, sf_dir):
-    daily = _nested(spark, sf_dir).select("test_id", ar.project_daily(F.col("dim"), F.col("milk_kg")).alias("milk"))
+    daily = _last_of_day(spark, sf_dir).select("test_id", ar.project_daily(F.col("dim"), F.col("milk_kg")).alias("milk"))
     return daily.select(
         "test_id",
         F.size("milk").alias("slots"),
@@ -331,7 +335,7 @@ CURVE_304 = [20 + 20 * (d / 60) if d <= 60 else 40 - 20 * (d - 60) / 244 for d i
     ),
 )
 def score(spark, sf_dir):
-    daily = _nested(spark, sf_dir).select(
+    daily = _last_of_day(spark, sf_dir).select(
         "test_id",
         ar.project_daily(F.col("dim"), F.col("milk_kg"), missing=None).alias("milk"),
         F.when(F.col("test_id") % 2 == 0, "zero").alias("imputation_method"),

@@ -50,12 +50,15 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def read_delimited(spark: SparkSession, path: str, *, sep: str | None = None, max_rows: int | None = None) -> DataFrame:
+def read_delimited(
+    spark: SparkSession, path: str, *, sep: str | None = None, max_rows: int | None = None, multi_line: bool = False
+) -> DataFrame:
     """A delimited file with a header as text columns plus pos; a byte-order mark is dropped.
 
-    ``max_rows`` keeps the first rows of the file; by default every row is read.
+    A doubled quote inside quotes is a quote. Files with line breaks inside quotes need ``multi_line``, which
+    reads each file in one task. ``max_rows`` keeps the first rows of the file; by default every row is read.
     """
-    rows = spark.read.csv(path, header=True, sep=sep or sniff_delimiter(spark, path), inferSchema=False)
+    rows = spark.read.csv(path, header=True, sep=sep or sniff_delimiter(spark, path), inferSchema=False, escape='"', multiLine=multi_line)
     names = [c.lstrip("﻿") for c in rows.columns]
     rows = rows.select("*", file_position().alias("pos")).toDF(*names, "pos")
     return rows if max_rows is None else rows.orderBy("pos").limit(max_rows)
@@ -167,14 +170,14 @@ def parse_benchmark_test_day(df: DataFrame) -> DataFrame:
         tx.whole(tx.comma_number(c["dim"])).alias("dim"),
         tx.comma_number(c["milk_kg"]).alias("milk_kg"),
         tx.whole(tx.to_number(c["parity"])).alias("parity"),
-        tx.to_number(c["herd_id"]).cast("bigint").alias("herd_id"),
+        tx.to_number(c["herd_id"]).try_cast("bigint").alias("herd_id"),
         "pos",
     )
     usable = (F.col("test_id") != "") & (F.col("dim") >= 0) & (F.col("milk_kg") > 0)
     return rows.filter(usable).withColumn("milk_kg", F.round("milk_kg", 2))
 
 
-def benchmark_lactations(rows: DataFrame, *, max_records: int = 10000) -> DataFrame:
+def benchmark_lactations(rows: DataFrame, *, max_records: int | None = None) -> DataFrame:
     """Benchmark rows to records: test_id, parity, herd_id (first known in file order), part, dim, milk_kg."""
     heads = rows.groupBy("test_id").agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in ("parity", "herd_id")]

@@ -21,6 +21,7 @@ HIDDEN = 8
 SAMPLE_PER_LANGUAGE = 1500
 SPANS_PER_DOCUMENT = 2
 LANES = 4096
+SLICES = 64
 
 
 @dataclass
@@ -208,12 +209,16 @@ def document_scores(model: BiGRU, texts: list[bytes]) -> np.ndarray:
 
 
 def training_spans(docs: DataFrame, *, id_column: str, text_column: str, lang_column: str, per_language: int, per_document: int) -> DataFrame:
-    """(lang, span): spans at hashed places of the ``per_language`` documents of each language with the smallest id hash."""
+    """(lang, span): spans at hashed places of about ``per_language`` documents of each language with small id hashes."""
     data = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
     rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).rlike("\\p{L}"))
     last = F.greatest(F.lit(1), F.octet_length(data) - SPAN + 1)
     place = [F.substring(data, F.pmod(F.xxhash64(F.col(id_column), F.lit(i)), last).cast("int") + 1, F.lit(SPAN)) for i in range(per_document)]
     rows = rows.select(F.col(lang_column).cast("string").alias("lang"), F.xxhash64(id_column).alias("h"), F.array(*place).alias("spans"))
+    # first within slices of a language, so that no task ranks all documents of one
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(SLICES)))
+    rank = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h", "spans"))
+    rows = rows.withColumn("rank", rank).filter(F.col("rank") <= max(1, 4 * per_language // SLICES)).drop("rank")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "spans"))
     chosen = rows.withColumn("rank", rank).filter(F.col("rank") <= per_language)
     return chosen.select("lang", F.explode("spans").alias("span"))

@@ -16,7 +16,7 @@ NAME = "op2_toxicity"
 ORACLE = None
 THRESHOLD = 0.7
 #: Bound of the training sample: labelled documents.
-SAMPLE = 8000
+SAMPLE = 2000
 #: Words enter the model when the likelihood ratio (G) of their use in toxic and other sentences reaches this,
 #: and this share of the strongest word's: a few mislabelled documents with words of their own don't make the list.
 STANDOUT = 30.0

@@ -10,17 +10,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dairyframe.llm.common import id_crc_mod, table
+from dairyframe.llm.common import id_crc_mod, table, written
 
 NAME = "op2_toxicity"
 ORACLE = None
 THRESHOLD = 0.7
-#: Bound of the training sample: labelled documents.
-SAMPLE = 2000
-#: Words enter the model when the likelihood ratio (G) of their use in toxic and other sentences reaches this,
-#: and this share of the strongest word's: a few mislabelled documents with words of their own don't make the list.
+#: Bounds of what the driver fits on: words that may carry a weight, and distinct bags of these words with their label.
+MOST_WORDS = 1000
+MOST_BAGS = 20_000
+#: A word may carry a weight if the likelihood ratio (G) of its use in toxic and other sentences reaches STANDOUT, at least
+#: this share of the sentences that hold it is toxic, and they come from several documents. None depends on the input's size.
 STANDOUT = 30.0
-RELATIVE = 0.2
+LEAST_SHARE = 0.8
+LEAST_DOCUMENTS = 5
 #: Neutral words for groups of people, one list per kind of group. Terms of a list stand in for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "woman", "man"),
@@ -72,56 +74,68 @@ def fit_sentences(
     *,
     terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
     penalty: float = 10.0,
-    shrink: float = 1e-4,
     standout: float = STANDOUT,
-    relative: float = RELATIVE,
+    least_share: float = LEAST_SHARE,
+) -> Classifier:
+    """Fit (sentence, label) pairs that fit in memory; repeated sentences count once per label."""
+    bags = sorted({(frozenset(WORD.findall(s.lower())), y) for s, y in sentences}, key=lambda p: (p[1], sorted(p[0])))
+    bags = [(set(b), y, 1) for b, y in bags if b]
+    counts: dict[str, list[int]] = {}
+    for bag, y, _ in bags:
+        for word in bag:
+            counts.setdefault(word, [0, 0])[y] += 1
+    rate = sum(y for _, y, _ in bags) / max(1, len(bags))
+    chosen = {w for w, (n0, n1) in counts.items() if n1 >= least_share * (n0 + n1) and likelihood_ratio(n1, n0, rate) >= standout}
+    return fit_bags(bags, chosen, terms=terms, penalty=penalty)
+
+
+def fit_bags(
+    bags: Sequence[tuple[set[str], int, int]],
+    chosen: set[str],
+    *,
+    terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
+    penalty: float = 10.0,
+    shrink: float = 1.0,
     rounds: int = 400,
 ) -> Classifier:
-    """Fit (sentence, label) pairs; ``penalty`` weighs squared score changes under identity swaps.
+    """Weights of the ``chosen`` words from (words, label, number of sentences).
 
-    Repeated sentences count once per label, so copies of a document can't carry a word into the model. Words
-    are chosen by their likelihood ratio; identity terms are always in, so the penalty acts on them.
+    ``penalty`` weighs squared score changes under identity swaps; identity terms found in a bag are always in, so
+    the penalty acts on them.
     """
-    bags = sorted({(frozenset(WORD.findall(s.lower())), y) for s, y in sentences}, key=lambda p: (p[1], sorted(p[0])))
-    bags = [(set(b), y) for b, y in bags if b]
     if not bags:
         return Classifier({}, -2.0)
-    labels = np.array([y for _, y in bags], float)
-    counts: dict[str, list[int]] = {}
-    for bag, y in bags:
-        for word in bag:
-            counts.setdefault(word, [0, 0])[y] += 1
-    totals = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    n_all = totals.sum()
-    chosen = {t for group in terms for t in group if t in counts}
-    strength = {word: likelihood_ratio(n1, n0, totals[1] / n_all) for word, (n0, n1) in counts.items()}
-    least = max(standout, relative * max(strength.values()))
-    chosen |= {word for word, g in strength.items() if g >= least}
+    seen = set().union(*(b for b, _, _ in bags))
+    chosen = chosen | {t for group in terms for t in group if t in seen}
     swapped_terms = {t for group in terms for t in group if chosen & set(group)}
     vocabulary = {w: i for i, w in enumerate(sorted(chosen | swapped_terms))}
+    labels, weight = np.array([y for _, y, _ in bags], float), np.array([n for _, _, n in bags], float)
+    toxic, every = float(labels @ weight), float(weight.sum())
 
     def pairs(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
         found = [(i, vocabulary[w]) for i, bag in enumerate(sets) for w in sorted(bag) if w in vocabulary]
         both = np.array(found, np.int64).reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
-    plain, other = [], []
-    for bag, _ in bags:
+    plain, other, times = [], [], []
+    for bag, _, n in bags:
         for changed in swaps(bag, terms):
             plain.append(bag)
             other.append(changed)
-    rows, cols = pairs([b for b, _ in bags])
+            times.append(n)
+    rows, cols = pairs([b for b, _, _ in bags])
     r0, c0 = pairs(plain)
     r1, c1 = pairs(other)
     n, size, many = len(bags), len(vocabulary), len(plain)
-    w, bias = np.zeros(size), float(np.log((totals[1] + 1) / (totals[0] + 1)))
+    pull = 2 * penalty * np.array(times, float) / max(1, sum(times))
+    w, bias = np.zeros(size), float(np.log((toxic + 1) / (every - toxic + 1)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(np.bincount(rows, weights=w[cols], minlength=n) + bias)))
-        error = (p - labels) / n
-        grad = np.bincount(cols, weights=error[rows], minlength=size) + shrink * w / n
+        error = (p - labels) * weight / every
+        grad = np.bincount(cols, weights=error[rows], minlength=size) + shrink * w / every
         if many:
-            change = (np.bincount(r0, weights=w[c0], minlength=many) - np.bincount(r1, weights=w[c1], minlength=many)) * (2 * penalty / many)
+            change = (np.bincount(r0, weights=w[c0], minlength=many) - np.bincount(r1, weights=w[c1], minlength=many)) * pull
             grad += np.bincount(c0, weights=change[r0], minlength=size) - np.bincount(c1, weights=change[r1], minlength=size)
         g = np.append(grad, error.sum())
         m += 0.1 * (g - m)
@@ -132,18 +146,51 @@ def fit_sentences(
     return Classifier({k: float(w[i]) for k, i in vocabulary.items() if w[i]}, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 10.0) -> Classifier:
-    """Train on the ``sample`` labelled documents with the smallest id hash; a sentence has its document's label.
+def labelled_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(words, toxic, slot): the distinct words of every sentence of the labelled documents, equal sentences once per label.
 
-    ``labels`` holds (doc_id, toxic), one row per id (the largest label counts); null labels are left out.
+    ``slot`` is one bit of 64 by the smallest id that holds the sentence.
     """
-    marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    # sentences, not documents, reach the driver: copies are gone and the sample is bounded
-    rows = texts.join(F.broadcast(marks), "doc_id").select(F.explode(F.split("text", "[.!?\n]+")).alias("sentence"), "toxic")
-    found = rows.filter(F.length("sentence") > 0).distinct().collect()
-    return fit_sentences([(r.sentence, int(r.toxic > 0)) for r in found], terms=terms, penalty=penalty)
+    rows = texts.join(marks, "doc_id").select("doc_id", "toxic", F.explode(F.split(F.lower("text"), "[.!?\n]+")).alias("sentence"))
+    rows = rows.filter(F.col("sentence").rlike("\\p{L}")).groupBy("sentence", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    words = F.array_remove(F.array_distinct(F.split("sentence", "\\P{L}+")), "")
+    slot = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+    return rows.select(words.alias("words"), "toxic", slot.alias("slot"))
+
+
+def standout_words(sentences: DataFrame, rate: float, *, most: int = MOST_WORDS) -> list[str]:
+    """The words of toxic sentences, by likelihood ratio over all ``sentences``."""
+    if not 0 < rate < 1:
+        return []
+    n1, n = F.col("n1"), F.col("n")
+    counts = sentences.select(F.explode("words").alias("word"), "toxic", "slot").groupBy("word")
+    counts = counts.agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"), F.bit_or("slot").alias("slots"))
+    counts = counts.filter((n1 >= LEAST_SHARE * n) & (n1 > rate * n) & (F.bit_count("slots") >= LEAST_DOCUMENTS))
+    rest = F.when(n > n1, (n - n1) * F.log((n - n1) / ((1 - rate) * n))).otherwise(0.0)
+    counts = counts.withColumn("g", 2 * (n1 * F.log(n1 / (rate * n)) + rest)).filter(F.col("g") >= STANDOUT)
+    return [r.word for r in counts.orderBy(F.desc("g"), "word").limit(most).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 10.0) -> Classifier:
+    """Train on the sentences of all labelled documents; a sentence has its document's label.
+
+    ``labels`` holds (doc_id, toxic), one row per id (the largest label counts); null labels are left out. Words are counted
+    and chosen by Spark over all these sentences. The driver gets at most MOST_WORDS words, and the MOST_BAGS commonest
+    combinations of chosen words and identity terms with their counts, on which it fits the weights.
+    """
+    sentences = written(labelled_sentences(docs, labels), "toxicity-sentences")
+    totals = {r.toxic: r["count"] for r in sentences.groupBy("toxic").count().collect()}
+    if not totals:
+        return Classifier({}, -2.0)
+    chosen = standout_words(sentences, totals.get(1, 0) / sum(totals.values()))
+    known = sorted({*chosen, *(t for group in terms for t in group)})
+    bag = F.array_sort(F.filter("words", lambda w: w.isin(known)))
+    bags = sentences.select(bag.alias("bag"), "toxic").groupBy("bag", "toxic").count()
+    found = bags.orderBy(F.desc("count"), "bag", "toxic").limit(MOST_BAGS).collect()
+    found = [(set(r.bag), r.toxic, r["count"]) for r in found]
+    return fit_bags(found, set(chosen), terms=terms, penalty=penalty)
 
 
 def score_text(text: str, model: Classifier, finder) -> float:

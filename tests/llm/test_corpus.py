@@ -222,6 +222,20 @@ def test_toxicity_held_out(spark, edges, nothing):
     assert {r.score < 0.5 for r in tox.score_documents(edges, untrained).collect()} == {True}
 
 
+def test_toxic_words_come_from_all_labelled_documents(spark):
+    rows = [(i, f"Fine. A SLUR {i} of rain" if i % 10 == 0 else f"Fine. A day {i} of rain", "en", "a") for i in range(300)]
+    # one document with many sentences of its own, and copies of one document: neither makes a word
+    rows += [(1000, " ".join(f"own nr{chr(97 + i % 26)}{chr(97 + i // 26)}." for i in range(60)), "en", "a")]
+    rows += [(2000 + i, "copied words here. and here copied", "en", "a") for i in range(40)]
+    docs = make(spark, rows + [(None, "slur", "en", "a"), (3000, None, None, None)])
+    marks = [(r[0], int(r[0] % 10 == 0 or r[0] >= 1000)) for r in rows] + [(None, 1), (3000, 1), (4000, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    sentences = tox.labelled_sentences(docs, labels)
+    assert tox.standout_words(sentences, 0.2) == ["slur"] and tox.standout_words(sentences, 0.2, most=0) == []
+    model = tox.fit(docs, labels)
+    assert set(model.weights) == {"slur"} and model.weights["slur"] > 2
+
+
 def test_identity_swaps_level_scores():
     rng = random.Random(5)
     sentences = []

@@ -153,7 +153,8 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(marks, "doc_id").select("doc_id", "toxic", F.explode(F.split(F.lower("text"), "[.!?\n]+")).alias("sentence"))
+    # labels grow with the documents, so they are joined alike at every size
+    rows = texts.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", F.explode(F.split(F.lower("text"), "[.!?\n]+")).alias("sentence"))
     rows = rows.filter(F.col("sentence").rlike("\\p{L}")).groupBy("sentence", "toxic").agg(F.min("doc_id").alias("doc_id"))
     words = F.array_remove(F.array_distinct(F.split("sentence", "\\P{L}+")), "")
     slot = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))

@@ -42,14 +42,14 @@ def pivot_days(df: DataFrame) -> DataFrame:
 def center_yields(df: DataFrame, curve: Sequence[float] | None = None) -> DataFrame:
     """Mean yield per lactation and day minus the standard curve, or minus the day's own mean.
 
-    Without a curve the day means come from one partial aggregation to at most 305 rows, joined back
-    through the checked lookup, so a popular day is not gathered in one task.
+    Without a curve the day means come from one partial aggregation to at most 305 rows, broadcast
+    back, so a popular day is not gathered in one task.
     """
     days = _in_horizon(df).groupBy("test_id", "dim").agg(F.avg("milk_kg").alias("y"))
     if curve is not None:
         return days.select("test_id", "dim", (F.col("y") - _expected(curve, F.col("dim"))).alias("deviation"))
     means = days.groupBy("dim").agg(F.avg("y").alias("_mean"))
-    joined = join_lookup(days, means, ["dim"], "inner")
+    joined = join_lookup(days, means, ["dim"], "inner", bounded=True)
     return joined.select("test_id", "dim", (F.col("y") - F.col("_mean")).alias("deviation"))
 
 
@@ -77,11 +77,16 @@ def ar1_covariance(b1: float, b2: float, rho: float, size: int = HORIZON) -> np.
     return b1 * np.eye(size) + b2 * rho ** np.abs(day[:, None] - day[None, :])
 
 
-def _deviations(df: DataFrame, curve: Sequence[float], order: str, keep: str) -> DataFrame:
+def deviations(df: DataFrame, curve: Sequence[float], *, order: str = "pos", keep: str = "last") -> DataFrame:
     """test_id and parallel arrays day, v of the measured deviations, ordered by day."""
-    one = dedup_day(_in_horizon(df), keep=keep, order=order)
-    entry = F.struct(F.col("dim").alias("day"), (F.col("milk_kg") - _expected(curve, F.col("dim"))).alias("v"))
-    nested = one.groupBy("test_id").agg(F.array_sort(F.collect_list(entry)).alias("d"))
+    return _nest_deviations(dedup_day(_in_horizon(df), keep=keep, order=order), curve)
+
+
+def _nest_deviations(days: DataFrame, curve: Sequence[float]) -> DataFrame:
+    """Days to one row per lactation; a null day keeps its lactation but adds nothing."""
+    deviation = F.col("milk_kg") - _expected(curve, F.col("dim"))
+    entry = F.when(F.col("dim").isNotNull(), F.struct(F.col("dim").alias("day"), deviation.alias("v")))
+    nested = days.groupBy("test_id").agg(F.array_sort(F.collect_list(entry)).alias("d"))
     return nested.select("test_id", F.col("d.day").alias("day"), F.col("d.v").alias("v"))
 
 
@@ -122,32 +127,10 @@ def best_prediction_yield(
                 total[part] = base + (column_sums[which] * alpha).sum(axis=1)
         return pa.array(total)
 
-    measured = _deviations(df.filter(F.col("milk_kg").isNotNull()), curve, order, "last")
-    ids = df.select("test_id").distinct()
-    joined = ids.join(measured, "test_id", "left")
-    return joined.select("test_id", F.coalesce(predict("day", "v"), F.lit(base)).alias("yield_kg"))
-
-
-def best_prediction_two_days(df: DataFrame, curve: Sequence[float], b1: float, b2: float, rho: float, *, order: str = "pos") -> DataFrame:
-    """Best prediction in plain columns for lactations with one or two measured days.
-
-    The covariance is b1 * I + b2 * rho**abs(i - j); its column sums are geometric series.
-    """
-    rows = _deviations(df, curve, order, "last").filter(F.size("day") <= 2)
-    first, second = F.element_at("day", 1), F.try_element_at("day", F.lit(2))
-    v1, v2 = F.element_at("v", 1), F.try_element_at("v", F.lit(2))
-
-    def column_sum(day: Column) -> Column:
-        left = (1 - F.pow(F.lit(rho), day)) / (1 - rho)
-        right = (1 - F.pow(F.lit(rho), HORIZON + 1 - day)) / (1 - rho)
-        return b1 + b2 * (left + right - 1)
-
-    diagonal = F.lit(b1 + b2)
-    off = b2 * F.pow(F.lit(rho), second - first)
-    det = diagonal * diagonal - off * off
-    one = column_sum(first) * v1 / diagonal
-    two = (column_sum(first) * (diagonal * v1 - off * v2) + column_sum(second) * (diagonal * v2 - off * v1)) / det
-    return rows.select("test_id", (F.lit(float(np.sum(curve))) + F.coalesce(two, one)).alias("yield_kg"))
+    usable = F.col("milk_kg").isNotNull() & (F.col("dim") >= 1) & (F.col("dim") <= HORIZON)
+    rows = df.select("test_id", *[F.when(usable, F.col(c)).alias(c) for c in ("dim", "milk_kg")], F.col(order))
+    nested = _nest_deviations(dedup_day(rows, keep="last", order=order), curve)
+    return nested.select("test_id", predict("day", "v").alias("yield_kg"))
 
 
 def ar1_log_likelihood(deviations: DataFrame, candidates: np.ndarray) -> DataFrame:
@@ -188,7 +171,7 @@ def fit_ar1_covariance(
     one job that sums the likelihood of a small candidate grid; the grid then narrows around the best
     candidate. The deviations are kept for the rounds; lost parts are recomputed.
     """
-    deviations = _deviations(df.filter(F.col("milk_kg").isNotNull()), curve, order, "mean").persist()
+    measured = deviations(df.filter(F.col("milk_kg").isNotNull()), curve, order=order, keep="mean").persist()
     try:
         center, half = np.array([0.0, 0.5]), np.array([6.0, 5.0])
         best = None
@@ -196,7 +179,7 @@ def fit_ar1_covariance(
             steps = np.linspace(-1.0, 1.0, grid)
             points = np.array([[center[0] + half[0] * x, center[1] + half[1] * y] for x in steps for y in steps])
             candidates = np.column_stack([np.exp(points[:, 0]), 1 / (1 + np.exp(-points[:, 1]))])
-            table = ar1_log_likelihood(deviations, candidates).collect()
+            table = ar1_log_likelihood(measured, candidates).collect()
             for row in table:
                 n, scale = row["n"], row["quadratic"] / row["n"]
                 value = 0.5 * (n * np.log(scale) + row["log_det"] + n + n * np.log(2 * np.pi))
@@ -206,4 +189,4 @@ def fit_ar1_covariance(
         _, _, scale, (ratio, rho) = best
         return {"b1": float(scale * ratio), "b2": float(scale), "rho": float(rho), "neg_log_likelihood": float(best[0])}
     finally:
-        deviations.unpersist()
+        measured.unpersist()

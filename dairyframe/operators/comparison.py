@@ -15,14 +15,15 @@ def stats_columns(a: str = "a_kg", b: str = "b_kg") -> list[Column]:
     """Pearson, RMSE, MAE, MAPE (percent) and n of pairs (a, b).
 
     Pearson is null with fewer than two pairs or a constant side. Pairs with b = 0 add nothing to
-    MAPE but stay in its denominator.
+    MAPE but stay in its denominator. A row that lacks a side is no pair.
     """
-    x, y = F.col(a), F.col(b)
-    n = F.count(F.lit(1))
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    n = F.count(x)
     varied = (n >= 2) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
     # corr() divides by zero on a constant side before the guard can drop the result
     pearson = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    relative = F.when(y != 0, F.abs((y - x) / y)).otherwise(F.lit(0.0))
+    relative = F.when(both, F.when(y != 0, F.abs((y - x) / y)).otherwise(F.lit(0.0)))
     return [
         F.when(varied, F.round(pearson, 6)).alias("pearson"),
         F.round(F.sqrt(F.avg((y - x) * (y - x))), 3).alias("rmse"),
@@ -66,6 +67,34 @@ def align_yields(sets: dict[str, DataFrame], parities: DataFrame) -> DataFrame:
     return wide.filter(F.col("_n") > 0).drop("_n")
 
 
+def compare_axes(
+    aligned: DataFrame, axes: dict[str, tuple[str, str]], *, submitted: str, required: str
+) -> DataFrame:
+    """Statistics per axis, overall and per parity group, with the count of failed ids.
+
+    ``failed_count``, on the overall rows, counts the ids with a ``submitted`` yield and no ``required`` one. An axis
+    without a pair keeps its overall row, with n = 0.
+    """
+    failed = F.col(submitted).isNotNull() & F.col(required).isNull()
+    entries = [F.struct(F.lit(axis).alias("axis"), F.col(a).alias("a_kg"), F.col(b).alias("b_kg")) for axis, (a, b) in axes.items()]
+    rows = aligned.select("parity", failed.cast("int").alias("_failed"), F.inline(F.array(*entries)))
+    # one row without yields per axis, so that every axis appears
+    spark = aligned.sparkSession
+    empty = spark.range(1).select(F.explode(F.array(*[F.lit(axis) for axis in axes])).alias("axis"), F.lit(0).alias("_failed"))
+    grouped = rows.unionByName(empty, allowMissingColumns=True).withColumn("parity_group", parity_group(F.col("parity")))
+    out = grouped.groupingSets([[F.col("axis")], [F.col("axis"), F.col("parity_group")]], "axis", "parity_group").agg(
+        F.grouping("parity_group").alias("_all"), *stats_columns(), F.sum("_failed").alias("failed_count")
+    )
+    overall = F.col("_all") == 1
+    named = out.withColumns(
+        {
+            "parity_group": F.when(overall, "all").otherwise(F.col("parity_group")),
+            "failed_count": F.when(overall, F.col("failed_count")),
+        }
+    )
+    return named.filter(overall | (F.col("n") > 0)).drop("_all")
+
+
 def axis_pairs(aligned: DataFrame, axes: dict[str, tuple[str, str]]) -> DataFrame:
     """Long form (test_id, parity, axis, a_kg, b_kg) of every axis where both yields exist."""
     entries = [
@@ -87,21 +116,24 @@ TWO_AXES = {"vs_reference": ("submitted", "reference"), "vs_aly": ("submitted",
 def compare_three_axis(
     challenger: DataFrame, benchmark: DataFrame, truth: DataFrame, parities: DataFrame
 ) -> DataFrame:
-    """Statistics for the three axes overall and per parity group."""
+    """Statistics for the three axes overall and per parity group; a challenger's id without ground truth has failed."""
     aligned = align_yields({"challenger": challenger, "benchmark": benchmark, "aly": truth}, parities)
-    return compare_by_parity(axis_pairs(aligned, THREE_AXES), by=("axis",))
+    return compare_axes(aligned, THREE_AXES, submitted="challenger", required="aly")
 
 
 def compare_two_block(
     submitted: DataFrame, reference: DataFrame, parities: DataFrame, truth: DataFrame | None = None
 ) -> DataFrame:
-    """The older form: submitted against a reference, and against ground truth when given."""
+    """The older form: submitted against a reference, and against ground truth when given.
+
+    A submitted id that the reference lacks has failed.
+    """
     sets = {"submitted": submitted, "reference": reference}
     axes = {"vs_reference": TWO_AXES["vs_reference"]}
     if truth is not None:
         sets["aly"] = truth
         axes = TWO_AXES
-    return compare_by_parity(axis_pairs(align_yields(sets, parities), axes), by=("axis",))
+    return compare_axes(align_yields(sets, parities), axes, submitted="submitted", required="reference")
 
 
 def failed_count(submitted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -78,18 +78,19 @@ def det_label(name: Column, score: Column) -> Column:
     )
 
 
-def det_summary(df: DataFrame, *, order: str = "det_id", max_per_row: int = 10000) -> DataFrame:
+def det_summary(df: DataFrame, *, order: str = "det_id", max_per_row: int | None = None) -> DataFrame:
     """Detections per image as arrays in ``order``: boxes in three formats, ids, names, scores, labels.
 
-    An image with more than ``max_per_row`` detections is written as several parts by ``order`` range,
-    so that no row or task holds an unbounded group; ``part`` is 0 otherwise. ``order`` must be a whole
-    number unique per detection, and parts are cut by its value modulo the number of parts needed.
+    One row per image, part 0. A caller that can work on parts may give ``max_per_row``: an image with more
+    detections is then cut by the hash of ``order`` (unique per detection) into parts of about that many.
     """
     corners = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    counts = df.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
-    big = counts.filter(F.col("_n") > max_per_row).withColumn("_parts", F.ceil(F.col("_n") / max_per_row))
-    cut = join_lookup(df, big.select("image_id", "_parts"), ["image_id"])
-    cut = cut.withColumn("part", F.coalesce(F.pmod(F.col(order), F.col("_parts")), F.lit(0)).cast("bigint"))
+    cut = df.withColumn("part", F.lit(0).cast("bigint"))
+    if max_per_row is not None:
+        counts = df.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / max_per_row).alias("_parts"))
+        cut = join_lookup(df, counts.filter("_parts > 1"), ["image_id"])
+        part = F.pmod(F.xxhash64(order), F.coalesce("_parts", F.lit(1)))
+        cut = cut.withColumn("part", part.cast("bigint")).drop("_parts")
     item = F.struct(
         F.col(order).alias("_o"),
         F.array(*corners).alias("xyxy"),

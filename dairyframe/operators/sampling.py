@@ -21,7 +21,7 @@ def stratified_sample(lactations: DataFrame, n: int, *, seed: int = 42, id_colum
     quota = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / everything, 0).cast("bigint"))
     quotas = sizes.select("_parity", F.when(everything <= n, F.col("_size")).otherwise(quota).alias("_quota"))
     ranked = with_rank(keyed, id_column, seed, keys=["_parity"])
-    chosen = join_lookup(ranked, quotas, ["_parity"], "inner").withColumn("_in", F.col("_rank") <= F.col("_quota"))
+    chosen = join_lookup(ranked, quotas, ["_parity"], "inner", bounded=True).withColumn("_in", F.col("_rank") <= F.col("_quota"))
     picked = chosen.orderBy(F.desc("_in"), shuffle_key(id_column, seed + 1), id_column).limit(n)
     return picked.select(*lactations.columns)
 

@@ -3,27 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BROADCAST_ROWS = 100_000
+HOT_ROWS = 1_000_000
 SALTS = 32
 
 
 def join_lookup(
-    big: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, max_rows: int = BROADCAST_ROWS
+    big: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    *,
+    bounded: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join a lookup table whose keys may be hot in ``big``.
+    """Join a lookup table whose keys may be hot in ``big``; nothing runs before the result is asked for.
 
-    The table is counted up to ``max_rows`` + 1 rows. Within the bound it is broadcast, so ``big`` does
-    not move. Beyond it the join is salted: each table row is repeated once per salt and every row of
-    ``big`` picks one salt, which splits a hot key over ``SALTS`` tasks.
+    ``bounded`` says that the table's size is limited by its meaning (days of a lactation, hash buckets): it is
+    broadcast. Otherwise an aggregate over ``big`` finds the keys with more than ``hot_rows`` rows, at most one per
+    ``hot_rows`` rows of ``big``. Only the table rows of those keys are copied, once per ``hot_rows`` rows, and the
+    rows of a hot key are spread over the copies by their hash. Rows with a null key, which match nothing, are spread
+    too. Rows alike in every column stay together; the adaptive skew join splits those.
     """
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(table), list(on), how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+    keys = list(on)
+    if bounded:
+        return big.join(F.broadcast(table), keys, how)
+    known = big.select(*keys).dropna()
+    sizes = known.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias("_copies"))
+    hot = sizes.filter("_copies > 1")
+    missing = reduce(or_, [F.col(k).isNull() for k in keys])
+    copies = F.when(missing, F.lit(SALTS)).otherwise(F.coalesce("_copies", F.lit(1)))
+    # maps have no hash
+    hashed = F.xxhash64(*[f.name for f in big.schema if "map<" not in f.dataType.simpleString()])
+    spread = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(hashed, copies).cast("int")).drop("_copies")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    copied = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", salts).drop("_copies")
+    return spread.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def top_per_key(
@@ -54,8 +73,8 @@ def with_rank(
     Rows fall into 16**hex_digits buckets by the head of their shuffle key. Bucket counts are summed
     with partial aggregation, the running total over that small table gives each bucket its offset, and
     only rows inside a bucket are ranked against each other. ``id_column`` must be unique; raise
-    ``hex_digits`` when rows per bucket outgrow a task. The offsets have at most one row per key and
-    bucket, and are joined through the checked lookup.
+    ``hex_digits`` when rows per bucket outgrow a task. ``keys`` must take few values (strata): the offsets,
+    at most one row per stratum and bucket, are broadcast.
     """
     keyed = df.withColumn("_order", shuffle_key(id_column, seed))
     keyed = keyed.withColumn("_bucket", F.substring("_order", 1, hex_digits))
@@ -64,5 +83,5 @@ def with_rank(
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_order", id_column)
     ranked = keyed.withColumn("_local", F.row_number().over(inside))
-    joined = join_lookup(ranked, offsets, [*keys, "_bucket"], "inner")
+    joined = join_lookup(ranked, offsets, [*keys, "_bucket"], "inner", bounded=True)
     return joined.withColumn("_rank", F.col("_offset") + F.col("_local")).drop("_bucket", "_local", "_offset", "_order")

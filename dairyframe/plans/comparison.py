@@ -66,8 +66,9 @@ def by_parity(spark, sf_dir):
     "compare_three_axis",
     ds.with_views(
         "testday aly cow",
-        f"""SELECT axis, g AS parity_group, {STATS_SQL} FROM grouped GROUP BY 1, 2
-            UNION ALL SELECT axis, 'all', {STATS_SQL} FROM grouped GROUP BY 1""",
+        f"""SELECT axis, g AS parity_group, {STATS_SQL}, CAST(NULL AS BIGINT) AS failed_count FROM grouped GROUP BY 1, 2
+            UNION ALL SELECT axis, 'all', {STATS_SQL}, (SELECT count(*) FROM challenger WHERE test_id NOT IN (SELECT test_id FROM truth))
+            FROM grouped GROUP BY 1""",
         **SETS,
     ),
 )
@@ -81,8 +82,9 @@ def three_axis(spark, sf_dir):
     "compare_two_block",
     ds.with_views(
         "testday aly cow",
-        f"""SELECT axis2 AS axis, g AS parity_group, {STATS_SQL} FROM two GROUP BY 1, 2
-            UNION ALL SELECT axis2, 'all', {STATS_SQL} FROM two GROUP BY 1""",
+        f"""SELECT axis2 AS axis, g AS parity_group, {STATS_SQL}, CAST(NULL AS BIGINT) AS failed_count FROM two GROUP BY 1, 2
+            UNION ALL SELECT axis2, 'all', {STATS_SQL}, (SELECT count(*) FROM challenger WHERE test_id NOT IN (SELECT test_id FROM benchmark))
+            FROM two GROUP BY 1""",
         **SETS,
         two="""SELECT *, CASE axis WHEN 'challenger_vs_aly' THEN 'vs_aly' ELSE 'vs_reference' END AS axis2 FROM grouped
                WHERE axis <> 'benchmark_vs_aly'""",

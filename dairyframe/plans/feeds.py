@@ -39,7 +39,7 @@ def _after(date: str, days):
     return F.timestamp_add("DAY", days.cast("int"), F.lit(date).cast("timestamp"))
 
 
-def feed(spark, sf_dir):
+def items(spark, sf_dir):
     c = F.col
     status = c("o_orderstatus")
     submissions = ds.table(spark, sf_dir, "orders").select(
@@ -83,7 +83,12 @@ def feed(spark, sf_dir):
         F.lit(0).alias("failed_count"),
     )
     kinds = dict(zip(fd.CATEGORIES, (submissions, challenges, uploads, profiles)))
-    return lk.with_owner(fd.feed_union(kinds), users(spark, sf_dir), organizations(spark, sf_dir))
+    return fd.feed_union(kinds)
+
+
+def feed(spark, sf_dir):
+    """The feed with the names of its owners."""
+    return lk.with_owner(items(spark, sf_dir), users(spark, sf_dir), organizations(spark, sf_dir))
 
 
 SHOWN = ("item_type", "item_id", "title", "organization_name", "user_email", "status", "created_at")
@@ -108,7 +113,7 @@ def union(spark, sf_dir):
 
 @query("feed_problem_flag", ds.with_views("", "SELECT item_type, item_id, status, problem FROM feed", **FEED))
 def problem(spark, sf_dir):
-    return feed(spark, sf_dir).select("item_type", "item_id", "status", "problem")
+    return items(spark, sf_dir).select("item_type", "item_id", "status", "problem")
 
 
 COUNTS_SQL = ", ".join(f"count(*) FILTER (WHERE item_type = '{k}') AS {k}s" for k in fd.CATEGORIES)
@@ -124,7 +129,7 @@ COUNTS_SQL = ", ".join(f"count(*) FILTER (WHERE item_type = '{k}') AS {k}s" for
     ),
 )
 def kpis(spark, sf_dir):
-    return fd.feed_kpis(feed(spark, sf_dir))
+    return fd.feed_kpis(items(spark, sf_dir))
 
 
 @query(
@@ -149,13 +154,12 @@ def by_org(spark, sf_dir):
                   max(created_at) AS latest_activity_at
            FROM (VALUES ('benchmark_submission', 'Benchmark submission'), ('benchmark_challenge', 'Benchmark challenge'),
                         ('herd_dataset_upload', 'Herd dataset upload'), ('herd_profile', 'Herd profile')) AS k(item_type, label)
-           LEFT JOIN (SELECT * FROM feed WHERE item_type <> 'herd_profile') feed USING (item_type) GROUP BY 1, 2""",
+           LEFT JOIN feed USING (item_type) GROUP BY 1, 2""",
         **FEED,
     ),
 )
 def by_category(spark, sf_dir):
-    # profiles are left out, so that an empty kind occurs
-    return fd.feed_by_category(feed(spark, sf_dir).filter("item_type <> 'herd_profile'"))
+    return fd.feed_by_category(items(spark, sf_dir))
 
 
 STATS_JSON_SQL = """

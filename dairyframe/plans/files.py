@@ -50,9 +50,9 @@ def testday_csv(spark, sf_dir):
     "src_benchmark_testday_csv",
     ds.with_views(
         "testday cow",
-        """SELECT 'T' || t.test_id AS test_id, CAST(row_number() OVER (PARTITION BY t.test_id ORDER BY dim, milk) - 1 AS INTEGER) AS slot,
+        """SELECT 'T' || t.test_id AS test_id, CAST(row_number() OVER (PARTITION BY t.test_id ORDER BY dim, pos) - 1 AS INTEGER) AS slot,
                   dim, milk AS milk_kg, parity
-           FROM (SELECT test_id, dim, milk_kg + 0.5 AS milk FROM testday WHERE dim % 31 <> 0) t
+           FROM (SELECT test_id, dim, pos, milk_kg + 0.5 AS milk FROM testday WHERE dim % 31 <> 0) t
            JOIN (SELECT test_id, arg_min(dim % 4, pos) FILTER (WHERE dim % 3 <> 0) AS parity FROM testday WHERE dim % 31 <> 0 GROUP BY 1) p USING (test_id)""",
     ),
 )
@@ -189,8 +189,7 @@ def lactation_json(spark, sf_dir):
         F.array(F.lit("calving")).alias("events"),
     )
     documents.write.option("ignoreNullFields", "false").json(path)
-    # written as JSON lines; the reader takes one document per file by default, lines via the pattern
-    rows = spark.read.schema(fl.LACTATION_SCHEMA).json(path)
+    rows = fl.read_lactation_json(spark, path, pattern="*.json", lines=True)
     return rows.select(
         "animal_id",
         "parity",
@@ -205,7 +204,7 @@ def lactation_json(spark, sf_dir):
 def export_csv(spark, sf_dir):
     records = al.nest_lactation(ds.testday(spark, sf_dir)).join(ds.cow(spark, sf_dir), "test_id")
     path = scratch_path(spark, "export")
-    sinks.write_csv(sinks.export_rows(records), path)
+    sinks.write_csv(sinks.export_rows(records, herd=True), path)
     return spark.read.csv(path, header=True, schema="TestId string, herd_id bigint, parity int, dim int, milk_kg double")
 
 
@@ -217,7 +216,7 @@ def export_csv(spark, sf_dir):
     ),
 )
 def json_gzip(spark, sf_dir):
-    records = al.nest_lactation(ds.testday(spark, sf_dir)).drop("part")
+    records = al.nest_lactation(ds.testday(spark, sf_dir))
     path = scratch_path(spark, "payload")
     counts = sinks.write_json_gzip(records, path, record_id="test_id")
     rows = al.unnest_lactation(spark.read.schema("test_id bigint, dim array<int>, milk_kg array<double>").json(path))
@@ -274,12 +273,13 @@ def preset_json(spark, sf_dir):
     )
     path = scratch_path(spark, "preset-docs")
     documents.select(
-        F.lit("demo").alias("dataset"), F.lit("full").alias("size"), F.lit("all").alias("period"),
+        F.lit("demo").alias("dataset"), F.lit("full").alias("size"), F.col("doc").cast("string").alias("period"),
         F.size("cows").cast("bigint").alias("cow_count"), "cows", "actual_yields",
     ).write.json(path)
-    presets = spark.read.schema(fl.PRESET_SCHEMA).json(path)
-    records = fl.preset_cows(presets).select(F.col("cow_id").alias("test_id"), F.size("dim").alias("records"))
-    joined = records.join(fl.preset_yields(presets).select("test_id", "yield_kg"), "test_id")
+    presets = fl.read_presets(spark, path, lines=True)
+    document = ["dataset", "size", "period"]
+    records = fl.preset_cows(presets).select(*document, F.col("cow_id").alias("test_id"), F.size("dim").alias("records"))
+    joined = records.join(fl.preset_yields(presets), [*document, "test_id"])
     return joined.select(F.col("test_id").cast("bigint").alias("test_id"), "records", "yield_kg")
 
 
@@ -301,8 +301,7 @@ def _artifacts(spark, sf_dir):
         (F.col("doc_id") * 7919 % 1009).alias("created_at"),
         F.col("lang").alias("content_type"),
         F.lit("utf-8").alias("encoding"),
-        # the first word only is shared by many documents, which makes the copies
-        F.split("text", " ")[0].alias("content"),
+        F.col("text").alias("content"),
     )
 
 
@@ -310,12 +309,20 @@ def _artifacts(spark, sf_dir):
     "sink_content_dedup",
     """SELECT sha256(c) AS sha256, CAST(strlen(c) AS INTEGER) AS size, lang AS content_type, 'utf-8' AS encoding,
               arg_min(doc_id, (doc_id * 7919 % 1009) * 1000000000 + doc_id) AS kept_id, count(*) AS copies
-       FROM (SELECT doc_id, lang, string_split(text, ' ')[1] AS c FROM documents) GROUP BY 1, 2, 3""",
+       FROM (SELECT doc_id, lang, text AS c FROM documents) GROUP BY 1, 2, 3""",
 )
 def dedup(spark, sf_dir):
     return sinks.content_dedup(_artifacts(spark, sf_dir))
 
 
+@query(
+    "sink_content_links",
+    """SELECT doc_id AS artifact_id, first_value(doc_id) OVER (PARTITION BY text, lang ORDER BY doc_id * 7919 % 1009, doc_id) AS kept_id FROM documents""",
+)
+def links(spark, sf_dir):
+    return sinks.content_links(_artifacts(spark, sf_dir))
+
+
 @query(
     "sink_unreferenced",
     """SELECT doc_id AS artifact_id FROM documents WHERE doc_id NOT IN (SELECT o_orderkey % 3000 FROM orders WHERE o_custkey % 2 = 0)
@@ -329,7 +336,19 @@ def orphans(spark, sf_dir):
     return sinks.unreferenced(_artifacts(spark, sf_dir), references).select("artifact_id")
 
 
-@query("src_binary_files")
+@query(
+    "src_binary_files",
+    """SELECT 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS label, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS size,
+              sum(coalesce(strlen(text), 0) + 1)::BIGINT AS content_bytes, sum(length(text) - length(replace(text, 'e', '')))::BIGINT AS letters_e
+       FROM documents GROUP BY 1""",
+)
 def binary_files(spark, sf_dir):
-    """The files of the data folder with their labels; a listing has no SQL twin."""
-    return fl.read_files(spark, sf_dir, pattern="*.parquet", recursive=False).select("filename", "label", "size")
+    """The documents as files in one folder per language, listed and read whole."""
+    path = scratch_path(spark, "binary")
+    ds.table(spark, sf_dir, "documents").select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(path)
+    text = F.decode("content", "UTF-8")
+    return fl.read_files(spark, path, pattern="*.txt").groupBy("label").agg(
+        F.sum("size").alias("size"),
+        F.sum(F.length("content")).cast("bigint").alias("content_bytes"),
+        F.sum(F.length(text) - F.length(F.replace(text, F.lit("e"), F.lit("")))).cast("bigint").alias("letters_e"),
+    )

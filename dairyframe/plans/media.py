@@ -69,17 +69,14 @@ def classes(spark, sf_dir):
     "det_summary",
     ds.with_views(
         "detections",
-        """SELECT image_id, det_id % parts AS part, CAST(count(*) AS INTEGER) AS num_predictions,
+        """SELECT image_id, 0::BIGINT AS part, CAST(count(*) AS INTEGER) AS num_predictions,
                   string_agg(class_name, ',' ORDER BY det_id) AS class_names,
                   round(sum(x1 + 2 * y1 + 3 * x2 + 4 * y2), 3) AS corner_sum, round(sum(x2 - x1), 3) AS width_sum, count(score) AS scored
-           FROM detections JOIN (SELECT image_id, CASE WHEN count(*) > 4 THEN CAST(ceil(count(*) / 4) AS BIGINT) ELSE 1 END AS parts
-                                 FROM detections GROUP BY 1) USING (image_id)
-           GROUP BY 1, 2""",
+           FROM detections GROUP BY 1""",
     ),
 )
 def summary(spark, sf_dir):
-    # four detections per row at most, so that the splitting of busy images is exercised too
-    out = dt.det_summary(ds.detections(spark, sf_dir), max_per_row=4)
+    out = dt.det_summary(ds.detections(spark, sf_dir))
 
     def total(values):
         return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)

@@ -132,7 +132,7 @@ def windows(spark, sf_dir):
 
 
 def _nested(spark, sf_dir):
-    return al.nest_lactation(ds.testday(spark, sf_dir)).drop("part")
+    return al.nest_lactation(ds.testday(spark, sf_dir))
 
 
 def _last_of_day(spark, sf_dir):

@@ -286,35 +286,52 @@ def deviation(spark, sf_dir):
     return _digest(bp.deviation_vector(ds.testday(spark, sf_dir), CURVE[1:]), "deviation")
 
 
-B1, B2, RHO = 4.0, 25.0, 0.98
+B1, B2 = 4.0, 25.0
 
 
-@query("best_prediction_yield")
+@query(
+    "best_prediction_yield",
+    ds.with_views(
+        "testday",
+        # b1 * I + b2 * J has an inverse in closed form for any number of days
+        f"""SELECT test_id, round((SELECT sum({g_sql("d")}) FROM (SELECT unnest(range(1, 306)) AS d))
+                   + {B1 + 305 * B2} * coalesce(s, 0) / ({B1} + coalesce(n, 0) * {B2}), 3) AS yield_kg
+            FROM (SELECT DISTINCT test_id FROM testday) LEFT JOIN (SELECT test_id, count(*) AS n, sum(v) AS s FROM one GROUP BY 1) USING (test_id)""",
+        one=f"""SELECT test_id, dim, arg_max(milk_kg, pos) - {g_sql("dim")} AS v FROM testday WHERE dim <= 305 GROUP BY 1, 2""",
+    ),
+)
 def best_prediction(spark, sf_dir):
-    """Checked against a brute-force solve in the tests, and in SQL for one or two days below."""
-    out = bp.best_prediction_yield(ds.testday(spark, sf_dir), CURVE[1:], bp.ar1_covariance(B1, B2, RHO))
-    return out.withColumn("yield_kg", F.round("yield_kg", 4))
+    """All correlations 1, which SQL can follow; fading ones are checked against a brute-force solve in the tests."""
+    out = bp.best_prediction_yield(ds.testday(spark, sf_dir), CURVE[1:], bp.ar1_covariance(B1, B2, 1.0))
+    return out.withColumn("yield_kg", F.round("yield_kg", 3))
+
+
+CANDIDATES = [(0.0, 0.9), (0.0, 0.98), (0.5, 1.0), (3.0, 1.0)]
 
 
 @query(
-    "best_prediction_two_days",
+    "ar1_log_likelihood",
     ds.with_views(
         "testday",
-        f"""SELECT test_id, round(base + CASE WHEN n = 1 THEN s1 * v1 / {B1 + B2}
-                     ELSE (s1 * ({B1 + B2} * v1 - o * v2) + s2 * ({B1 + B2} * v2 - o * v1)) / ({B1 + B2} * {B1 + B2} - o * o) END, 3) AS yield_kg
-            FROM (SELECT p.*, a.s AS s1, b.s AS s2, {B2} * pow({RHO}::DOUBLE, d2 - d1) AS o,
-                         (SELECT sum({g_sql("d")}) FROM (SELECT unnest(range(1, 306)) AS d)) AS base
-                  FROM p JOIN sums a ON a.j = d1 LEFT JOIN sums b ON b.j = d2)""",
+        # without a day effect the series is a Markov chain, with full correlation the matrix is ratio * I + J
+        """SELECT CAST(k AS INTEGER) AS candidate, CAST(sum(n) AS DOUBLE) AS n, round(sum(log_det), 2) AS log_det, round(sum(quadratic), 2) AS quadratic FROM (
+             SELECT k, count(*) AS n, sum(ln(CASE WHEN gap IS NULL THEN 1 ELSE 1 - pow(rho, 2 * gap) END)) AS log_det,
+                    sum(CASE WHEN gap IS NULL THEN v * v ELSE pow(v - pow(rho, gap) * before, 2) / (1 - pow(rho, 2 * gap)) END) AS quadratic
+             FROM chain, candidates WHERE rho < 1 GROUP BY k
+             UNION ALL
+             SELECT k, sum(m), sum((m - 1) * ln(ratio) + ln(ratio + m)), sum((q - s * s / (ratio + m)) / ratio)
+             FROM (SELECT test_id, count(*) AS m, sum(v) AS s, sum(v * v) AS q FROM one GROUP BY 1), candidates WHERE rho = 1 GROUP BY k)
+           GROUP BY 1""",
         one=f"""SELECT test_id, dim, arg_max(milk_kg, pos) - {g_sql("dim")} AS v FROM testday WHERE dim <= 305 GROUP BY 1, 2""",
-        p="""SELECT test_id, count(*) AS n, min(dim) AS d1, CASE WHEN count(*) = 2 THEN max(dim) END AS d2,
-                    arg_min(v, dim) AS v1, arg_max(v, dim) AS v2 FROM one GROUP BY 1 HAVING count(*) <= 2""",
-        sums=f"""SELECT j, sum({B2} * pow({RHO}::DOUBLE, abs(i - j)) + CASE WHEN i = j THEN {B1} ELSE 0 END) AS s
-                 FROM (SELECT unnest(range(1, 306)) AS i) CROSS JOIN (SELECT unnest(range(1, 306)) AS j) GROUP BY 1""",
+        chain="""SELECT v, lag(v) OVER w AS before, dim - lag(dim) OVER w AS gap FROM one WINDOW w AS (PARTITION BY test_id ORDER BY dim)""",
+        candidates="SELECT * FROM (VALUES "
+        + ", ".join(f"({k}, {ratio}::DOUBLE, {rho}::DOUBLE)" for k, (ratio, rho) in enumerate(CANDIDATES))
+        + ") AS c(k, ratio, rho)",
     ),
 )
-def two_days(spark, sf_dir):
-    out = bp.best_prediction_two_days(ds.testday(spark, sf_dir), CURVE[1:], B1, B2, RHO)
-    return out.withColumn("yield_kg", F.round("yield_kg", 3))
+def likelihood(spark, sf_dir):
+    out = bp.ar1_log_likelihood(bp.deviations(ds.testday(spark, sf_dir), CURVE[1:]), CANDIDATES)
+    return out.withColumns({c: F.round(c, 2) for c in ("log_det", "quadratic")})
 
 
 @query("fit_ar1_covariance")

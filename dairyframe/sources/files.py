@@ -97,17 +97,17 @@ def read_files(spark: SparkSession, root: str, *, pattern: str = "*", recursive:
     )
 
 
-def read_lactation_json(spark: SparkSession, root: str, *, pattern: str = "animal_*.json") -> DataFrame:
-    """One document per lactation; unreadable documents are left out."""
+def read_lactation_json(spark: SparkSession, root: str, *, pattern: str = "animal_*.json", lines: bool = False) -> DataFrame:
+    """One document per lactation, in a file or (``lines``) on a line; unreadable documents are left out."""
     schema = LACTATION_SCHEMA + ", _broken string"
-    docs = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern)
+    docs = spark.read.schema(schema).option("multiLine", not lines).option("pathGlobFilter", pattern)
     docs = docs.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(root)
     return docs.filter(F.col("_broken").isNull() & F.col("animal_id").isNotNull()).drop("_broken")
 
 
-def read_presets(spark: SparkSession, path: str) -> DataFrame:
-    """Preset documents as stored: one row per dataset, size and period."""
-    return spark.read.schema(PRESET_SCHEMA).option("multiLine", True).json(path)
+def read_presets(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Preset documents as stored: one row per dataset, size and period, from a file or (``lines``) a line each."""
+    return spark.read.schema(PRESET_SCHEMA).option("multiLine", not lines).json(path)
 
 
 def preset_cows(presets: DataFrame) -> DataFrame:
@@ -177,12 +177,15 @@ def parse_benchmark_test_day(df: DataFrame) -> DataFrame:
     return rows.filter(usable).withColumn("milk_kg", F.round("milk_kg", 2))
 
 
-def benchmark_lactations(rows: DataFrame, *, max_records: int | None = None) -> DataFrame:
-    """Benchmark rows to records: test_id, parity, herd_id (first known in file order), part, dim, milk_kg."""
+def benchmark_lactations(rows: DataFrame) -> DataFrame:
+    """Benchmark rows to records: test_id, parity, herd_id (first known in file order), dim, milk_kg.
+
+    Records are ordered by day; those of one day keep the file order.
+    """
     heads = rows.groupBy("test_id").agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in ("parity", "herd_id")]
     )
-    return al.nest_lactation(rows, max_records=max_records).join(heads, "test_id")
+    return al.nest_lactation(rows, order="pos").join(heads, "test_id")
 
 
 def parse_actual_yields(df: DataFrame) -> DataFrame:

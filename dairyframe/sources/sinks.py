@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
+from dairyframe.operators.skew import join_lookup
 
-def export_rows(records: DataFrame) -> DataFrame:
-    """Nested records to export rows TestId[, herd_id], parity, dim, milk_kg.
+CONTENT_KEYS = ("sha256", "size", "content_type", "encoding")
 
-    herd_id is there only when some record has one, which one row of the data decides.
-    """
+
+def export_rows(records: DataFrame, *, herd: bool) -> DataFrame:
+    """Nested records to export rows TestId[, herd_id], parity, dim, milk_kg; the caller says whether herds are known."""
     rows = records.select("*").withColumn("_z", F.arrays_zip("dim", "milk_kg")).drop("dim", "milk_kg")
     keep = ["test_id", "parity"]
-    if "herd_id" in records.columns and records.filter(F.col("herd_id").isNotNull()).limit(1).count():
+    if herd:
         keep.insert(1, "herd_id")
     return rows.select(*keep, F.inline("_z")).withColumnRenamed("test_id", "TestId")
 
@@ -42,14 +44,34 @@ def content_dedup(artifacts: DataFrame) -> DataFrame:
     """Identical content is stored once: adds sha256 and kept_id, the oldest artifact of equal content.
 
     The oldest comes from an aggregate with partial sums, so many copies of one content stay cheap; the
-    content itself does not move, only its hash.
+    content itself does not move, only its hash. ``created_at`` and ``artifact_id`` are whole numbers, not negative.
+    """
+    return _oldest(_hashed(artifacts))
+
+
+def content_links(artifacts: DataFrame) -> DataFrame:
+    """Every artifact with the one that is kept for its content: artifact_id, kept_id.
+
+    Very common contents (empty files) are split by the lookup.
     """
-    hashed = artifacts.withColumns({"sha256": F.sha2("content", 256), "size": F.octet_length("content")}).drop("content")
-    keys = ["sha256", "size", "content_type", "encoding"]
-    oldest = hashed.groupBy(*keys).agg(
-        F.min(F.struct("created_at", "artifact_id")).alias("_first"), F.count(F.lit(1)).alias("copies")
+    hashed = _hashed(artifacts)
+    # a null type or encoding would match nothing
+    known = {c: F.coalesce(c, F.lit("")) for c in CONTENT_KEYS if c != "size"}
+    kept = _oldest(hashed).withColumns(known).withColumn("size", F.coalesce("size", F.lit(-1)))
+    rows = hashed.withColumns(known).withColumn("size", F.coalesce("size", F.lit(-1)))
+    return join_lookup(rows, kept.drop("copies"), CONTENT_KEYS, "inner").select("artifact_id", "kept_id")
+
+
+def _hashed(artifacts: DataFrame) -> DataFrame:
+    return artifacts.withColumns({"sha256": F.sha2("content", 256), "size": F.octet_length("content")}).drop("content")
+
+
+def _oldest(hashed: DataFrame) -> DataFrame:
+    # time and id in one number keep the aggregate in fixed-width buffers
+    order = F.col("created_at").cast("decimal(19,0)") * F.lit(Decimal(10**19)) + F.col("artifact_id")
+    return hashed.groupBy(*CONTENT_KEYS).agg(
+        F.min_by("artifact_id", order).alias("kept_id"), F.count(F.lit(1)).alias("copies")
     )
-    return oldest.select(*keys, F.col("_first.artifact_id").alias("kept_id"), "copies")
 
 
 def unreferenced(artifacts: DataFrame, references: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

@@ -48,15 +48,54 @@ def test_empty_sets(spark, sets):
     assert row["n"] == 0 and row["rmse"] is None and row["pearson"] is None
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_lookup_join_is_the_same_salted_or_broadcast(spark, limit):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 40])
+def test_lookup_join_is_the_same_with_hot_keys(spark, hot_rows):
     big = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise((F.col("id") % 9).cast("int")).alias("k"))
     table = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "k int, name string")
     for how in ("left", "inner"):
-        got = sorted(map(tuple, skew.join_lookup(big, table, ["k"], how, max_rows=limit).select("id", "k", "name").collect()), key=str)
+        got = sorted(map(tuple, skew.join_lookup(big, table, ["k"], how, hot_rows=hot_rows).select("id", "k", "name").collect()), key=str)
         assert got == sorted(map(tuple, big.join(table, "k", how).select("id", "k", "name").collect()), key=str)
 
 
+def test_lookup_copies_only_hot_keys(spark):
+    # a third of all rows has key 1, and every ninth row none
+    key = F.when(F.col("id") % 9 == 8, None).when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))
+    big = spark.range(3000).select("id", key.alias("k"), F.create_map(F.lit("x"), F.col("id")).alias("m"))
+    table = spark.range(3000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup-plan", "building the plan must start no job")
+    joined = skew.join_lookup(big, table, ["k"], hot_rows=100)
+    started = status.getJobIdsForGroup("lookup-plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not started
+    rows = joined.collect()
+    assert sorted(r["id"] for r in rows) == list(range(3000))
+    assert all(r["v"] == r["k"] for r in rows)
+
+
+def test_axes_without_pairs_and_failed_ids(spark, sets):
+    yields, parities = sets
+    some = yields.filter("test_id < '15'")
+    none = yields.filter("yield_kg < 0")
+    rows = {(r["axis"], r["parity_group"]): r for r in cmp.compare_three_axis(yields, none, some, parities).collect()}
+    missing = yields.count() - some.count()
+    assert rows[("benchmark_vs_aly", "all")]["n"] == 0 and rows[("benchmark_vs_aly", "all")]["rmse"] is None
+    assert rows[("challenger_vs_aly", "all")]["failed_count"] == missing
+    assert ("benchmark_vs_aly", "1") not in rows
+    two = {(r["axis"], r["parity_group"]): r for r in cmp.compare_two_block(yields, none, parities).collect()}
+    assert two[("vs_reference", "all")]["n"] == 0 and two[("vs_reference", "all")]["failed_count"] == 20
+    empty = cmp.compare_two_block(none, none, parities).collect()
+    assert [(r["parity_group"], r["n"], r["failed_count"]) for r in empty] == [("all", 0, 0)]
+
+
+def test_busy_images_in_parts(spark):
+    rows = [(4 * i, "i", 0.0, 0.0, 1.0, 1.0, 0, "cow", 0.5) for i in range(400)] + [(1, "j", 0.0, 0.0, 1.0, 1.0, 0, "cow", 0.5)]
+    frame = spark.createDataFrame(rows, "det_id bigint, image_id string, x1 double, y1 double, x2 double, y2 double, class_id int, class_name string, score double")
+    assert sorted((r["image_id"], r["num_predictions"]) for r in dt.det_summary(frame).collect()) == [("i", 400), ("j", 1)]
+    parts = dt.det_summary(frame, max_per_row=100).collect()
+    assert sum(r["num_predictions"] for r in parts) == 401 and max(r["num_predictions"] for r in parts) < 150
+
+
 def test_top_per_hot_key(spark):
     rows = spark.range(5000).select((F.col("id") % 5 % 2).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
     got = {}

@@ -90,8 +90,8 @@ def test_benchmark_records_and_export(spark, tmp_path):
     row = records.collect()[0]
     assert records.count() == 1 and (row["test_id"], row["parity"], row["herd_id"]) == ("A", 2, 5)
     assert row["dim"] == [10, 40] and row["milk_kg"] == [25.0, 30.13]
-    assert sinks.export_rows(records).columns == ["TestId", "herd_id", "parity", "dim", "milk_kg"]
-    assert sinks.export_rows(records.withColumn("herd_id", records["herd_id"] * None)).columns == ["TestId", "parity", "dim", "milk_kg"]
+    assert sinks.export_rows(records, herd=True).columns == ["TestId", "herd_id", "parity", "dim", "milk_kg"]
+    assert sinks.export_rows(records, herd=False).columns == ["TestId", "parity", "dim", "milk_kg"]
     with pytest.raises(ValueError):
         fl.parse_benchmark_test_day(spark.createDataFrame([("1", 0)], "id string, pos bigint"))
 

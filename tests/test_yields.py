@@ -107,17 +107,18 @@ def test_partitioning_and_unrelated_rows_change_nothing(testdays, hot_rows):
     assert base == more
 
 
-@pytest.mark.parametrize("size", [1, 7, 1000, 100000])
-def test_nesting_keeps_every_record_in_order(testdays, hot_rows, size):
-    nested = al.nest_lactation(testdays(hot_rows), max_records=size).collect()
-    parts = {}
+def test_nesting_keeps_every_record_in_order(testdays, hot_rows):
+    nested = al.nest_lactation(testdays(hot_rows)).collect()
+    assert sorted(r["test_id"] for r in nested) == sorted({i for i, _, _ in hot_rows})
     for row in nested:
-        assert 1 <= len(row["dim"]) == len(row["milk_kg"]) <= size
-        parts.setdefault(row["test_id"], {})[row["part"]] = list(zip(row["dim"], row["milk_kg"]))
-    for i, pieces in parts.items():
-        joined = [pair for p in sorted(pieces) for pair in pieces[p]]
-        assert sorted(pieces) == list(range(len(pieces)))
-        assert joined == sorted((d, float(m)) for j, d, m in hot_rows if j == i)
+        got = list(zip(row["dim"], row["milk_kg"]))
+        assert got == sorted((d, float(m)) for j, d, m in hot_rows if j == row["test_id"])
+
+
+def test_nesting_in_file_order(testdays):
+    rows = [(1, 5, 30), (1, 5, 20), (1, 2, 9), (1, 5, 30)]
+    row = al.nest_lactation(testdays(rows), order="pos").collect()[0]
+    assert row["dim"] == [2, 5, 5, 5] and row["milk_kg"] == [9.0, 30.0, 20.0, 30.0]
 
 
 def test_ranges_clamp():

@@ -267,6 +267,57 @@ def test_licenses(spark, edges, nothing):
     assert 1 - (1 - 0.5**licenses.ROWS) ** licenses.BANDS > 0.9998
 
 
+def brute_licenses(text, wordings):
+    """License and word range of every run of at most twice a wording's shingles that holds 0.8 of them."""
+    words, out = re.findall("[a-z0-9]+", text.lower()), []
+    grams = list(zip(words, words[1:], words[2:]))
+    for name, texts in wordings.items():
+        for t in texts:
+            w = re.findall("[a-z0-9]+", t.lower())
+            whole = list(zip(w, w[1:], w[2:]))
+            for a in range(len(grams)):
+                part = grams[a : a + 2 * len(whole)]
+                if part[0] in whole and len(set(part) & set(whole)) >= 0.8 * len(set(whole)):
+                    out.append((name, a, max(i for i, g in enumerate(part) if g in whole) + a + 2))
+    return out
+
+
+def test_licenses_with_words_put_in_and_left_out():
+    wordings = licenses.every_wording()
+    index = licenses.index_templates(wordings)
+
+    def spans(text):
+        return [(name, text.encode()[a:b].decode(), share) for name, a, b, share in licenses.find_licenses(text.encode(), index)]
+
+    notice = "This work is licensed under the terms of the GNU General Public License, version 3"
+    assert spans(f"Read: {notice}. End") == [("GPL-3.0", notice, 0.9)]
+    assert spans("It is licensed under the MIT License here") == [("MIT", "under the MIT License", 1.0)]
+    assert spans("Licensed under the law, General Public notice") == []
+    # two stretched notices side by side stay two
+    assert [s[0] for s in spans(f"{notice}. {notice}.")] == ["GPL-3.0", "GPL-3.0"]
+    rng, stretched = random.Random(7), 0
+    for _ in range(400):
+        words = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(rng.choice(list(wordings.values()))).split()
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randrange(2)] = [f"x{rng.randrange(9)}"] * rng.randrange(4)
+                w = w or ["x"]
+            words += w + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(12))]
+        text = " ".join(words)
+        ends = [m.span() for m in re.finditer("[a-z0-9]+", text.lower())]
+        found, brute = licenses.find_licenses(text.encode(), index), brute_licenses(text, wordings)
+        for name, a, b in brute:
+            assert any(s < ends[b][1] and ends[a][0] < e for _, s, e, _ in found), (name, text)
+        for name, s, e, _ in found:
+            assert any(n == name and ends[a][0] < e and s < ends[b][1] for n, a, b in brute), (name, text)
+        stretched += any(share < 1 for *_, share in found)
+    assert stretched > 40
+    low, high = licenses.CONTAINMENT / (max(licenses.STRETCHES) + 1 - licenses.CONTAINMENT), 1e-6
+    assert (1 - low**licenses.ROWS) ** licenses.BANDS < high
+
+
 def test_first_fit_decreasing_like_a_plain_scan():
     rng = random.Random(6)
     for _ in range(50):

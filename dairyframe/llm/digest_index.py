@@ -15,6 +15,8 @@ ORACLE = """
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 BUCKETS = 64
+#: Batches in which the query feeds its documents to the index.
+BATCHES = 4
 
 
 class DigestIndex:
@@ -42,9 +44,17 @@ class DigestIndex:
             return groups
         return groups.join(self.known().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, groups: DataFrame) -> None:
-        """Add rows (digest, keep_id, group_size); each bucket gets one sorted file per append."""
-        rows = groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
+    def again(self, groups: DataFrame) -> DataFrame:
+        """The rows of ``groups`` whose digest the index holds."""
+        return groups.join(self.known().select("digest").hint("merge"), "digest", "left_semi")
+
+    def append(self, groups: DataFrame, *, dealt: bool = False) -> None:
+        """Add rows (digest, keep_id, group_size); each bucket gets one sorted file per append.
+
+        Rows that come straight from a join with the index lie in its buckets (``dealt``) and are not shuffled again.
+        """
+        rows = groups.select("digest", "keep_id", "group_size")
+        rows = rows if dealt else rows.repartition(self.buckets, "digest")
         writer = rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
         writer.option("path", self.path).saveAsTable(self.name)
 
@@ -82,6 +92,41 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, *, id_column:
     else:
         new, settled = groups, groups.withColumn("seen", F.lit(False))
     index.append(new)
+    return marked(rows, settled)
+
+
+def dedup_in_batches(
+    docs: DataFrame, batches: int = BATCHES, *, id_column: str = "doc_id", text_column: str = "text", buckets: int = BUCKETS
+) -> DataFrame:
+    """As ``exact_dedup`` with a new index, but ``docs`` enter it in ``batches`` by hash of the id.
+
+    Every later batch meets the written buckets: what the anti-join passes is appended, the other groups are set aside.
+    At the end these join the index, so largest doc_id and counts hold for all of ``docs``, whatever the batches.
+    """
+    index = DigestIndex(docs.sparkSession, buckets=buckets)
+    rows = digests(docs, id_column=id_column, text_column=text_column)
+    rows = written(rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "digests")
+    aside = None
+    for b in range(batches):
+        found = rows.filter(F.col("batch") == b).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        if not index.exists():
+            index.append(found)
+            continue
+        groups = written(found, "digest-groups")
+        again = written(index.again(groups), "digests-again")
+        aside = again if aside is None else aside.unionByName(again)
+        index.append(index.fresh(groups), dealt=True)
+    settled = index.known()
+    if aside is not None:
+        more = aside.groupBy("digest").agg(F.max("keep_id").alias("later_id"), F.sum("group_size").alias("later"))
+        settled = settled.join(more.hint("merge"), "digest", "left").select(
+            "digest", F.greatest("keep_id", "later_id").alias("keep_id"), (F.col("group_size") + F.coalesce("later", F.lit(0))).alias("group_size")
+        )
+    return marked(rows, written(settled.withColumn("seen", F.lit(False)), "digests-settled"))
+
+
+def marked(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """Every row (doc_id, digest) with its group (digest, keep_id, group_size, seen)."""
     # only repeated texts need their group; every other row is its own
     many = settled.filter((F.col("group_size") > 1) | F.col("seen") | F.col("keep_id").isNull())
     joined = join_counted(rows, many, ["digest"], "group_size", rows.count())
@@ -99,4 +144,4 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, *, id_column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return dedup_in_batches(table(spark, sf_dir, "documents"))

@@ -118,6 +118,31 @@ def test_digest_index_over_batches(spark, edges, nothing):
     assert digest_index.exact_dedup(nothing).count() == 0
 
 
+def test_digest_query_meets_the_index(spark, edges, nothing, monkeypatch):
+    plans, fresh = [], digest_index.DigestIndex.fresh
+
+    def spy(self, groups):
+        out = fresh(self, groups)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(digest_index.DigestIndex, "fresh", spy)
+    got = sorted(map(tuple, digest_index.query(spark, SF).collect()))
+    # every batch but the first is anti-joined with the written buckets, which are not shuffled
+    assert len(plans) == digest_index.BATCHES - 1
+    assert all("SortMergeJoin" in p and "LeftAnti" in p and p.count("Exchange") == 1 for p in plans)
+    groups = {}
+    docs = [(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for i, d in docs:
+        groups.setdefault(d, []).append(i)
+    assert any(len(g) > 1 for g in groups.values())
+    assert got == sorted((i, max(groups[d]), len(groups[d]), i == max(groups[d]), d) for i, d in docs)
+    for batches in (1, 3):
+        one = sorted(map(str, digest_index.exact_dedup(edges).collect()))
+        assert sorted(map(str, digest_index.dedup_in_batches(edges, batches).collect())) == one
+    assert digest_index.dedup_in_batches(nothing).count() == 0
+
+
 def test_line_runs_levels_and_rules(spark, edges, nothing):
     line = "Shared line of more than twenty letters"
     docs = make(spark, [(i, f"  {line.upper() if i % 2 else line}\t\nown {i}\nshort", "en", "a") for i in range(9)] + [(4, f"{line}\n{line}\nother", "en", "a")])

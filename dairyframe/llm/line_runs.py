@@ -21,6 +21,7 @@ ORACLE = """
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
+RUN = "h binary, docs long, lines long, keeper long"
 
 
 def line_key(line: Column) -> Column:
@@ -33,60 +34,78 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Line hashes seen so far, as sorted runs in levels.
 
-    A run has one row per hash: docs, lines and keeper (largest id) of the batches it covers. Every batch is
-    merge-anti-joined with the runs and written as a run of level 0, in which ``fresh`` tells the hashes
-    no earlier run holds. ``fanout`` runs of a level are compacted into one run of the next, so a hash lies
-    in at most ``fanout`` runs per level and each row is rewritten once per level.
+    A run has one row per hash that no earlier run held when it was written: docs, lines and keeper (largest id). Every
+    batch is split by merge-joins with the runs: hashes that pass all anti-joins are a run of level 0, the others are
+    additions to the one run that holds them, merge-joined into its counts and keepers when it is read. ``fanout`` runs
+    of a level are compacted into one run of the next, with their additions; runs never share a hash.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.path = path or scratch_path(spark, "line-runs")
         self.levels: list[list[str]] = []
+        self.additions: dict[str, list[str]] = {}
         self.made = 0
 
-    def _runs(self) -> list[DataFrame]:
-        return [self.spark.read.parquet(p) for level in self.levels for p in level]
+    def _held(self) -> list[str]:
+        return [p for level in self.levels for p in level]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        path = f"{self.path}/level-{level}-run-{self.made}"
+    def _write(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.path}/{name}-{self.made}"
         self.made += 1
         rows.sortWithinPartitions("h").write.parquet(path)
+        return path
+
+    def _put(self, rows: DataFrame, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        path = self._write(rows, f"level-{level}-run")
         self.levels[level].append(path)
+        self.additions[path] = []
+
+    def _plain(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*paths)
 
     def add(self, batch: DataFrame) -> None:
         """Add rows (h, docs, lines, keeper), one per hash; documents of different batches are distinct."""
         batch = batch.select("h", "docs", "lines", "keeper")
+        if self._held():
+            batch = self._plain(self._write(batch, "batch"))
         fresh = batch
-        for run in self._runs():
-            fresh = fresh.join(run.filter("fresh").select("h").hint("merge"), "h", "left_anti")
-        if self.levels:
-            marked = fresh.select("h", F.lit(True).alias("fresh"))
-            batch = batch.join(marked.hint("merge"), "h", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        self._write(batch, 0)
+        for run in self._held():
+            hashes = self._plain(run).select("h").hint("merge")
+            self.additions[run].append(self._write(batch.join(hashes, "h", "left_semi"), "addition"))
+            fresh = fresh.join(hashes, "h", "left_anti")
+        self._put(fresh, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self._merge([self.spark.read.parquet(p) for p in self.levels[level]])
-            self._write(merged, level + 1)
+            self._put(self._union(self.levels[level]), level + 1)
             self.levels[level] = []
             level += 1
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy("h").agg(
-            F.sum("docs").alias("docs"), F.sum("lines").alias("lines"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh")
+    def _run(self, path: str) -> DataFrame:
+        """A run with its additions."""
+        if not self.additions[path]:
+            return self._plain(path)
+        more = self._plain(*self.additions[path]).groupBy("h")
+        more = more.agg(F.sum("docs").alias("more_docs"), F.sum("lines").alias("more_lines"), F.max("keeper").alias("more_keeper"))
+        none = F.lit(0)
+        return self._plain(path).join(more.hint("merge"), "h", "left").select(
+            "h",
+            (F.col("docs") + F.coalesce("more_docs", none)).alias("docs"),
+            (F.col("lines") + F.coalesce("more_lines", none)).alias("lines"),
+            F.greatest("keeper", "more_keeper").alias("keeper"),
         )
 
+    def _union(self, paths: list[str]) -> DataFrame:
+        every = self._run(paths[0])
+        for path in paths[1:]:
+            every = every.unionByName(self._run(path))
+        return every
+
     def totals(self) -> DataFrame:
-        """One row per hash over all runs."""
-        return self._merge(self._runs())
+        """One row per hash over all runs, each from the run that holds it."""
+        return self._union(self._held())
 
 
 def line_dedup(

@@ -154,6 +154,19 @@ def test_line_runs_levels_and_rules(spark, edges, nothing):
     assert line_runs.line_dedup(nothing).count() == 0
 
 
+def test_line_runs_hold_every_hash_once(spark):
+    rng, runs, want = random.Random(9), line_runs.LineRuns(spark, fanout=3), {}
+    for b in range(4):
+        rows = [(bytes([h]), rng.randrange(1, 5), rng.randrange(5, 9), rng.randrange(100)) for h in rng.sample(range(40), 15)]
+        for h, docs, lines, keeper in rows:
+            d, n, k = want.get(h, (0, 0, -1))
+            want[h] = (d + docs, n + lines, max(k, keeper))
+        runs.add(spark.createDataFrame(rows, line_runs.RUN))
+    held = [r.h for level in runs.levels for p in level for r in spark.read.parquet(p).collect()]
+    assert len(runs.levels) == 2 and len(held) == len(set(held)) == len(want) < 60
+    assert sorted((bytes(r.h), r.docs, r.lines, r.keeper) for r in runs.totals().collect()) == sorted((h, *v) for h, v in want.items())
+
+
 def brute_groups(rows, size, similar):
     sets, low = {}, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for i, t in rows:

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from dairyframe.llm import (
     bigru_language,
+    conversation_repair,
     counterfactual_toxicity,
     coordinate_near_dedup,
     digest_index,
     efraimidis_mix,
     ffd_packing,
+    hard_negatives,
     license_windows,
     line_runs,
+    pii_disclosure,
     suffix_groups,
     tiled_topk,
 )
@@ -31,6 +34,9 @@ _MODULES = (
     tiled_topk,
     line_runs,
     digest_index,
+    hard_negatives,
+    pii_disclosure,
+    conversation_repair,
 )
 
 

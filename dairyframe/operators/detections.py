@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dairyframe.operators import chunks
 from dairyframe.operators.skew import join_lookup
 
 BOX_FORMATS = ("xyxy", "xywh", "ltwh")
@@ -84,14 +85,29 @@ def det_summary(df: DataFrame, *, order: str = "det_id", max_per_row: int | None
     One row per image, part 0. A caller that can work on parts may give ``max_per_row``: an image with more
     detections is then cut by the hash of ``order`` (unique per detection) into parts of about that many.
     """
-    corners = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     cut = df.withColumn("part", F.lit(0).cast("bigint"))
     if max_per_row is not None:
         counts = df.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / max_per_row).alias("_parts"))
         cut = join_lookup(df, counts.filter("_parts > 1"), ["image_id"])
         part = F.pmod(F.xxhash64(order), F.coalesce("_parts", F.lit(1)))
         cut = cut.withColumn("part", part.cast("bigint")).drop("_parts")
-    item = F.struct(
+    packed = cut.groupBy("image_id", "part").agg(F.array_sort(F.collect_list(_item(order))).alias("d"))
+    return packed.select("image_id", "part", *_summary("d"))
+
+
+def det_chunks(df: DataFrame, *, order: str = "det_id", size: int = chunks.SIZE) -> DataFrame:
+    """The summary of an image as rows of at most ``size`` detections: image_id, chunk, offset, then as in :func:`det_summary`.
+
+    Detections are in ``order`` over the chunks of an image; one image with a third of all detections lies in many tasks.
+    """
+    items = df.select("image_id", F.col(order).alias("_order"), _item(order).alias("_item"))
+    rows = chunks.ordered_chunks(items, keys=["image_id"], order=["_order"], fields=["_item"], size=size)
+    return rows.select("image_id", "chunk", "offset", *_summary("_item"))
+
+
+def _item(order: str) -> Column:
+    corners = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    return F.struct(
         F.col(order).alias("_o"),
         F.array(*corners).alias("xyxy"),
         F.array(*box_convert(corners, "xyxy", "xywh")).alias("xywh"),
@@ -101,21 +117,21 @@ def det_summary(df: DataFrame, *, order: str = "det_id", max_per_row: int | None
         "score",
         det_label(F.col("class_name"), F.col("score")).alias("label"),
     )
-    packed = cut.groupBy("image_id", "part").agg(F.array_sort(F.collect_list(item)).alias("d"))
-    return packed.select(
-        "image_id",
-        "part",
-        F.col("d.xyxy").alias("boxes_xyxy"),
-        F.col("d.xywh").alias("boxes_xywh"),
-        F.col("d.ltwh").alias("boxes_ltwh"),
-        F.col("d.class_id").alias("class_ids"),
-        F.col("d.class_name").alias("class_names"),
-        F.col("d.score").alias("scores"),
-        F.col("d.label").alias("labels"),
-        F.size("d").alias("num_predictions"),
+
+
+def _summary(d: str) -> list[Column]:
+    return [
+        F.col(f"{d}.xyxy").alias("boxes_xyxy"),
+        F.col(f"{d}.xywh").alias("boxes_xywh"),
+        F.col(f"{d}.ltwh").alias("boxes_ltwh"),
+        F.col(f"{d}.class_id").alias("class_ids"),
+        F.col(f"{d}.class_name").alias("class_names"),
+        F.col(f"{d}.score").alias("scores"),
+        F.col(f"{d}.label").alias("labels"),
+        F.size(d).alias("num_predictions"),
         F.lit(False).alias("has_masks"),
         F.struct(F.lit("xyxy").alias("box_format"), F.lit("bgr").alias("color_format")).alias("metadata"),
-    )
+    ]
 
 
 def image_reject(height: Column, width: Column, channels: Column, *, low: int = 32, high: int = 8192, required: int = 3) -> Column:

@@ -245,6 +245,20 @@ def nest(spark, sf_dir):
     return nested_rows(al.nest_lactation(ds.testday(spark, sf_dir)))
 
 
+@query(
+    "nest_chunks",
+    ds.with_views(
+        "testday",
+        "SELECT test_id, row_number() OVER (PARTITION BY test_id ORDER BY dim, pos) - 1 AS slot, dim, milk_kg FROM testday",
+    ),
+)
+def nest_in_chunks(spark, sf_dir):
+    """Chunks of three records, laid out again by their offsets."""
+    rows = al.nest_chunks(ds.testday(spark, sf_dir), size=3)
+    laid = rows.select("test_id", "offset", F.posexplode(F.arrays_zip("dim", "milk_kg")).alias("at", "r"))
+    return laid.select("test_id", (F.col("offset") + F.col("at")).alias("slot"), "r.dim", "r.milk_kg")
+
+
 @query("unnest_lactation", ds.with_views("testday", "SELECT test_id, dim, milk_kg FROM testday"))
 def unnest(spark, sf_dir):
     return al.unnest_lactation(al.nest_lactation(ds.testday(spark, sf_dir)))

@@ -9,7 +9,7 @@ from dairyframe.operators import alignment as al
 from dairyframe.plans import query
 from dairyframe.plans.alignment import PRICE_TEXT_SQL
 from dairyframe.session import scratch_path
-from dairyframe.sources import files as fl, sinks
+from dairyframe.sources import delimited, files as fl, sinks
 
 # An upload as text: comma decimals, flags, blanks, an event column and some unusable cells.
 UPLOAD_SQL = """
@@ -28,6 +28,14 @@ def _upload(spark, sf_dir):
     )
 
 
+def _write_upload(df, path, sep=","):
+    """``df`` as delimited files in the order of ``pos``, cells as they are."""
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows = df.repartitionByRange("pos").sortWithinPartitions("pos").drop("pos")
+    rows.write.options(header=True, sep=sep, escape='"', **spaces).csv(path)
+    return path
+
+
 @query(
     "src_testday_csv",
     ds.with_views(
@@ -38,9 +46,14 @@ def _upload(spark, sf_dir):
     ),
 )
 def testday_csv(spark, sf_dir):
+    """One upload in three layouts: columns in other orders, under other names and with other delimiters."""
     path = scratch_path(spark, "upload")
-    _upload(spark, sf_dir).write.option("header", True).option("sep", ";").csv(path)
-    rows = fl.usable_test_days(fl.parse_test_day(fl.read_delimited(spark, path)))
+    names = ["TestId", "EventType", "DaysInMilk", "DailyMilkingYield"]
+    layouts = [(names, names, ";"), (names[::-1], ["Milk_kg", "Days in Milk", "event_type", "Animal_ID"], ","), ([*names[2:], *names[:2]], ["DIM", "Milk", "CowId", "EventType"], ";")]
+    for i, (order, headers, sep) in enumerate(layouts):
+        part = _upload(spark, sf_dir).filter(F.pmod(F.xxhash64(*names), F.lit(3)) == i)
+        part.select(*[F.col(c).alias(h) for c, h in zip(order, headers)]).write.options(header=True, sep=sep).csv(f"{path}/{i}")
+    rows = fl.usable_test_days(fl.parse_test_day_files(spark, path))
     return rows.groupBy("test_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("dim").alias("dim_sum"), F.sum("milk_kg").alias("kg_sum")
     )
@@ -67,7 +80,8 @@ def benchmark_csv(spark, sf_dir):
         .alias("Milk"),
         "pos",
     )
-    records = fl.benchmark_lactations(fl.parse_benchmark_test_day(uploaded))
+    path = _write_upload(uploaded, scratch_path(spark, "benchmark"))
+    records = fl.benchmark_lactations(delimited.read_uploads(spark, path, fl.parse_benchmark_test_day))
     zipped = F.arrays_zip("dim", "milk_kg")
     return records.select("test_id", "parity", F.posexplode(zipped).alias("slot", "r")).select(
         "test_id", "slot", "r.dim", "r.milk_kg", "parity"
@@ -95,7 +109,7 @@ COMMA_SQL = f"SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS test_id, o_orderkey A
 
 @query("src_actual_yield_csv", f"SELECT test_id, arg_max(v, pos) AS yield_kg FROM ({COMMA_SQL}) WHERE v >= 0 GROUP BY 1")
 def actual_csv(spark, sf_dir):
-    return fl.parse_actual_yields(_price_cells(spark, sf_dir))
+    return fl.read_actual_yields(spark, _write_upload(_price_cells(spark, sf_dir), scratch_path(spark, "actual"), ";"))
 
 
 @query(
@@ -104,7 +118,7 @@ def actual_csv(spark, sf_dir):
         UNION ALL SELECT 'failed', test_id, NULL, count(*) FROM ({COMMA_SQL}) WHERE v IS NULL GROUP BY 2""",
 )
 def submission_csv(spark, sf_dir):
-    good, failed = fl.parse_submission(_price_cells(spark, sf_dir))
+    good, failed = fl.read_submission(spark, _write_upload(_price_cells(spark, sf_dir), scratch_path(spark, "submission")))
     bad = failed.groupBy("test_id").agg(F.count(F.lit(1)).alias("n"))
     return good.select(F.lit("good").alias("kind"), "test_id", "yield_kg", F.lit(1).cast("bigint").alias("n")).unionByName(
         bad.select(F.lit("failed").alias("kind"), "test_id", F.lit(None).cast("double").alias("yield_kg"), "n")
@@ -122,8 +136,9 @@ def aggregated_csv(spark, sf_dir):
         F.replace(F.col("c_acctbal").cast("string"), F.lit("."), F.lit(",")).alias("305 Milk"),
         F.when(key % 7 == 0, "unknown").otherwise((key % 600).cast("string")).alias("DIM"),
         F.col("c_name").alias("Remarks"),
+        key.alias("pos"),
     )
-    out = fl.parse_aggregated(uploaded)
+    out = fl.read_aggregated(spark, _write_upload(uploaded, scratch_path(spark, "aggregated")))
     return out.withColumns({c: F.round(c, 4) for c in ("Achieved305Milk", "DaysInMilk")})
 
 
@@ -146,7 +161,8 @@ def herd_export(spark, sf_dir):
         F.when(dim % 3 == 0, (milk * 500).cast("bigint").cast("string")).alias("305ME"),
         "pos",
     )
-    rows = fl.parse_herd_export(uploaded)
+    path = _write_upload(uploaded, scratch_path(spark, "herd-export"), ";")
+    rows = delimited.read_uploads(spark, path, fl.parse_herd_export)
     direct = F.when(F.col("direct_kg") > 0, F.col("pos"))
     return rows.groupBy("test_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -155,6 +171,20 @@ def herd_export(spark, sf_dir):
     )
 
 
+@query(
+    "src_quoted_csv",
+    "SELECT doc_id, source, sha256(coalesce(text, '')) AS sha256, CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM documents",
+)
+def quoted_csv(spark, sf_dir):
+    """Whole documents, line breaks and quotes included, as cells of delimited files, read back split by split."""
+    path = scratch_path(spark, "quoted")
+    rows = ds.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = fl.read_delimited(spark, path, multi_line=True)
+    text = F.coalesce("text", F.lit(""))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.sha2(text, 256).alias("sha256"), F.length(text).cast("long").alias("chars"))
+
+
 @query("src_binary_reject", "SELECT page_id, page_id % 5 < 2 AS rejected FROM pages")
 def binary_reject(spark, sf_dir):
     page = F.col("page_id")
@@ -254,45 +284,50 @@ def preset_partitions(spark, sf_dir):
     return rows.groupBy("dataset", "size", "period").agg(F.count(F.lit(1)).alias("cows"), F.sum("parity").alias("parities"))
 
 
-@query(
-    "src_preset_json",
-    ds.with_views(
-        "testday aly",
-        """SELECT test_id, CAST(n AS INTEGER) AS records, yield_kg FROM (SELECT test_id, count(*) AS n FROM testday GROUP BY 1) JOIN aly USING (test_id)""",
-    ),
-)
-def preset_json(spark, sf_dir):
-    # documents of about a hundred lactations each, as an exporter would cut them
+def _preset_documents(spark, sf_dir):
+    """Documents of about a hundred lactations of one size and period each, as an exporter would cut them."""
     key = F.col("test_id").cast("string")
     cows = al.nest_lactation(ds.testday(spark, sf_dir)).join(ds.aly(spark, sf_dir), "test_id")
     cow = F.struct(
         key.alias("cow_id"), key.alias("display_name"), F.lit(1).alias("parity"), F.lit(1).cast("bigint").alias("herd_id"), "dim", "milk_kg"
     )
-    documents = cows.groupBy((F.col("test_id") / 100).cast("bigint").alias("doc")).agg(
+    kind = _preset_cows(spark, sf_dir).select(F.col("cow_id").alias("test_id"), "dataset", "size", "period")
+    document = ["dataset", "size", "period", (F.col("test_id") / 100).cast("bigint").alias("doc")]
+    documents = cows.join(kind, "test_id").groupBy(*document).agg(
         F.collect_list(cow).alias("cows"), F.map_from_entries(F.collect_list(F.struct(key, "yield_kg"))).alias("actual_yields")
     )
     path = scratch_path(spark, "preset-docs")
-    documents.select(
-        F.lit("demo").alias("dataset"), F.lit("full").alias("size"), F.col("doc").cast("string").alias("period"),
-        F.size("cows").cast("bigint").alias("cow_count"), "cows", "actual_yields",
-    ).write.json(path)
-    presets = fl.read_presets(spark, path, lines=True)
-    document = ["dataset", "size", "period"]
-    records = fl.preset_cows(presets).select(*document, F.col("cow_id").alias("test_id"), F.size("dim").alias("records"))
-    joined = records.join(fl.preset_yields(presets), [*document, "test_id"])
+    documents.select("dataset", "size", "period", "cows", "actual_yields", F.size("cows").cast("bigint").alias("cow_count")).write.json(path)
+    return path
+
+
+@query(
+    "src_preset_json",
+    ds.with_views(
+        "testday aly cow",
+        """SELECT test_id, CAST(n AS INTEGER) AS records, yield_kg FROM (SELECT test_id, count(*) AS n FROM testday GROUP BY 1) JOIN aly USING (test_id)""",
+    ),
+)
+def preset_json(spark, sf_dir):
+    presets = fl.read_presets(spark, _preset_documents(spark, sf_dir), lines=True)
+    records = fl.preset_cows(presets).select(F.col("cow_id").alias("test_id"), F.size("dim").alias("records"))
+    joined = records.join(fl.preset_yields(presets), "test_id")
     return joined.select(F.col("test_id").cast("bigint").alias("test_id"), "records", "yield_kg")
 
 
 @query(
     "src_preset_counts",
     ds.with_views(
-        "cow",
-        f"""SELECT period, count(DISTINCT CASE WHEN size = 'small' THEN cow_id END) AS small, count(DISTINCT CASE WHEN size = 'medium' THEN cow_id END) AS medium,
-                   count(DISTINCT CASE WHEN size = 'large' THEN cow_id END) AS large FROM ({PRESET_SQL}) GROUP BY 1""",
+        "testday cow",
+        f"""SELECT period, count(CASE WHEN size = 'small' THEN 1 END) AS small, count(CASE WHEN size = 'medium' THEN 1 END) AS medium,
+                   count(CASE WHEN size = 'large' THEN 1 END) AS large
+            FROM ({PRESET_SQL}) WHERE cow_id IN (SELECT test_id FROM testday) GROUP BY 1""",
     ),
 )
 def preset_counts(spark, sf_dir):
-    return sinks.preset_counts(_preset_cows(spark, sf_dir), ["small", "medium", "large"])
+    """Counted from written documents, of which only the heads are read."""
+    heads = fl.read_preset_heads(spark, _preset_documents(spark, sf_dir), lines=True)
+    return sinks.preset_counts(heads, ["small", "medium", "large"])
 
 
 def _artifacts(spark, sf_dir):

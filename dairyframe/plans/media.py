@@ -93,6 +93,22 @@ def summary(spark, sf_dir):
     )
 
 
+@query(
+    "det_chunks",
+    ds.with_views(
+        "detections",
+        """SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY det_id) - 1 AS slot, class_name, score, x2 - x1 AS width FROM detections""",
+    ),
+)
+def chunked(spark, sf_dir):
+    rows = dt.det_chunks(ds.detections(spark, sf_dir), size=4)
+    zipped = F.arrays_zip("class_names", "scores", "boxes_xywh")
+    laid = rows.select("image_id", "offset", F.posexplode(zipped).alias("at", "r"))
+    return laid.select(
+        "image_id", (F.col("offset") + F.col("at")).alias("slot"), F.col("r.class_names").alias("class_name"), F.col("r.scores").alias("score"), F.col("r.boxes_xywh")[2].alias("width")
+    )
+
+
 @query(
     "det_label",
     ds.with_views(

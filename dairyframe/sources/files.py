@@ -1,7 +1,7 @@
 """File sources: delimited uploads, JSON documents and binary files.
 
-Delimited files are read as text columns only; alias lists give the columns their meaning and unreadable
-cells become null. ``pos`` keeps the file order, which the first-seen and last-wins rules need.
+Delimited files are read as text columns only (``delimited``); alias lists give the columns their meaning and unreadable
+cells become null. ``pos`` keeps the order of files and rows, which the first-seen and last-wins rules need.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dairyframe.functions import text as tx
 from dairyframe.operators import alignment as al
+from dairyframe.sources import delimited
+from dairyframe.sources.delimited import read_delimited  # noqa: F401  (part of this module's interface)
 
 # Accepted headers of benchmark files, matched after trimming and lower-casing.
 BENCHMARK_ALIASES: dict[str, tuple[str, ...]] = {
@@ -34,34 +36,9 @@ PRESET_SCHEMA = (
 )
 
 
-def file_position() -> Column:
-    """BIGINT that grows along one file: start of the split, then the row inside the task.
-
-    Exact for splits of at most 256 MB (the default is 128 MB) and files below 128 TB.
-    """
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 12), 28) + row
-
-
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """``;`` when it outnumbers ``,`` on the first non-empty line, else ``,``."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").head(1)
-    line = lines[0]["value"] if lines else ""
-    return ";" if line.count(";") > line.count(",") else ","
-
-
-def read_delimited(
-    spark: SparkSession, path: str, *, sep: str | None = None, max_rows: int | None = None, multi_line: bool = False
-) -> DataFrame:
-    """A delimited file with a header as text columns plus pos; a byte-order mark is dropped.
-
-    A doubled quote inside quotes is a quote. Files with line breaks inside quotes need ``multi_line``, which
-    reads each file in one task. ``max_rows`` keeps the first rows of the file; by default every row is read.
-    """
-    rows = spark.read.csv(path, header=True, sep=sep or sniff_delimiter(spark, path), inferSchema=False, escape='"', multiLine=multi_line)
-    names = [c.lstrip("﻿") for c in rows.columns]
-    rows = rows.select("*", file_position().alias("pos")).toDF(*names, "pos")
-    return rows if max_rows is None else rows.orderBy("pos").limit(max_rows)
+def parse_test_day_files(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """Uploaded test days of a file or folder, each file by its own header."""
+    return delimited.read_uploads(spark, path, lambda df: parse_test_day(df, mapping))
 
 
 def split_binary(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,6 +87,15 @@ def read_presets(spark: SparkSession, path: str, *, lines: bool = False) -> Data
     return spark.read.schema(PRESET_SCHEMA).option("multiLine", not lines).json(path)
 
 
+def read_preset_heads(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """dataset, size, period and cow_count of preset documents: the same files, read for four fields only.
+
+    The reader passes over the cows and yields of a document without building them, wherever cow_count stands in it.
+    """
+    heads = "dataset string, size string, period string, cow_count bigint"
+    return spark.read.schema(heads).option("multiLine", not lines).option("recursiveFileLookup", "true").json(path)
+
+
 def preset_cows(presets: DataFrame) -> DataFrame:
     return presets.select("dataset", "size", "period", F.inline("cows"))
 
@@ -188,29 +174,55 @@ def benchmark_lactations(rows: DataFrame) -> DataFrame:
     return al.nest_lactation(rows, order="pos").join(heads, "test_id")
 
 
-def parse_actual_yields(df: DataFrame) -> DataFrame:
-    """Ground truth: bad or negative values skipped, the last row per id wins."""
+def actual_rows(df: DataFrame) -> DataFrame:
+    """Rows of a ground-truth file with a usable value: test_id, yield_kg, pos."""
     c = _columns(df, ("test_id", "yield_kg"))
     rows = df.select(F.trim(c["test_id"]).alias("test_id"), tx.comma_number(c["yield_kg"]).alias("yield_kg"), "pos")
-    usable = rows.filter((F.col("test_id") != "") & (F.col("yield_kg") >= 0))
-    return usable.groupBy("test_id").agg(F.max_by("yield_kg", "pos").alias("yield_kg"))
+    return rows.filter((F.col("test_id") != "") & (F.col("yield_kg") >= 0))
 
 
-def parse_submission(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Own-method yields as (good, failed): the last row per id wins, unreadable rows are the failed ids,
-    and a negative yield fails the job."""
+def last_per_id(rows: DataFrame) -> DataFrame:
+    """The last readable value of each id, in the order of files and rows."""
+    return rows.filter("yield_kg is not null").groupBy("test_id").agg(F.max_by("yield_kg", "pos").alias("yield_kg"))
+
+
+def parse_actual_yields(df: DataFrame) -> DataFrame:
+    """Ground truth: bad or negative values skipped, the last row per id wins."""
+    return last_per_id(actual_rows(df))
+
+
+def read_actual_yields(spark: SparkSession, path: str) -> DataFrame:
+    """Ground truth of a file or folder; the last row over all files wins."""
+    return last_per_id(delimited.read_uploads(spark, path, actual_rows))
+
+
+def submission_rows(df: DataFrame) -> DataFrame:
+    """Rows of a submission: test_id, yield_kg (null if unreadable), pos; a negative yield fails the job."""
     c = _columns(df, ("test_id", "yield_kg"))
     value = tx.comma_number(c["yield_kg"])
     message = F.concat(F.lit("negative yield for lactation "), F.trim(c["test_id"]))
     checked = F.when(value < 0, F.raise_error(message).cast("double")).otherwise(value)
-    rows = df.select(F.trim(c["test_id"]).alias("test_id"), checked.alias("yield_kg"), "pos").filter("test_id <> ''")
-    good = rows.filter("yield_kg is not null").groupBy("test_id").agg(F.max_by("yield_kg", "pos").alias("yield_kg"))
-    return good, rows.filter("yield_kg is null").select("test_id")
+    return df.select(F.trim(c["test_id"]).alias("test_id"), checked.alias("yield_kg"), "pos").filter("test_id <> ''")
 
 
-def parse_aggregated(df: DataFrame) -> DataFrame:
-    """Averaged herd statistics: one row with the mean of every recognised column over its readable
-    cells, and ``<name>_bad`` with the number of unreadable ones."""
+def split_submission(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, failed): the last readable row per id, and the ids of unreadable rows."""
+    return last_per_id(rows), rows.filter("yield_kg is null").select("test_id")
+
+
+def parse_submission(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Own-method yields as (good, failed): the last row per id wins, unreadable rows are the failed ids,
+    and a negative yield fails the job."""
+    return split_submission(submission_rows(df))
+
+
+def read_submission(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A submission of a file or folder as (good, failed)."""
+    return split_submission(delimited.read_uploads(spark, path, submission_rows))
+
+
+def aggregated_cells(df: DataFrame) -> DataFrame:
+    """Each recognised statistic of a file as an array of its cells, unreadable ones null."""
     known: dict[str, list[str]] = {}
     for column in df.columns:
         canonical = al.STAT_ALIASES.get(tx.norm_header_text(column))
@@ -218,14 +230,29 @@ def parse_aggregated(df: DataFrame) -> DataFrame:
             known.setdefault(canonical, []).append(column)
     if not known:
         raise ValueError("no recognised herd statistic columns")
-    means, bad = [], []
-    for canonical, columns in known.items():
-        cells = [tx.parse_number(F.col(f"`{c}`")) for c in columns]
-        values = F.count(cells[0]) if len(cells) == 1 else sum((F.count(c) for c in cells[1:]), F.count(cells[0]))
-        totals = sum((F.coalesce(F.sum(c), F.lit(0.0)) for c in cells[1:]), F.coalesce(F.sum(cells[0]), F.lit(0.0)))
-        means.append(F.try_divide(totals, values).alias(canonical))
-        bad.append((F.count(F.lit(1)) * len(cells) - values).alias(f"{canonical}_bad"))
-    return df.agg(*means, *bad)
+    return df.select(*[F.array(*[tx.parse_number(F.col(f"`{c}`")) for c in cs]).alias(name) for name, cs in known.items()])
+
+
+def aggregated_means(cells: DataFrame) -> DataFrame:
+    """One row: the mean of every statistic over its readable cells, and ``<name>_bad``, the number of unreadable ones."""
+    out = []
+    for name in cells.columns:
+        readable = F.filter(name, lambda v: v.isNotNull())
+        values = F.sum(F.coalesce(F.size(readable), F.lit(0)))
+        total = F.sum(F.coalesce(F.aggregate(readable, F.lit(0.0), lambda a, v: a + v), F.lit(0.0)))
+        out += [F.try_divide(total, values).alias(name), (F.sum(F.coalesce(F.size(name), F.lit(0))) - values).alias(f"{name}_bad")]
+    return cells.agg(*out)
+
+
+def parse_aggregated(df: DataFrame) -> DataFrame:
+    """Averaged herd statistics: one row with the mean of every recognised column over its readable
+    cells, and ``<name>_bad`` with the number of unreadable ones."""
+    return aggregated_means(aggregated_cells(df))
+
+
+def read_aggregated(spark: SparkSession, path: str) -> DataFrame:
+    """Averaged herd statistics of a file or folder; files may hold different statistics under different names."""
+    return aggregated_means(delimited.read_uploads(spark, path, aggregated_cells))
 
 
 def parse_herd_export(df: DataFrame) -> DataFrame:

@@ -84,8 +84,6 @@ def unreferenced(artifacts: DataFrame, references: Mapping[str, tuple[DataFrame,
     return artifacts.join(used, "artifact_id", "left_anti")
 
 
-def preset_counts(cows: DataFrame, sizes: Sequence[str]) -> DataFrame:
-    """Lactations per period and size, one column per size."""
-    return cows.groupBy("period").agg(
-        *[F.count_distinct(F.when(F.col("size") == s, F.col("cow_id"))).alias(s) for s in sizes]
-    )
+def preset_counts(presets: DataFrame, sizes: Sequence[str]) -> DataFrame:
+    """Lactations per period and size, one column per size, from preset documents or their heads (``files.read_preset_heads``)."""
+    return presets.groupBy("period").agg(*[F.coalesce(F.sum(F.when(F.col("size") == s, F.col("cow_count"))), F.lit(0)).alias(s) for s in sizes])

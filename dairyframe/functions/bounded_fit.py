@@ -3,6 +3,7 @@
 The models are linear in some parameters. Those are solved exactly inside their bounds for every
 candidate of the others, which start on a coarse grid and follow damped Gauss-Newton steps.
 Repeated days enter as one day with a weight and a mean, which leaves the optimum unchanged.
+Every step is fixed arithmetic, so SQL can repeat a fit (``plans.fit_sql``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,14 @@ NUDGE = 1e-5
 DAMPING = np.array([1e-6, 1e-1, 10.0])
 LENGTHS = np.array([1.0, 0.3, 0.05, 0.005])
 ENOUGH = 1e-9
+#: Residual sums below this share of the squared yields count as none: the curve passes by every record.
+EXACT = 1e-13
+#: A parameter that moves the curve by less than this share (squared) is held: its slope would be rounding noise.
+FLAT = 1e-10
+#: How near to its bound a parameter that presses against it is held.
+EDGE = 1e-6
+#: Decimals of steps of the search parameters (in logarithms) and of residual sums (shares of the squared yields) that decide.
+PLACES, DECIDES = 7, 12
 CELLS = 400_000
 
 
@@ -158,12 +167,20 @@ def _axis_grid(size: int, dims: int) -> np.ndarray:
     return np.stack([g.ravel() for g in np.meshgrid(*[steps] * dims, indexing="ij")], axis=-1)
 
 
-def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
-    """Best parameters and residual sum per lactation.
+def _least(sse: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first candidate with the least residual sum; sums that differ by rounding only are equal."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = sse / np.where(size > 0, size, 1.0)[:, None]
+    return np.argmin(np.round(np.where(np.isnan(share), np.inf, share), DECIDES), axis=1)
+
+
+def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best parameters, residual sum and convergence flag per lactation.
 
     The nonlinear parameters start at the best point of a coarse grid over their ranges (in log
     coordinates) and then take damped Gauss-Newton steps, several dampings and step lengths tried at
-    once, until no step improves. A parameter that presses against its bound is held there.
+    once, until no step improves. A parameter that presses against its bound is held there. A lactation that still
+    improves after ROUNDS steps is flagged as not converged.
     """
     lo = np.log([b[0] for b in bounds.search])
     hi = np.log([b[1] for b in bounds.search])
@@ -171,7 +188,8 @@ def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.
     grid = (lo + hi) / 2 + _axis_grid(COARSE, dims) * (hi - lo) / 2
     theta = np.broadcast_to(grid, (n, *grid.shape))
     sse, found, _ = solve(days, np.exp(theta), bounds)
-    rows, pick = np.arange(n), np.argmin(sse, axis=1)
+    size = days.total(days.w * days.y * days.y)
+    rows, pick = np.arange(n), _least(sse, size)
     best, params, at = sse[rows, pick], found[rows, pick], theta[rows, pick]
     active = rows
     for _ in range(ROUNDS):
@@ -184,7 +202,8 @@ def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.
         slope = (residual[:, 1:] - base) / (NUDGE * sign)[part.row]
         gradient = part.total(slope * base)
         curvature = part.total(slope[:, :, None] * slope[:, None, :])
-        held = ((here <= lo) & (gradient > 0)) | ((here >= hi) & (gradient < 0))
+        held = ((here <= lo + EDGE) & (gradient > 0)) | ((here >= hi - EDGE) & (gradient < 0))
+        held |= np.einsum("npp->np", curvature) <= FLAT * size[active][:, None]
         gradient = np.where(held, 0.0, gradient)
         curvature = np.where(held[:, :, None] | held[:, None, :], 0.0, curvature)
         diagonal = np.einsum("npp->np", curvature)
@@ -192,28 +211,36 @@ def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.
         damped = curvature[:, None] + DAMPING[None, :, None, None] * (scale[:, None, :, None] * np.eye(dims))
         step = -np.linalg.solve(damped, np.broadcast_to(gradient[:, None, :, None], (*damped.shape[:3], 1)))[..., 0]
         step = np.clip(np.nan_to_num(step), -1.0, 1.0)[:, :, None, :] * LENGTHS[:, None]
-        theta = np.clip(here[:, None, :] + step.reshape(len(active), -1, dims), lo, hi)
+        theta = np.clip(here[:, None, :] + np.round(step.reshape(len(active), -1, dims), PLACES), lo, hi)
         sse, found, _ = solve(part, np.exp(theta), bounds)
-        rows, pick = np.arange(len(active)), np.argmin(sse, axis=1)
+        rows, pick = np.arange(len(active)), _least(sse, size[active])
         gain = best[active] - sse[rows, pick]
-        moved = active[gain > 0]
-        best[moved], params[moved] = sse[rows, pick][gain > 0], found[rows, pick][gain > 0]
-        at[moved] = theta[rows, pick][gain > 0]
-        active = active[gain > ENOUGH * best[active]]
+        less = gain > EXACT * size[active]
+        moved = active[less]
+        best[moved], params[moved] = sse[rows, pick][less], found[rows, pick][less]
+        at[moved] = theta[rows, pick][less]
+        active = active[gain > ENOUGH * best[active] + EXACT * size[active]]
         if not len(active):
             break
-    return params, best
+    converged = np.ones(n, bool)
+    converged[active] = False
+    return params, best, converged
 
 
 def fit_all(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.ndarray | None = None):
-    """Fit every lactation of a batch, in runs small enough for the candidate arrays.
+    """Parameters and residual sums of :func:`fit_flagged`."""
+    return fit_flagged(solve, offsets, t, w, y, bounds, scale)[:2]
+
+
+def fit_flagged(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.ndarray | None = None):
+    """Fit every lactation of a batch, in runs small enough for the candidate arrays: parameters, residual sums, convergence.
 
     ``offsets`` are list offsets into the flat day arrays; every lactation has at least one day.
     ``scale`` multiplies the limits of the first linear parameter per lactation.
     """
     offsets = np.asarray(offsets, dtype=np.int64)
     width = max(COARSE ** len(bounds.search), 1)
-    results, residuals = [], []
+    found: list[tuple] = []
     first = 0
     while first < len(offsets) - 1:
         last = first + 1
@@ -227,8 +254,39 @@ def fit_all(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.ndarray
         if scale is not None:
             top = scale[first:last]
             chosen = lambda d, theta, b, top=top: solve(d, theta, b, top)
-        found, sse = search(chosen, days, bounds)
-        results.append(found)
-        residuals.append(sse)
+        found.append(search(chosen, days, bounds))
         first = last
-    return np.concatenate(results), np.concatenate(residuals)
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def fit_basis(basis: np.ndarray, days: Days) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted least squares on the columns of ``basis`` (record, column): coefficients and residual sum per lactation.
+
+    Columns are made orthogonal one after the other, twice, which keeps nearly equal days accurate where normal equations lose
+    half the digits. A column that is a combination of earlier ones (to 1e-10 of its length) gets the coefficient 0.
+    """
+    root = np.sqrt(days.w)
+    k, n = basis.shape[1], len(days.starts)
+    upper, units = np.zeros((n, k, k)), []
+    for j in range(k):
+        v = root * basis[:, j]
+        length = np.sqrt(days.total(v * v))
+        for _ in range(2):
+            for i, q in enumerate(units):
+                part = days.total(q * v)
+                upper[:, i, j] += part
+                v = v - part[days.row] * q
+        rest = np.sqrt(days.total(v * v))
+        free = rest > 1e-10 * length
+        upper[:, j, j] = np.where(free, rest, 0.0)
+        units.append(v / np.where(free, rest, np.inf)[days.row])
+    z = root * days.y
+    right = np.zeros((n, k))
+    for j, q in enumerate(units):
+        right[:, j] = days.total(q * z)
+        z = z - right[:, j][days.row] * q
+    beta = np.zeros((n, k))
+    for j in range(k - 1, -1, -1):
+        left = right[:, j] - (upper[:, j, j + 1 :] * beta[:, j + 1 :]).sum(axis=1)
+        beta[:, j] = np.divide(left, upper[:, j, j], out=np.zeros(n), where=upper[:, j, j] > 0)
+    return beta, days.total(z * z)

@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dairyframe.operators.alignment import dedup_day
 from dairyframe.operators.skew import join_lookup
+from dairyframe.session import scratch_path
 
 HORIZON = 305
 
 
-def _expected(curve: Sequence[float], day: Column) -> Column:
+def _expected(curve: Sequence[float] | DataFrame, day: Column) -> Column:
+    curve = curve_values(curve)
     if len(curve) != HORIZON:
         raise ValueError("the curve must hold days 1..305")
     return F.element_at(F.array(*[F.lit(float(v)) for v in curve]), day.cast("int"))
@@ -97,17 +99,16 @@ def _by_length(lengths: np.ndarray):
 
 
 def best_prediction_yield(
-    df: DataFrame, curve: Sequence[float], covariance: np.ndarray, *, order: str = "pos"
+    df: DataFrame, curve: Sequence[float] | DataFrame, covariance: np.ndarray | DataFrame, *, order: str = "pos"
 ) -> DataFrame:
     """sum(curve) + 1'C V^-1 t over days 1..305: test_id, yield_kg.
 
     The last record of a day counts. A lactation without a usable day gets sum(curve). Only the
     column sums of the covariance and the block of the measured days are needed, so lactations with
-    equally many days are solved together. The covariance is a fixed 305 x 305 matrix.
+    equally many days are solved together. The covariance is a fixed 305 x 305 matrix. Curve and covariance may
+    also be tables, (day, expected_kg) and (i, j, cov), whose sizes are checked.
     """
-    covariance = np.asarray(covariance, dtype=float)
-    if covariance.shape != (HORIZON, HORIZON):
-        raise ValueError("the covariance must be 305 x 305")
+    covariance, curve = covariance_values(covariance), curve_values(curve)
     column_sums = covariance.sum(axis=0)
     base = float(np.sum(curve))
 
@@ -162,31 +163,128 @@ def ar1_log_likelihood(deviations: DataFrame, candidates: np.ndarray) -> DataFra
     return partial.groupBy("candidate").agg(*[F.sum(c).alias(c) for c in ("n", "log_det", "quadratic")])
 
 
+def _from_theta(theta: np.ndarray) -> tuple[float, float, float]:
+    return float(np.exp(theta[0])), float(np.exp(theta[1])), float(1 / (1 + np.exp(-theta[2])))
+
+
+#: Sums of one pass: negative log-likelihood, gradient and the upper half of the information matrix in (ln b1, ln b2, logit rho).
+SCORES = ("n", "loss", "g0", "g1", "g2", "f00", "f01", "f02", "f11", "f12", "f22")
+
+
+def ar1_scores(deviations: DataFrame, b1: float, b2: float, rho: float) -> DataFrame:
+    """One row: negative log-likelihood of B = b1 I + b2 rho**abs(i - j) with its gradient and expected curvature.
+
+    Derivatives are by (ln b1, ln b2, logit rho). Lactations with equally many days are worked on together; each Arrow batch adds its
+    lactations to one row, and Spark sums the rows of the batches.
+    """
+
+    def sums(batches):
+        out = np.zeros(len(SCORES))
+        for batch in batches:
+            lengths = batch["day"].map(len).to_numpy()
+            for n, rows in _by_length(lengths):
+                for part in np.array_split(rows, max(1, len(rows) * n * n // 500_000 + 1)):
+                    out += _scores(np.stack(batch["day"].iloc[part].to_list()), np.stack(batch["v"].iloc[part].to_list()), b1, b2, rho)
+        yield pd.DataFrame([out], columns=SCORES)
+
+    partial = deviations.select("day", "v").mapInPandas(sums, ", ".join(f"{c} double" for c in SCORES))
+    return partial.agg(*[F.sum(c).alias(c) for c in SCORES])
+
+
+def _scores(day: np.ndarray, v: np.ndarray, b1: float, b2: float, rho: float) -> np.ndarray:
+    n = day.shape[1]
+    gap = np.abs(day[:, :, None] - day[:, None, :]).astype(float)
+    fading = b2 * rho**gap
+    block = fading + b1 * np.eye(n)
+    inverse = np.linalg.inv(block)
+    alpha = (inverse @ v[:, :, None])[:, :, 0]
+    loss = 0.5 * (np.linalg.slogdet(block)[1] + (v * alpha).sum(axis=1) + n * np.log(2 * np.pi))
+    slopes = [np.broadcast_to(b1 * np.eye(n), block.shape), fading, fading * gap * (1 - rho)]
+    turned = [inverse @ d for d in slopes]
+    gradient = [0.5 * (np.einsum("rii->r", t) - np.einsum("ri,rij,rj->r", alpha, d, alpha)).sum() for t, d in zip(turned, slopes)]
+    curvature = [0.5 * np.einsum("rij,rji->", turned[i], turned[j]) for i in range(3) for j in range(i, 3)]
+    return np.array([v.size, loss.sum(), *gradient, *curvature])
+
+
 def fit_ar1_covariance(
-    df: DataFrame, curve: Sequence[float], *, rounds: int = 9, grid: int = 5, order: str = "pos"
+    df: DataFrame, curve: Sequence[float] | DataFrame, *, tolerance: float = 1e-6, most: int = 100, order: str = "pos"
 ) -> dict[str, float]:
-    """Maximum likelihood of B = b1 I + b2 rho**abs(i - j) over a population: b1, b2, rho.
+    """Maximum likelihood of B = b1 I + b2 rho**abs(i - j) over a population: b1, b2, rho, the loss, passes and ``converged``.
 
-    The scale has a closed form given (b1/b2, rho), which leaves a two-parameter search. Every round is
-    one job that sums the likelihood of a small candidate grid; the grid then narrows around the best
-    candidate. The deviations are kept for the rounds; lost parts are recomputed.
+    Starts at half the variance each and a correlation of 0.9 from day to day, and follows scoring steps: each pass is one job that sums
+    loss, gradient and expected curvature over all lactations. A step that does not lower the loss is taken back and tried with
+    more damping. Converged when a step is expected to lower the loss per record by less than ``tolerance`` squared and no parameter
+    would move by more than ``tolerance`` to its scale; ``most`` passes without that return the best found, flagged.
+    The deviations are written once, so every pass reads the same rows and a lost executor costs a rerun of its part only.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "deviations")
+    measured = deviations(df.filter(F.col("milk_kg").isNotNull()), curve, order=order, keep="mean")
+    measured.write.parquet(path)
+    measured = spark.read.schema(measured.schema).parquet(path)
+    flat = measured.select(F.explode("v").alias("v")).agg(F.count("v"), F.avg(F.col("v") * F.col("v"))).first()
+    if not flat[0] or not flat[1]:
+        raise ValueError("no measured deviations to fit")
+    theta = np.array([np.log(flat[1] / 2), np.log(flat[1] / 2), np.log(0.9 / 0.1)])
+    low, high = theta - np.array([30.0, 30.0, 30.0]), theta + np.array([10.0, 10.0, 15.0])
+    best, damping, converged, passes = None, 1e-4, False, 0
+    trial = theta
+    while passes < most:
+        row = ar1_scores(measured, *_from_theta(trial)).first()
+        passes += 1
+        if best is None or row["loss"] < best[0]["loss"]:
+            damping = max(damping / 10, 1e-10)
+            best = (row, trial)
+        else:
+            damping *= 10
+        state, at = best
+        gradient = np.array([state[f"g{i}"] for i in range(3)])
+        curvature = np.array([[state[f"f{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+        held = ((at <= low) & (gradient > 0)) | ((at >= high) & (gradient < 0))
+        free = ~held
+        if not free.any():
+            converged = True
+            break
+        part = curvature[np.ix_(free, free)]
+        step = np.zeros(3)
+        step[free] = -np.linalg.lstsq(part + damping * np.diag(np.diag(part) + 1e-12), gradient[free], rcond=None)[0]
+        gain = -(gradient @ step) / 2
+        if gain / state["n"] < tolerance**2 and (np.abs(step) < tolerance * 1e3).all() or damping > 1e12:
+            converged = damping <= 1e12 or gain / state["n"] < tolerance
+            break
+        trial = np.clip(at + np.clip(step, -2.0, 2.0), low, high)
+    b1, b2, rho = _from_theta(best[1])
+    return {"b1": b1, "b2": b2, "rho": rho, "neg_log_likelihood": float(best[0]["loss"]), "passes": passes, "converged": bool(converged)}
+
+
+def curve_values(curve: Sequence[float] | DataFrame) -> list[float]:
+    """Days 1..305 of a standard curve given as numbers or as a table (day or dim, expected_kg or milk_kg).
+
+    The table must hold each of the days once (day 0 is passed over); one row more than that is read at most.
     """
-    measured = deviations(df.filter(F.col("milk_kg").isNotNull()), curve, order=order, keep="mean").persist()
-    try:
-        center, half = np.array([0.0, 0.5]), np.array([6.0, 5.0])
-        best = None
-        for _ in range(rounds):
-            steps = np.linspace(-1.0, 1.0, grid)
-            points = np.array([[center[0] + half[0] * x, center[1] + half[1] * y] for x in steps for y in steps])
-            candidates = np.column_stack([np.exp(points[:, 0]), 1 / (1 + np.exp(-points[:, 1]))])
-            table = ar1_log_likelihood(measured, candidates).collect()
-            for row in table:
-                n, scale = row["n"], row["quadratic"] / row["n"]
-                value = 0.5 * (n * np.log(scale) + row["log_det"] + n + n * np.log(2 * np.pi))
-                if best is None or value < best[0]:
-                    best = (value, points[row["candidate"]], scale, candidates[row["candidate"]])
-            center, half = best[1], half * 0.5
-        _, _, scale, (ratio, rho) = best
-        return {"b1": float(scale * ratio), "b2": float(scale), "rho": float(rho), "neg_log_likelihood": float(best[0])}
-    finally:
-        measured.unpersist()
+    if not isinstance(curve, DataFrame):
+        return [float(v) for v in curve]
+    day = next(c for c in ("day", "dim") if c in curve.columns)
+    value = next(c for c in ("expected_kg", "milk_kg") if c in curve.columns)
+    rows = curve.filter((F.col(day) >= 1) & (F.col(day) <= HORIZON)).select(day, value).limit(HORIZON + 1).collect()
+    held = {int(r[0]): r[1] for r in rows}
+    if len(rows) != HORIZON or len(held) != HORIZON or None in held.values():
+        raise ValueError("the curve must hold days 1..305 once each")
+    return [float(held[d]) for d in range(1, HORIZON + 1)]
+
+
+def covariance_values(covariance: np.ndarray | DataFrame) -> np.ndarray:
+    """The 305 x 305 covariance given as a matrix or as a table (i, j, cov) of days 1..305, each pair once."""
+    if isinstance(covariance, DataFrame):
+        table = covariance.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("cov").cast("double"))
+        rows = table.limit(HORIZON * HORIZON + 1).toPandas()
+        matrix = np.full((HORIZON, HORIZON), np.nan)
+        inside = rows["i"].between(1, HORIZON) & rows["j"].between(1, HORIZON)
+        if len(rows) != HORIZON * HORIZON or not inside.all():
+            raise ValueError("the covariance must hold each pair of days 1..305 once")
+        matrix[rows["i"] - 1, rows["j"] - 1] = rows["cov"]
+        covariance = matrix
+    covariance = np.asarray(covariance, dtype=float)
+    if covariance.shape != (HORIZON, HORIZON) or not np.isfinite(covariance).all():
+        raise ValueError("the covariance must be 305 x 305")
+    return covariance

@@ -8,7 +8,6 @@ where a closed form is missing or unusable; nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,6 +38,10 @@ def _non_negative(c: Column) -> Column:
     return F.when(c >= 0, c)
 
 
+def _daily(model: str, p: Params) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.col("_horizon")), lambda t: curves.curve(model, t, p))
+
+
 def characteristics_from_params(
     params: DataFrame,
     *,
@@ -59,14 +62,14 @@ def characteristics_from_params(
         raise ValueError(f"persistency must be one of {', '.join(fitting_options)}")
     if isinstance(length, str) and length.lower() != "max":
         raise ValueError("length must be a number of days or 'max'")
-    keys = [c for c in params.columns if c not in (*PARAMETERS, "model", "max_dim", "days", "reason", "sse")]
+    keys = [c for c in params.columns if c not in (*PARAMETERS, "model", "max_dim", "days", "reason", "sse", "converged")]
     last = F.col("max_dim") if "max_dim" in params.columns else F.lit(curves.HORIZON)
     end = last.cast("int") if isinstance(length, str) else F.lit(int(length))
     horizon = F.greatest(F.lit(curves.HORIZON), last.cast("int"), end)
     p = Params.of()
-    daily = F.transform(
-        F.sequence(F.lit(1), F.col("_horizon")), lambda t: curves.curve_by_name(F.col("model"), t, p, models)
-    )
+    # the model is chosen once per row, so the walk over the days evaluates one formula
+    walks = {m: _daily(m, p) for m in models or curves.MODELS}
+    daily = _by_model(list(walks), walks.__getitem__, models)
     known = F.col("reason").isNull() if "reason" in params.columns else F.col("a").isNotNull()
     base = params.filter(known).select(
         *keys, "model", *PARAMETERS, end.alias("_end"), horizon.alias("_horizon")
@@ -108,15 +111,14 @@ def calculate_characteristics(
 def characteristics_batch(
     df: DataFrame, models: Sequence[str], *, length: int | str = curves.HORIZON, persistency: str = "derived"
 ) -> DataFrame:
-    """Several models for many lactations, keyed by id; the day aggregation is shared by all fits."""
-    days = fitting.weighted_days(df)
-    results = [
-        characteristics_from_params(
-            fitting.fit_days(days, model), length=length, persistency=persistency, models=[model]
-        )
-        for model in models
-    ]
-    return reduce(DataFrame.unionByName, results)
+    """Several models for many lactations, keyed by id.
+
+    Records are reduced to days and nested once; one task function fits all models from the nested row, so the
+    input is read once and shuffled twice (days, lactations) however many models there are.
+    """
+    fits = fitting.fit_nested(fitting.nested_days(fitting.weighted_days(df)), models)
+    names = list(dict.fromkeys("milkbot" if m == "milkbot_trf" else m for m in models))
+    return characteristics_from_params(fits, length=length, persistency=persistency, models=names)
 
 
 def curve_stats(values: Column) -> list[Column]:

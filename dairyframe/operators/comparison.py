@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dairyframe.functions.text import parity_group
+from dairyframe.session import scratch_path
 
 AXES = ("challenger_vs_aly", "benchmark_vs_aly", "challenger_vs_benchmark")
 # The margins of a report scatter around its smallest and largest value.
@@ -147,10 +148,16 @@ def report_pairs(
 ) -> DataFrame:
     """Scatter points per axis and parity group with their axis limits and counts.
 
-    The limits have one row per axis and group (at most twelve), hence the broadcast.
+    The points are written once; the limits, one row per axis and group (at most twelve, hence the broadcast), are taken from what
+    was written, so the yield sets are aligned once.
     """
     aligned = align_yields({"challenger": challenger, "benchmark": benchmark, "aly": truth}, parities)
     points = axis_pairs(aligned, THREE_AXES).withColumn("parity_group", parity_group(F.col("parity")))
+    points = points.select("axis", "parity_group", "test_id", "a_kg", "b_kg")
+    spark = points.sparkSession
+    path = scratch_path(spark, "report-pairs")
+    points.write.parquet(path)
+    points = spark.read.schema(points.schema).parquet(path)
     limits = points.groupBy("axis", "parity_group").agg(
         (F.min(F.least("a_kg", "b_kg")) * AXIS_LOW).alias("axis_low"),
         (F.max(F.greatest("a_kg", "b_kg")) * AXIS_HIGH).alias("axis_high"),
@@ -163,22 +170,29 @@ def report_pairs(
 
 def cohort_summary(records: DataFrame, lactations: DataFrame, truth: DataFrame) -> DataFrame:
     """Counts of a cohort as (measure, n): records, lactations, yields, herds (null if none), and
-    one ``parity:<p>`` row per parity with ``parity:unknown`` for missing ones."""
-    one = F.count(F.lit(1))
-    herds = F.nullif(F.count_distinct("herd_id"), F.lit(0))
-
-    def total(df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.agg(value.alias("n")).select(F.lit(name).alias("measure"), "n")
+    one ``parity:<p>`` row per parity with ``parity:unknown`` for missing ones.
 
+    Each table is read once: lactations shrink to one row per parity and herd, from which grouping sets give the parities,
+    the distinct herds and the total; everything meets in one sum per measure.
+    """
     label = F.concat(F.lit("parity:"), F.coalesce(F.col("parity").cast("string"), F.lit("unknown")))
-    per_parity = lactations.groupBy(label.alias("measure")).agg(one.alias("n"))
-    return (
-        total(records, "records", one)
-        .unionByName(total(lactations, "lactations", one))
-        .unionByName(total(truth, "yields", one))
-        .unionByName(total(lactations, "herds", herds))
-        .unionByName(per_parity)
+    cells = lactations.groupBy(label.alias("_parity"), "herd_id").agg(F.count(F.lit(1)).alias("_n"))
+    sets = cells.groupingSets([["_parity"], ["herd_id"], []], "_parity", "herd_id").agg(
+        F.sum("_n").alias("_n"), F.grouping_id().alias("_set")
+    )
+    is_parity, is_herd = F.col("_set") == 1, F.col("_set") == 2
+    counted = sets.select(
+        F.when(is_parity, F.col("_parity")).when(is_herd, "herds").otherwise("lactations").alias("measure"),
+        F.when(is_herd, F.col("herd_id").isNotNull().cast("long")).otherwise(F.col("_n")).alias("n"),
+    )
+    one = F.lit(1).cast("long").alias("n")
+    # the four totals appear even where a table is empty
+    always = records.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(m) for m in ("records", "lactations", "yields", "herds")])).alias("measure"), F.lit(0).cast("long").alias("n")
     )
+    every = counted.unionByName(records.select(F.lit("records").alias("measure"), one)).unionByName(truth.select(F.lit("yields").alias("measure"), one))
+    summed = every.unionByName(always).groupBy("measure").agg(F.sum("n").alias("n"))
+    return summed.select("measure", F.when((F.col("measure") != "herds") | (F.col("n") > 0), F.col("n")).alias("n"))
 
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:

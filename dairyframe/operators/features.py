@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dairyframe.functions import arrays as ar
 from dairyframe.operators import herd, lookups
+from dairyframe.operators.characteristics import curve_shape_stats
 
 Transform = Callable[[DataFrame], DataFrame]
 REGISTRY: dict[str, Callable[..., Transform]] = {}
@@ -160,24 +161,53 @@ def scaled_mean_curve(curve: Sequence[float]) -> Scorer:
     return score
 
 
+LEVELS = ("raw", "base", "rich")
+
+
 def score_batch(
-    df: DataFrame, scorer: Scorer, *, id_column: str = "test_id", default_imputation: str = "forward_fill"
+    df: DataFrame,
+    scorer: Scorer | None = None,
+    *,
+    setup: Callable[[], Scorer] | None = None,
+    level: str = "base",
+    id_column: str = "test_id",
+    default_imputation: str = "forward_fill",
+    late_day: int = 200,
 ) -> DataFrame:
-    """Apply a scorer to daily sequences in Arrow batches: id, predictions, total_kg.
+    """Apply a scorer to daily sequences in Arrow batches, with one of three levels of output.
+
+    ``raw`` gives id and predictions, ``base`` adds total_kg, ``rich`` a struct ``shape`` of peak_yield, time_to_peak, cumulative_yield
+    and persistency (yield of ``late_day``, or of the last day, over the peak). Give a ``scorer``, or ``setup``, which makes one
+    and is called once per task, before its first batch: models are loaded there and need not be pickled.
 
     In: ``id_column``, milk ARRAY<DOUBLE> of the horizon, optionally ``imputation_method`` per row, which
-    overrides the default. Gaps an imputation leaves open are read as 0.
+    overrides the default. Gaps an imputation leaves open are read as 0. A scorer has to return one row of numbers per
+    sequence.
     """
+    if level not in LEVELS:
+        raise ValueError(f"level must be one of {', '.join(LEVELS)}")
+    if (scorer is None) == (setup is None):
+        raise ValueError("give either a scorer or a setup function")
     method = F.col("imputation_method") if "imputation_method" in df.columns else F.lit(None).cast("string")
     milk = ar.fill_zero(ar.impute_by(F.col("milk"), method, default_imputation))
     others = [c for c in df.columns if c not in ("milk", "imputation_method")]
     ready = df.select(*others, milk.alias("milk"))
 
     def run(batches):
+        score = scorer
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({id_column: batch[id_column], "predictions": list(scorer(batch))})
+                score = score or setup()
+                found = score(batch)
+                if len(found) != len(batch):
+                    raise ValueError(f"the scorer returned {len(found)} predictions for {len(batch)} sequences")
+                yield pd.DataFrame({id_column: batch[id_column], "predictions": list(found)})
 
     id_type = dict(df.dtypes)[id_column]
     scored = ready.mapInPandas(run, f"{id_column} {id_type}, predictions array<double>")
-    return scored.withColumn("total_kg", ar.total(F.col("predictions")))
+    if level == "raw":
+        return scored
+    scored = scored.withColumn("total_kg", ar.total(F.col("predictions")))
+    if level == "base":
+        return scored
+    return scored.withColumn("shape", F.struct(*curve_shape_stats(F.col("predictions"), late_day=late_day)))

@@ -59,44 +59,76 @@ def once(udf):
     return udf.asNondeterministic()
 
 
-def _with_model(df: DataFrame, model: str, fitted: Column | None, keys: Sequence[str]) -> DataFrame:
-    """keys, model, a, b, c, d, k, sse, days, max_dim, reason from a struct column of parameters."""
-    name = "milkbot" if model == "milkbot_trf" else model
-    return df.select(
-        *keys,
-        F.lit(name).alias("model"),
-        *[(fitted[p] if p in FITTED[model] else F.lit(None).cast("double")).alias(p) for p in PARAMETERS],
-        fitted["sse"].alias("sse"),
-        F.size("t").alias("days"),
-        "max_dim",
-        F.when(F.size("t") < FREE_PARAMETERS[model], TOO_FEW).alias("reason"),
-    )
+def _usable_from(model: str) -> float:
+    """First day whose records a fit uses."""
+    return {"wilmink": -np.inf, "ali_schaeffer": 1.0}.get(model, 0.0)
+
 
+def _kernel(model: str, days: bf.Days, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, residual sums and convergence of one model for the lactations of a batch."""
+    if model in SOLVERS:
+        offsets = np.append(days.starts, len(days.t))
+        return bf.fit_flagged(SOLVERS[model], offsets, days.t, days.w, days.y, BOUNDS[model], top if model == "milkbot_trf" else None)
+    share = days.t / curves.HORIZON
+    if model == "ali_schaeffer":
+        gap = np.log(curves.HORIZON / days.t)
+        basis = np.column_stack([np.ones_like(share), share, share**2, gap, gap**2])
+    else:
+        basis = np.column_stack([np.ones_like(share), share, np.exp(curves.WILMINK_K * days.t)])
+    beta, sse = bf.fit_basis(basis, days)
+    if model == "wilmink":
+        beta = np.column_stack([beta[:, 0], beta[:, 1] / curves.HORIZON, beta[:, 2], np.full(len(beta), curves.WILMINK_K)])
+    return beta, sse, np.ones(len(sse), bool)
 
-def _fit_bounded(days: DataFrame, model: str, *, keys: Sequence[str]) -> DataFrame:
-    """Bounded least squares for wood, fischer, milkbot or milkbot_trf (the wider second bounds)."""
-    solver, bounds, names = SOLVERS[model], BOUNDS[model], FITTED[model]
-    needed = FREE_PARAMETERS[model]
-    schema = ", ".join(f"{p} double" for p in [*names, "sse"])
+
+def _fitted(models: Sequence[str]):
+    """An Arrow function of a nested row (t, w, y, top) that returns a struct per model: parameters, sse, days, converged.
+
+    All models are fitted from the same arrays of a batch, so lactations are read and nested once however many models are asked for.
+    """
+    inner = {m: ", ".join(f"{p}: double" for p in [*FITTED[m], "sse"]) + ", days: int, converged: boolean" for m in models}
+    schema = ", ".join(f"{m} struct<{fields}>" for m, fields in inner.items())
+
+    def one(model: str, t: np.ndarray, w: np.ndarray, y: np.ndarray, lengths: np.ndarray, top: np.ndarray) -> pa.Array:
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        keep = t >= _usable_from(model)
+        days = np.bincount(row[keep], minlength=len(lengths))
+        enough = days >= FREE_PARAMETERS[model]
+        keep &= enough[row]
+        names = FITTED[model]
+        out, converged = np.full((len(lengths), len(names) + 1), np.nan), np.zeros(len(lengths), bool)
+        if enough.any():
+            starts = np.cumsum(days[enough]) - days[enough]
+            part = bf.Days(t[keep], w[keep], y[keep], starts, np.repeat(np.arange(len(starts)), days[enough]))
+            params, sse, done = _kernel(model, part, top[enough])
+            out[enough], converged[enough] = np.column_stack([params, sse]), done
+        columns = [pa.array(out[:, i], mask=~enough) for i in range(out.shape[1])]
+        columns += [pa.array(days.astype(np.int32)), pa.array(converged, mask=~enough)]
+        return pa.StructArray.from_arrays(columns, names=[*names, "sse", "days", "converged"])
 
     @F.arrow_udf(schema)
     def fit(t: pa.Array, w: pa.Array, y: pa.Array, top: pa.Array) -> pa.Array:
         lengths = np.asarray(t.value_lengths().fill_null(0))
-        usable = lengths >= needed
-        out = np.full((len(t), len(names) + 1), np.nan)
-        if usable.any():
-            keep = np.repeat(usable, lengths)
-            flat = [np.asarray(x.flatten(), dtype=float)[keep] for x in (t, w, y)]
-            offsets = np.concatenate([[0], np.cumsum(lengths[usable])])
-            scale = np.asarray(top, dtype=float)[usable] if model == "milkbot_trf" else None
-            params, sse = bf.fit_all(solver, offsets, *flat, bounds, scale)
-            out[usable] = np.column_stack([params, sse])
-        missing = ~usable
-        arrays = [pa.array(out[:, i], mask=missing) for i in range(out.shape[1])]
-        return pa.StructArray.from_arrays(arrays, names=[*names, "sse"])
-
-    rows = nested_days(days, keys=keys).withColumn("_fit", once(fit)("t", "w", "y", "top"))
-    return _with_model(rows, model, F.col("_fit"), keys)
+        flat = [np.asarray(x.flatten(), dtype=float) for x in (t, w, y)]
+        each = [one(m, *flat, lengths, np.asarray(top, dtype=float)) for m in models]
+        return pa.StructArray.from_arrays(each, names=list(models))
+
+    return once(fit)
+
+
+def fit_nested(rows: DataFrame, models: Sequence[str], *, keys: Sequence[str] = ("test_id",)) -> DataFrame:
+    """Nested rows to one row per key and model: keys, model, a, b, c, d, k, sse, days, max_dim, reason, converged."""
+    none = F.lit(None).cast("double")
+
+    def entry(model: str) -> Column:
+        fit = F.col(f"_fit.{model}")
+        name = "milkbot" if model == "milkbot_trf" else model
+        parameters = [(fit[p] if p in FITTED[model] else none).alias(p) for p in PARAMETERS]
+        reason = F.when(fit["days"] < FREE_PARAMETERS[model], TOO_FEW).alias("reason")
+        return F.struct(F.lit(name).alias("model"), *parameters, fit["sse"].alias("sse"), fit["days"].alias("days"), "max_dim", reason, fit["converged"].alias("converged"))
+
+    fitted = rows.withColumn("_fit", _fitted(models)("t", "w", "y", "top"))
+    return fitted.select(*keys, F.inline(F.array(*[entry(m) for m in models])))
 
 
 def _fit_wilmink(days: DataFrame, *, keys: Sequence[str]) -> DataFrame:
@@ -162,49 +194,13 @@ def _fit_wilmink(days: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _fit_ali_schaeffer(days: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """Least squares on the five basis functions; lactations with at least five distinct days >= 1.
-
-    The basis is built and reduced to its normal equations per Arrow batch, then solved for all
-    lactations of the batch at once.
-    """
-    names = FITTED["ali_schaeffer"]
-    schema = ", ".join(f"{p} double" for p in [*names, "sse"])
-
-    @F.arrow_udf(schema)
-    def fit(t: pa.Array, w: pa.Array, y: pa.Array) -> pa.Array:
-        lengths = np.asarray(t.value_lengths().fill_null(0))
-        usable = lengths >= 5
-        out = np.full((len(t), 6), np.nan)
-        if usable.any():
-            keep = np.repeat(usable, lengths)
-            day, weight, milk = (np.asarray(x.flatten(), dtype=float)[keep] for x in (t, w, y))
-            starts = np.concatenate([[0], np.cumsum(lengths[usable])])[:-1]
-            row = np.repeat(np.arange(len(starts)), lengths[usable])
-            share = day / curves.HORIZON
-            gap = np.log(curves.HORIZON / day)
-            basis = np.column_stack([np.ones_like(share), share, share**2, gap, gap**2])
-            normal = np.add.reduceat(weight[:, None, None] * basis[:, :, None] * basis[:, None, :], starts, axis=0)
-            right = np.add.reduceat((weight * milk)[:, None] * basis, starts, axis=0)
-            beta = (np.linalg.pinv(normal, rcond=1e-14, hermitian=True) @ right[:, :, None])[:, :, 0]
-            sse = np.add.reduceat(weight * (milk - (basis * beta[row]).sum(axis=1)) ** 2, starts)
-            out[usable] = np.column_stack([beta, sse])
-        arrays = [pa.array(out[:, i], mask=~usable) for i in range(6)]
-        return pa.StructArray.from_arrays(arrays, names=[*names, "sse"])
-
-    rows = nested_days(days.filter(F.col("dim") >= 1), keys=keys).withColumn("_fit", once(fit)("t", "w", "y"))
-    return _with_model(rows, "ali_schaeffer", F.col("_fit"), keys)
-
-
 def fit_days(days: DataFrame, model: str, *, keys: Sequence[str] = ("test_id",)) -> DataFrame:
-    """Fit weighted days: keys, model, a, b, c, d, k, days, max_dim, reason."""
+    """Fit weighted days: keys, model, a, b, c, d, k, days, max_dim, reason, converged."""
+    if model not in FITTED:
+        raise ValueError(f"no fit for model {model!r}; fitted models: {', '.join(FITTED)}")
     if model == "wilmink":
-        return _fit_wilmink(days, keys=keys)
-    if model == "ali_schaeffer":
-        return _fit_ali_schaeffer(days, keys=keys).drop("sse")
-    if model in SOLVERS:
-        return _fit_bounded(days.filter(F.col("dim") >= 0), model, keys=keys).drop("sse")
-    raise ValueError(f"no fit for model {model!r}; fitted models: {', '.join(FITTED)}")
+        return _fit_wilmink(days, keys=keys).withColumn("converged", F.when(F.col("reason").isNull(), True))
+    return fit_nested(nested_days(days.filter(F.col("dim") >= _usable_from(model)), keys=keys), [model], keys=keys).drop("sse")
 
 
 def fit_curve(df: DataFrame, model: str, *, keys: Sequence[str] = ("test_id",)) -> DataFrame:
@@ -225,7 +221,7 @@ def fit_population_curve(df: DataFrame, model: str = "wood") -> DataFrame:
 def predict_curve(params: DataFrame, *, min_days: int = curves.HORIZON) -> DataFrame:
     """Daily yields for days 1..max(305, max_dim) of every parameter row: key columns, day, milk_kg."""
     longest = F.greatest(F.lit(min_days), F.col("max_dim")) if "max_dim" in params.columns else F.lit(min_days)
-    keys = [c for c in params.columns if c not in (*PARAMETERS, "max_dim", "days", "reason", "sse")]
+    keys = [c for c in params.columns if c not in (*PARAMETERS, "max_dim", "days", "reason", "sse", "converged")]
     fitted = F.col("reason").isNull() if "reason" in params.columns else F.col("a").isNotNull()
     long = params.filter(fitted).select(
         *keys, *PARAMETERS, F.explode(F.sequence(F.lit(1), longest.cast("int"))).alias("day")

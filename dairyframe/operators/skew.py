@@ -3,46 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_ROWS = 1_000_000
 SALTS = 32
 
 
-def join_lookup(
-    big: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    bounded: bool = False,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join a lookup table whose keys may be hot in ``big``; nothing runs before the result is asked for.
+def join_lookup(big: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, bounded: bool = False) -> DataFrame:
+    """Join a lookup table that has one row per key and whose keys may be hot in ``big``.
 
-    ``bounded`` says that the table's size is limited by its meaning (days of a lactation, hash buckets): it is
-    broadcast. Otherwise an aggregate over ``big`` finds the keys with more than ``hot_rows`` rows, at most one per
-    ``hot_rows`` rows of ``big``. Only the table rows of those keys are copied, once per ``hot_rows`` rows, and the
-    rows of a hot key are spread over the copies by their hash. Rows with a null key, which match nothing, are spread
-    too. Rows alike in every column stay together; the adaptive skew join splits those.
+    ``bounded`` says that the table's size is limited by its meaning (days of a lactation, hash buckets): it is broadcast. Otherwise
+    it is an ordinary join, for which adaptive execution broadcasts a table that turns out to be small and splits a hot key's
+    partition of ``big`` into tasks of even size, each with that key's one table row. Each side is read once.
     """
-    keys = list(on)
-    if bounded:
-        return big.join(F.broadcast(table), keys, how)
-    known = big.select(*keys).dropna()
-    sizes = known.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias("_copies"))
-    hot = sizes.filter("_copies > 1")
-    missing = reduce(or_, [F.col(k).isNull() for k in keys])
-    copies = F.when(missing, F.lit(SALTS)).otherwise(F.coalesce("_copies", F.lit(1)))
-    # maps have no hash
-    hashed = F.xxhash64(*[f.name for f in big.schema if "map<" not in f.dataType.simpleString()])
-    spread = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(hashed, copies).cast("int")).drop("_copies")
-    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
-    copied = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", salts).drop("_copies")
-    return spread.join(copied, [*keys, "_salt"], how).drop("_salt")
+    return big.join(F.broadcast(table) if bounded else table, list(on), how)
 
 
 def top_per_key(

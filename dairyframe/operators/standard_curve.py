@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dairyframe.functions.arrays import let
@@ -47,6 +48,24 @@ class Standard:
         """Day 0 repeats day 1."""
         return cls([curve[0], *curve], correlation, std, grid)
 
+    @classmethod
+    def from_tables(cls, curve: DataFrame, correlation: DataFrame, std: DataFrame, grid: Sequence[int] = WIDE_GRID) -> "Standard":
+        """From tables (day, expected_kg), (day_i, day_p, corr) and (day, std).
+
+        Each day and pair has to be there once, day 0 of the curve may be missing (it repeats day 1). At most one row more than
+        that is read, so a table of another size is refused without being gathered.
+        """
+        days = _keyed(curve.filter((F.col("day") >= 0) & (F.col("day") <= HORIZON)), ["day"], "expected_kg", HORIZON + 1)
+        days.setdefault((0,), days.get((1,)))
+        values = [days.get((d,)) for d in range(HORIZON + 1)]
+        pairs = _keyed(correlation, ["day_i", "day_p"], "corr", len(grid) ** 2)
+        spread = _keyed(std, ["day"], "std", len(grid))
+        matrix = [[pairs.get((i, p)) for p in grid] for i in grid]
+        row = [spread.get((g,)) for g in grid]
+        if None in values or None in row or any(None in r for r in matrix):
+            raise ValueError(f"the tables must hold days 0..{HORIZON} and every pair of the {len(grid)} grid days")
+        return cls(values, matrix, row, grid)
+
     def factor(self) -> list[list[float]]:
         """b[i][p] = corr(i, p) * std(p) / std(i), 0 where std(i) is 0."""
         return [
@@ -55,6 +74,14 @@ class Standard:
         ]
 
 
+def _keyed(table: DataFrame, keys: Sequence[str], value: str, most: int) -> dict[tuple, float]:
+    rows = table.select(*keys, F.col(value).cast("double").alias("_value")).limit(most + 1).collect()
+    found = {tuple(int(r[k]) for k in keys): r["_value"] for r in rows}
+    if len(rows) > most or len(found) < len(rows):
+        raise ValueError(f"{value}: more than {most} rows, or a repeated {' and '.join(keys)}")
+    return found
+
+
 def _doubles(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -295,6 +322,41 @@ class Representation:
 
 
 Interpolation = Callable[..., DataFrame]
+#: (days, yields, curve, grid) -> a yield per grid day, NaN where there is none; plain numpy arrays of one lactation.
+GridFunction = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def per_lactation(fn: GridFunction) -> Interpolation:
+    """An interpolation from a caller's function of one lactation.
+
+    Records are reduced to days and nested in Spark, the first record of a day counts, and days beyond 305 are left out; ``fn`` then
+    runs inside tasks, over Arrow batches, once per lactation. What it returns is checked: one number per grid day, no infinity.
+    """
+
+    def interpolate(df: DataFrame, curve: Sequence[float], *, grid: Sequence[int] = WIDE_GRID, order: str = "pos") -> DataFrame:
+        curve_array, grid_array = np.asarray(curve, dtype=float), np.asarray(grid, dtype=int)
+        size = len(grid_array)
+
+        @F.arrow_udf("array<double>")
+        def run(day: pa.Array, milk: pa.Array) -> pa.Array:
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(day.value_lengths().fill_null(0)))])
+            days, yields = np.asarray(day.flatten(), dtype=int), np.asarray(milk.flatten(), dtype=float)
+            out = np.full((len(day), size), np.nan)
+            for i, (start, end) in enumerate(zip(offsets[:-1], offsets[1:])):
+                value = np.asarray(fn(days[start:end], yields[start:end], curve_array, grid_array), dtype=float)
+                if value.shape != (size,) or np.isinf(value).any():
+                    raise ValueError(f"the interpolation must return {size} numbers or NaN, one per grid day; got shape {value.shape}")
+                out[i] = value
+            flat = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, size, dtype=np.int32)), flat)
+
+        rows = day_arrays(df.filter(F.col("milk_kg").isNotNull()), order=order)
+        values = rows.select("test_id", run(F.col("days.day"), F.col("days.first")).alias("_v"))
+        points = F.arrays_zip(F.array(*[F.lit(int(g)) for g in grid]).alias("grid_day"), F.col("_v").alias("milk_kg"))
+        long = values.select("test_id", F.inline(points)).toDF("test_id", "grid_day", "milk_kg")
+        return long.filter(F.col("milk_kg").isNotNull())
+
+    return interpolate
 
 
 def standardized_grid(points: DataFrame) -> DataFrame:
@@ -360,7 +422,8 @@ def standard_representation(
 ) -> Representation:
     """Standard of a population: interpolate, scale per lactation, correlate grid days, refit the curve.
 
-    ``interpolation`` is any function (df, curve, grid=, order=) -> test_id, grid_day, milk_kg.
+    ``interpolation`` is any function (df, curve, grid=, order=) -> test_id, grid_day, milk_kg; ``per_lactation`` makes one
+    of a plain numpy function of one lactation.
     Correlations use the lactations that have both days; std per day is the population form.
     """
     if interpolation is None:

@@ -319,26 +319,47 @@ def feature(spark, sf_dir):
 CURVE_304 = [20 + 20 * (d / 60) if d <= 60 else 40 - 20 * (d - 60) / 244 for d in range(1, 305)]
 
 
-@query(
-    "score_batch",
-    ds.with_views(
-        "testday",
-        """SELECT test_id, round(CASE WHEN sum(CASE WHEN y > 0 THEN c END) > 0 THEN sum(y) / sum(CASE WHEN y > 0 THEN c END) ELSE 1 END
-                    * (SELECT sum(c) FROM curve), 6) AS total_kg
-           FROM (SELECT test_id, day, c, coalesce(CASE WHEN test_id % 2 = 0 THEN y ELSE last_value(y IGNORE NULLS) OVER
-                          (PARTITION BY test_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, 0) AS y
-                 FROM (SELECT DISTINCT test_id FROM testday) CROSS JOIN curve LEFT JOIN (SELECT test_id, dim AS day, y FROM p) USING (test_id, day))
-           GROUP BY 1""",
-        p=PROJECT,
-        curve="""SELECT CAST(d AS INTEGER) AS day, CASE WHEN d <= 60 THEN 20 + 20 * (d::DOUBLE / 60) ELSE 40 - 20 * (d::DOUBLE - 60) / 244 END AS c
-                 FROM (SELECT unnest(range(1, 305)) AS d)""",
-    ),
+SCORED = dict(
+    p=PROJECT,
+    curve="""SELECT CAST(d AS INTEGER) AS day, CASE WHEN d <= 60 THEN 20 + 20 * (d::DOUBLE / 60) ELSE 40 - 20 * (d::DOUBLE - 60) / 244 END AS c
+             FROM (SELECT unnest(range(1, 305)) AS d)""",
+    filled="""SELECT test_id, day, c, coalesce(CASE WHEN test_id % 2 = 0 THEN y ELSE last_value(y IGNORE NULLS) OVER
+                     (PARTITION BY test_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, 0) AS y
+              FROM (SELECT DISTINCT test_id FROM testday) CROSS JOIN curve LEFT JOIN (SELECT test_id, dim AS day, y FROM p) USING (test_id, day)""",
+    scale="""SELECT test_id, CASE WHEN sum(CASE WHEN y > 0 THEN c END) > 0 THEN sum(y) / sum(CASE WHEN y > 0 THEN c END) ELSE 1 END AS s
+             FROM filled GROUP BY 1""",
 )
-def score(spark, sf_dir):
-    daily = _last_of_day(spark, sf_dir).select(
+
+
+def _daily_to_score(spark, sf_dir):
+    return _last_of_day(spark, sf_dir).select(
         "test_id",
         ar.project_daily(F.col("dim"), F.col("milk_kg"), missing=None).alias("milk"),
         F.when(F.col("test_id") % 2 == 0, "zero").alias("imputation_method"),
     )
-    out = ft.score_batch(daily, ft.scaled_mean_curve(CURVE_304))
+
+
+@query(
+    "score_batch",
+    ds.with_views("testday", "SELECT test_id, round(s * (SELECT sum(c) FROM curve), 6) AS total_kg FROM scale", **SCORED),
+)
+def score(spark, sf_dir):
+    out = ft.score_batch(_daily_to_score(spark, sf_dir), ft.scaled_mean_curve(CURVE_304))
     return out.select("test_id", F.round("total_kg", 6).alias("total_kg"))
+
+
+@query(
+    "score_batch_shape",
+    ds.with_views(
+        "testday",
+        """SELECT test_id, round(s * 40, 6) AS peak_yield, CASE WHEN s > 0 THEN 60 ELSE 1 END AS time_to_peak, round(s * (SELECT sum(c) FROM curve), 5) AS cumulative_yield,
+                  round(CASE WHEN s > 0 THEN (SELECT c FROM curve WHERE day = 200) / 40 ELSE 0 END, 6) AS persistency FROM scale""",
+        **SCORED,
+    ),
+)
+def score_shape(spark, sf_dir):
+    """The richest level of output; the scorer is set up inside each task."""
+    out = ft.score_batch(_daily_to_score(spark, sf_dir), setup=lambda: ft.scaled_mean_curve(CURVE_304), level="rich")
+    digits = {"peak_yield": 6, "cumulative_yield": 5, "persistency": 6}
+    rounded = [F.round(F.col(f"shape.{c}") + 0.0, n).alias(c) for c, n in digits.items()]
+    return out.select("test_id", F.col("shape.time_to_peak").cast("int").alias("time_to_peak"), *rounded)

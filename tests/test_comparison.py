@@ -48,23 +48,22 @@ def test_empty_sets(spark, sets):
     assert row["n"] == 0 and row["rmse"] is None and row["pearson"] is None
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 40])
-def test_lookup_join_is_the_same_with_hot_keys(spark, hot_rows):
+def test_lookup_join_is_the_same_with_hot_keys(spark):
     big = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise((F.col("id") % 9).cast("int")).alias("k"))
     table = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "k int, name string")
     for how in ("left", "inner"):
-        got = sorted(map(tuple, skew.join_lookup(big, table, ["k"], how, hot_rows=hot_rows).select("id", "k", "name").collect()), key=str)
+        got = sorted(map(tuple, skew.join_lookup(big, table, ["k"], how).select("id", "k", "name").collect()), key=str)
         assert got == sorted(map(tuple, big.join(table, "k", how).select("id", "k", "name").collect()), key=str)
 
 
-def test_lookup_copies_only_hot_keys(spark):
+def test_lookup_starts_no_job(spark):
     # a third of all rows has key 1, and every ninth row none
     key = F.when(F.col("id") % 9 == 8, None).when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))
     big = spark.range(3000).select("id", key.alias("k"), F.create_map(F.lit("x"), F.col("id")).alias("m"))
     table = spark.range(3000).select(F.col("id").alias("k"), F.col("id").alias("v"))
     status = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("lookup-plan", "building the plan must start no job")
-    joined = skew.join_lookup(big, table, ["k"], hot_rows=100)
+    joined = skew.join_lookup(big, table, ["k"])
     started = status.getJobIdsForGroup("lookup-plan")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert not started
@@ -73,6 +72,33 @@ def test_lookup_copies_only_hot_keys(spark):
     assert all(r["v"] == r["k"] for r in rows)
 
 
+def test_a_hot_lookup_key_is_split(spark):
+    """A key with a third of the rows: the join is split into even tasks and each side is read once."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        key = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))
+        big = spark.range(0, 60_000, 1, 8).select("id", key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        table = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        joined = skew.join_lookup(big, table, ["k"])
+        counts = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert joined.filter("v = 2 * k").count() == 60_000
+        plan = joined._jdf.queryExecution()
+        joined.collect()
+        assert "skew=true" in plan.toString() and max(counts) < 20_000
+        assert plan.analyzed().toString().count("Range (") == 2
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+
+
 def test_axes_without_pairs_and_failed_ids(spark, sets):
     yields, parities = sets
     some = yields.filter("test_id < '15'")

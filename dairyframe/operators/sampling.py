@@ -33,9 +33,10 @@ def stratified_sample(lactations: DataFrame, n: int, *, seed: int = 42, id_colum
     quotas = sizes.select("_parity", F.when(everything <= n, F.col("_size")).otherwise(quota).alias("_left"))
     ends = _crossing(first, quotas)
     ends = _crossing(_histogram(slim, 1 + DIGITS, ends, DIGITS), ends)
-    close = slim.join(F.broadcast(ends), (slim["_parity"] == ends["_parity"]) & (F.substring("_order", 1, 2 * DIGITS) == ends["_bucket"]))
+    named = ends.select(F.col("_parity").alias("_p"), F.col("_bucket").alias("_b"), "_left")
+    here = (F.col("_parity") == F.col("_p")) & (F.substring("_order", 1, 2 * DIGITS) == F.col("_b"))
     last = F.get(F.array_sort(F.collect_list(F.struct("_order", "_id"))), (F.first("_left") - 1).cast("int"))
-    limits = close.groupBy(slim["_parity"].alias("_p")).agg(last.alias("_last"))
+    limits = slim.join(F.broadcast(named), here).groupBy("_p").agg(last.alias("_last"))
     chosen = keyed.join(F.broadcast(limits), F.col("_parity") == F.col("_p"))
     chosen = chosen.withColumn("_in", F.struct("_order", F.col(id_column).alias("_id")) <= F.col("_last"))
     picked = chosen.orderBy(F.desc("_in"), shuffle_key(id_column, seed + 1), id_column).limit(n)
@@ -56,7 +57,8 @@ def _crossing(histogram: DataFrame, quotas: DataFrame) -> DataFrame:
     """Per parity the bucket in which ``_left`` rows of the order are reached, and how many of its rows are still needed."""
     before = Window.partitionBy("_parity").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     running = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = running.join(F.broadcast(quotas.select("_parity", "_left")), "_parity")
+    wanted = quotas.select(F.col("_parity").alias("_p"), "_left")
+    joined = running.join(F.broadcast(wanted), F.col("_parity") == F.col("_p"))
     hit = (F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_n"))
     return joined.filter(hit).select("_parity", "_bucket", (F.col("_left") - F.col("_before")).alias("_left"))
 

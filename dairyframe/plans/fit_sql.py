@@ -132,13 +132,18 @@ def bounded(model: str) -> dict[str, str]:
     }
 
 
+def digits(model: str) -> int:
+    """Decimals at which fitted yields are compared: two parameters are searched to about 1e-5 kg, fewer are exact."""
+    return 1 if len(fitting.BOUNDS[model].search if model in fitting.BOUNDS else ()) == 2 else 2
+
+
 def ends(model: str) -> str:
     """Per lactation: days, max_dim, reason, convergence, the curve on its first and last day and the residual sum."""
     u, v = SHAPES[model]
     needed = fitting.FREE_PARAMETERS[model]
     value = lambda t: f"p * ({_on(u, t)}) + q * ({_on(v, t)})"
     return f"""SELECT test_id, CAST(days AS INTEGER) AS days, max_dim, CASE WHEN days < {needed} THEN 'too_few_days' END AS reason, converged,
-        round({value("min_dim")}, 1) AS first_fit, round({value("max_dim")}, 1) AS last_fit, round(abs(sse), 2) AS sse
+        round({value("min_dim")}, {digits(model)}) AS first_fit, round({value("max_dim")}, {digits(model)}) AS last_fit, round(abs(sse), 2) AS sse
         FROM (SELECT test_id, count(DISTINCT dim) AS days, max(dim) AS max_dim, min(dim) AS min_dim FROM testday GROUP BY test_id) LEFT JOIN fitted USING (test_id)"""
 
 

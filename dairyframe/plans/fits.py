@@ -74,9 +74,7 @@ def _measured(name: str):
         fit = fitting.fit_nested(first, [name], keys=["test_id", "first_dim"])
         form = name.removesuffix("_trf")
         at = {"first_fit": F.col("first_dim"), "last_fit": F.col("max_dim").cast("double")}
-        # a search stops within about 1e-5 kg of the optimum, so its values are compared at 0.1 kg
-        digits = 2 if name == "ali_schaeffer" else 1
-        values = [F.round(curves.curve(form, day) + 0.0, digits).alias(c) for c, day in at.items()]
+        values = [F.round(curves.curve(form, day) + 0.0, fit_sql.digits(name)).alias(c) for c, day in at.items()]
         return fit.select("test_id", "days", "max_dim", "reason", "converged", *values, F.round(F.col("sse") + 0.0, 2).alias("sse"))
 
 

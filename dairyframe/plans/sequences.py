@@ -352,7 +352,7 @@ def score(spark, sf_dir):
     "score_batch_shape",
     ds.with_views(
         "testday",
-        """SELECT test_id, round(s * 40, 6) AS peak_yield, CASE WHEN s > 0 THEN 60 ELSE 1 END AS time_to_peak, round(s * (SELECT sum(c) FROM curve), 5) AS cumulative_yield,
+        """SELECT test_id, round(s * 40, 6) AS peak_yield, CASE WHEN s > 0 THEN 60 ELSE 1 END AS time_to_peak, round(s * (SELECT sum(c) FROM curve), 6) AS cumulative_yield,
                   round(CASE WHEN s > 0 THEN (SELECT c FROM curve WHERE day = 200) / 40 ELSE 0 END, 6) AS persistency FROM scale""",
         **SCORED,
     ),
@@ -360,6 +360,6 @@ def score(spark, sf_dir):
 def score_shape(spark, sf_dir):
     """The richest level of output; the scorer is set up inside each task."""
     out = ft.score_batch(_daily_to_score(spark, sf_dir), setup=lambda: ft.scaled_mean_curve(CURVE_304), level="rich")
-    digits = {"peak_yield": 6, "cumulative_yield": 5, "persistency": 6}
+    digits = {"peak_yield": 6, "cumulative_yield": 6, "persistency": 6}
     rounded = [F.round(F.col(f"shape.{c}") + 0.0, n).alias(c) for c, n in digits.items()]
     return out.select("test_id", F.col("shape.time_to_peak").cast("int").alias("time_to_peak"), *rounded)

@@ -20,6 +20,8 @@ HIDDEN = 8
 #: Bounds of the training sample: documents per language, and spans taken from each.
 SAMPLE_PER_LANGUAGE = 1500
 SPANS_PER_DOCUMENT = 2
+#: Bound of the sample over all languages; many languages share it evenly.
+SAMPLE = 20_000
 LANES = 4096
 SLICES = 64
 
@@ -233,7 +235,12 @@ def fit(
     per_language: int = SAMPLE_PER_LANGUAGE,
     per_document: int = SPANS_PER_DOCUMENT,
 ) -> BiGRU:
-    """Train on a bounded sample of the labelled rows of ``docs``: SPAN bytes from each of a few documents per language."""
+    """Train on a bounded sample of the labelled rows of ``docs``: SPAN bytes from each of a few documents per language.
+
+    A language gives at most ``per_language`` documents, and all together about SAMPLE, at least one each.
+    """
+    many = docs.agg(F.count_distinct(lang_column)).first()[0]
+    per_language = max(1, min(per_language, SAMPLE // max(1, many)))
     sample = training_spans(
         docs, id_column=id_column, text_column=text_column, lang_column=lang_column, per_language=per_language, per_document=per_document
     ).collect()

@@ -15,9 +15,8 @@ from dairyframe.llm.common import id_crc_mod, table, written
 NAME = "op2_toxicity"
 ORACLE = None
 THRESHOLD = 0.7
-#: Bounds of what the driver fits on: words that may carry a weight, and distinct bags of these words with their label.
-MOST_WORDS = 1000
-MOST_BAGS = 20_000
+#: About how many distinct bags of chosen words, with label and count, the driver fits on; beyond that a hashed sample of them is weighted up.
+SAMPLE_BAGS = 20_000
 #: A word may carry a weight if the likelihood ratio (G) of its use in toxic and other sentences reaches STANDOUT, at least
 #: this share of the sentences that hold it is toxic, and they come from several documents. None depends on the input's size.
 STANDOUT = 30.0
@@ -90,7 +89,7 @@ def fit_sentences(
 
 
 def fit_bags(
-    bags: Sequence[tuple[set[str], int, int]],
+    bags: Sequence[tuple[set[str], int, float]],
     chosen: set[str],
     *,
     terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
@@ -161,8 +160,8 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(words.alias("words"), "toxic", slot.alias("slot"))
 
 
-def standout_words(sentences: DataFrame, rate: float, *, most: int = MOST_WORDS) -> list[str]:
-    """The words of toxic sentences, by likelihood ratio over all ``sentences``."""
+def standout_words(sentences: DataFrame, rate: float) -> list[str]:
+    """The words of toxic sentences, by likelihood ratio over all ``sentences``: every word that passes, in order."""
     if not 0 < rate < 1:
         return []
     n1, n = F.col("n1"), F.col("n")
@@ -171,15 +170,29 @@ def standout_words(sentences: DataFrame, rate: float, *, most: int = MOST_WORDS)
     counts = counts.filter((n1 >= LEAST_SHARE * n) & (n1 > rate * n) & (F.bit_count("slots") >= LEAST_DOCUMENTS))
     rest = F.when(n > n1, (n - n1) * F.log((n - n1) / ((1 - rate) * n))).otherwise(0.0)
     counts = counts.withColumn("g", 2 * (n1 * F.log(n1 / (rate * n)) + rest)).filter(F.col("g") >= STANDOUT)
-    return [r.word for r in counts.orderBy(F.desc("g"), "word").limit(most).collect()]
+    return sorted(r.word for r in counts.select("word").collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 10.0) -> Classifier:
+def sampled_bags(bags: DataFrame, most: int = SAMPLE_BAGS) -> list[tuple[set[str], int, float]]:
+    """(words, label, weight) of written ``bags`` (bag, toxic, count): all of them, or about ``most`` if there are more.
+
+    Each bag is in the sample by the hash of its words and label, all at one rate, and weighs its count over that rate, so rare words
+    are as likely to be heard as common ones. The empty bag, which holds most sentences, is always in.
+    """
+    rate = min(1.0, most / max(1, bags.count()))
+    chance = F.pmod(F.xxhash64("bag", "toxic"), F.lit(1 << 30)) / float(1 << 30)
+    found = bags.filter((F.size("bag") == 0) | (chance < rate)).orderBy("toxic", "bag").collect()
+    return [(set(r.bag), r.toxic, r["count"] / (rate if r.bag else 1.0)) for r in found]
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, *, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = 10.0, sample: int = SAMPLE_BAGS
+) -> Classifier:
     """Train on the sentences of all labelled documents; a sentence has its document's label.
 
     ``labels`` holds (doc_id, toxic), one row per id (the largest label counts); null labels are left out. Words are counted
-    and chosen by Spark over all these sentences. The driver gets at most MOST_WORDS words, and the MOST_BAGS commonest
-    combinations of chosen words and identity terms with their counts, on which it fits the weights.
+    and chosen by Spark over all these sentences, and so are the combinations of chosen words and identity terms. The driver gets the
+    chosen words, which are the model, and about ``sample`` combinations with their counts, on which it fits the weights.
     """
     sentences = written(labelled_sentences(docs, labels), "toxicity-sentences")
     totals = {r.toxic: r["count"] for r in sentences.groupBy("toxic").count().collect()}
@@ -188,10 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, terms: Sequence[Sequence[str]] =
     chosen = standout_words(sentences, totals.get(1, 0) / sum(totals.values()))
     known = sorted({*chosen, *(t for group in terms for t in group)})
     bag = F.array_sort(F.filter("words", lambda w: w.isin(known)))
-    bags = sentences.select(bag.alias("bag"), "toxic").groupBy("bag", "toxic").count()
-    found = bags.orderBy(F.desc("count"), "bag", "toxic").limit(MOST_BAGS).collect()
-    found = [(set(r.bag), r.toxic, r["count"]) for r in found]
-    return fit_bags(found, set(chosen), terms=terms, penalty=penalty)
+    bags = written(sentences.select(bag.alias("bag"), "toxic").groupBy("bag", "toxic").count(), "toxicity-bags")
+    return fit_bags(sampled_bags(bags, sample), set(chosen), terms=terms, penalty=penalty)
 
 
 def score_text(text: str, model: Classifier, finder) -> float:

@@ -78,24 +78,29 @@ def _one_linear(days: Days, g: np.ndarray, lo: float, hi: float):
 
 
 def _two_linear(days: Days, u: np.ndarray, v: np.ndarray, candidates: Callable):
-    """Smallest residual over the candidate (p, q) pairs built from the normal equations."""
+    """Smallest residual over the candidate (p, q) pairs built from the normal equations.
+
+    Candidates are compared by the same sums, one number per lactation; only the chosen pair is laid out over the records.
+    """
     w, y = days.w[:, None], days.y[:, None]
-    sums = [days.total(w * x) for x in (u * u, u * v, v * v, u * y, v * y)]
-    root = np.sqrt(w)
-    best = chosen = kept = None
+    wu, wv = w * u, w * v
+    sums = [days.total(x) for x in (wu * u, wu * v, wv * v, wu * y, wv * y)]
+    uu, uv, vv, uy, vy = sums
+    yy = days.total(w * y * y)
+    best = chosen = None
     for p, q, valid in candidates(*sums):
         with np.errstate(over="ignore", invalid="ignore"):
-            residual = root * (y - p[days.row] * u - q[days.row] * v)
-            sse = days.total(residual * residual)
+            sse = yy - 2 * (p * uy + q * vy) + p * p * uu + 2 * p * q * uv + q * q * vv
         sse = np.where(valid & np.isfinite(sse), sse, np.inf)
         if best is None:
-            best, chosen, kept = sse, (p, q), residual
+            best, chosen = sse, (p, q)
             continue
         better = sse < best
         best = np.where(better, sse, best)
         chosen = tuple(np.where(better, new, old) for new, old in zip((p, q), chosen))
-        kept = np.where(better[days.row], residual, kept)
-    return best, chosen, kept
+    p, q = (np.where(np.isfinite(best), x, 0.0) for x in chosen)
+    residual = np.sqrt(w) * (y - p[days.row] * u - q[days.row] * v)
+    return np.where(np.isfinite(best), days.total(residual * residual), np.inf), (p, q), residual
 
 
 def _free(uu, uv, vv, uy, vy):

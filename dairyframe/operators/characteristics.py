@@ -105,19 +105,19 @@ def calculate_characteristics(
 ) -> DataFrame:
     """Fit one model per lactation of a test-day table and derive its characteristics."""
     fit = fitting.fit_curve(df, model)
-    return characteristics_from_params(fit, length=length, persistency=persistency, models=[model])
+    return characteristics_from_params(fit, length=length, persistency=persistency, models=[model.removesuffix("_trf")])
 
 
 def characteristics_batch(
     df: DataFrame, models: Sequence[str], *, length: int | str = curves.HORIZON, persistency: str = "derived"
 ) -> DataFrame:
-    """Several models for many lactations, keyed by id.
+    """Several fits for many lactations, keyed by id and ``fit``.
 
     Records are reduced to days and nested once; one task function fits all models from the nested row, so the
     input is read once and shuffled twice (days, lactations) however many models there are.
     """
     fits = fitting.fit_nested(fitting.nested_days(fitting.weighted_days(df)), models)
-    names = list(dict.fromkeys("milkbot" if m == "milkbot_trf" else m for m in models))
+    names = list(dict.fromkeys(m.removesuffix("_trf") for m in models))
     return characteristics_from_params(fits, length=length, persistency=persistency, models=names)
 
 

@@ -117,15 +117,18 @@ def _fitted(models: Sequence[str]):
 
 
 def fit_nested(rows: DataFrame, models: Sequence[str], *, keys: Sequence[str] = ("test_id",)) -> DataFrame:
-    """Nested rows to one row per key and model: keys, model, a, b, c, d, k, sse, days, max_dim, reason, converged."""
+    """Nested rows to one row per key and fit: keys, fit, model, a, b, c, d, k, sse, days, max_dim, reason, converged.
+
+    ``fit`` is the name asked for, ``model`` the curve it gives parameters of.
+    """
     none = F.lit(None).cast("double")
 
     def entry(model: str) -> Column:
         fit = F.col(f"_fit.{model}")
-        name = "milkbot" if model == "milkbot_trf" else model
+        name = model.removesuffix("_trf")
         parameters = [(fit[p] if p in FITTED[model] else none).alias(p) for p in PARAMETERS]
         reason = F.when(fit["days"] < FREE_PARAMETERS[model], TOO_FEW).alias("reason")
-        return F.struct(F.lit(name).alias("model"), *parameters, fit["sse"].alias("sse"), fit["days"].alias("days"), "max_dim", reason, fit["converged"].alias("converged"))
+        return F.struct(F.lit(model).alias("fit"), F.lit(name).alias("model"), *parameters, fit["sse"].alias("sse"), fit["days"].alias("days"), "max_dim", reason, fit["converged"].alias("converged"))
 
     fitted = rows.withColumn("_fit", _fitted(models)("t", "w", "y", "top"))
     return fitted.select(*keys, F.inline(F.array(*[entry(m) for m in models])))
@@ -200,7 +203,7 @@ def fit_days(days: DataFrame, model: str, *, keys: Sequence[str] = ("test_id",))
         raise ValueError(f"no fit for model {model!r}; fitted models: {', '.join(FITTED)}")
     if model == "wilmink":
         return _fit_wilmink(days, keys=keys).withColumn("converged", F.when(F.col("reason").isNull(), True))
-    return fit_nested(nested_days(days.filter(F.col("dim") >= _usable_from(model)), keys=keys), [model], keys=keys).drop("sse")
+    return fit_nested(nested_days(days.filter(F.col("dim") >= _usable_from(model)), keys=keys), [model], keys=keys).drop("sse", "fit")
 
 
 def fit_curve(df: DataFrame, model: str, *, keys: Sequence[str] = ("test_id",)) -> DataFrame:

@@ -143,3 +143,46 @@ def in_unit_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for check in checks[1:]:
         ok = ok & check
     return df.filter(ok)
+
+
+#: What a report says about each flag of the summary; text of our own.
+WARNINGS = {
+    "no_day_21": "No record near day 21; Achieved21Milk is unknown.",
+    "no_day_75": "No record near day 75; Achieved75Milk is unknown.",
+    "no_305": "No lactation long enough for a 305-day value.",
+    "many_dropped": "More than a fifth of the lactations have too few records for a 305-day value.",
+}
+
+
+def upload_report(parsed: DataFrame) -> DataFrame:
+    """One row about an upload of parsed test days (``files.parse_test_day``): what was read, kept and left out, and what it shows.
+
+    row_count, other_events, rejected, ``reasons`` MAP<STRING, BIGINT>, usable, lactations, detected_parity (the most frequent, on ties the
+    one seen first), the five statistics, and ``warnings`` ARRAY<STRING>. The rows are counted by event and reason, and
+    reduced to days and lactations, with partial sums before each shuffle. An upload without a usable row
+    has null statistics and says so.
+    """
+    usable = parsed.filter(F.col("event_ok") & F.col("reject_reason").isNull())
+    kinds = parsed.groupBy("event_ok", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    bad = F.col("event_ok") & F.col("reject_reason").isNotNull()
+    counted = kinds.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum(F.when(~F.col("event_ok"), F.col("n"))), F.lit(0)).alias("other_events"),
+        F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("rejected"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(bad, F.struct("reject_reason", "n"))))).alias("reasons"),
+    )
+    parity_ok = F.col("parity") > 0
+    parities = usable.groupBy("test_id").agg(
+        F.min_by(F.when(parity_ok, F.col("parity")), F.when(parity_ok, F.col("pos"))).alias("parity"), F.min("pos").alias("seen")
+    )
+    mode = mode_parity(parities, order="seen").select(F.col("parity").alias("detected_parity"), F.lit(1).alias("one"))
+    stats = herd_stats_summary(usable).withColumn("one", F.lit(1))
+    # each side is one row by its making, a global aggregate
+    row = counted.withColumn("one", F.lit(1)).join(F.broadcast(mode), "one", "left").join(F.broadcast(stats), "one", "left")
+    lines = [F.when(F.col("lactations") == 0, "No usable record.")]
+    lines += [F.when((F.col("lactations") > 0) & F.col(flag), text) for flag, text in WARNINGS.items()]
+    lines.append(F.when(F.col("rejected") > 0, F.concat(F.col("rejected").cast("string"), F.lit(" rows could not be used."))))
+    warnings = F.filter(F.array(*lines), lambda w: w.isNotNull())
+    usable_rows = (F.col("row_count") - F.col("other_events") - F.col("rejected")).alias("usable")
+    five = ["Achieved21Milk", "Achieved305Milk", "Achieved75Milk", "AchievedMilk", "DaysInMilk"]
+    return row.select("row_count", "other_events", "rejected", "reasons", usable_rows, "lactations", "detected_parity", *five, warnings.alias("warnings"))

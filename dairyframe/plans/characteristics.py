@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dairyframe import datasets as ds
-from dairyframe.operators import characteristics as ch
+from dairyframe.operators import characteristics as ch, fitting
 from dairyframe.plans import query
 from dairyframe.plans.models import DAILY_SQL, SQL_FORMS, customer_params, customer_params_sql
 
@@ -86,5 +86,6 @@ def milkbot(spark, sf_dir):
 
 @query("characteristics_batch")
 def batch(spark, sf_dir):
-    """Fitted here, so checked against brute force on a fixture rather than in SQL."""
-    return _rounded(ch.characteristics_batch(ds.testday(spark, sf_dir), ["wilmink", "wood", "fischer"]))
+    """All six fits of the measured yields from one nested row. Each fit has its own SQL; what follows from parameters is checked by
+    ``characteristics_from_params``, and the whole against brute force on a fixture."""
+    return _rounded(ch.characteristics_batch(ds.testday(spark, sf_dir), list(fitting.FITTED)))

@@ -236,3 +236,40 @@ def vector(spark, sf_dir):
     pairs = [item for n in herd.STAT_NAMES for item in (F.lit(n), F.col(n))]
     stats = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
     return _vector_rows(_raw_stats(spark, sf_dir), herd.stats_vector(stats))
+
+
+# An upload: some rows of other events, some unreadable, parity known for most.
+REPORT_UPLOAD = dict(
+    raw="""SELECT t.test_id, dim, milk_kg, pos, parity, dim % 19 = 0 AS other, CASE WHEN dim % 29 = 0 THEN 'no_id' WHEN dim % 23 = 0 THEN 'no_milk' END AS reason
+           FROM base t JOIN cow USING (test_id)""",
+    testday="SELECT test_id, dim, milk_kg, pos FROM raw WHERE NOT other AND reason IS NULL",
+)
+
+
+@query(
+    "upload_report",
+    ds.with_views(
+        "cow",
+        """SELECT row_count, other_events, rejected, no_id, no_milk, row_count - other_events - rejected AS usable, lactations, detected_parity,
+                  "Achieved21Milk", "Achieved305Milk", "Achieved75Milk", "AchievedMilk", "DaysInMilk",
+                  CAST(no_day_21 AS INTEGER) + CAST(no_day_75 AS INTEGER) + CAST(no_305 AS INTEGER) + CAST(many_dropped AS INTEGER) + 1 AS warnings
+           FROM s, (SELECT count(*) AS row_count, count(*) FILTER (other) AS other_events, count(*) FILTER (NOT other AND reason IS NOT NULL) AS rejected,
+                           count(*) FILTER (NOT other AND reason = 'no_id') AS no_id, count(*) FILTER (NOT other AND reason = 'no_milk') AS no_milk FROM raw),
+                (SELECT parity AS detected_parity FROM (SELECT parity, count(*) AS n, min(seen) AS seen FROM (SELECT test_id, any_value(parity) AS parity, min(pos) AS seen
+                 FROM raw WHERE NOT other AND reason IS NULL GROUP BY 1) GROUP BY 1) ORDER BY n DESC, seen LIMIT 1)""",
+        base=ds.VIEWS["testday"],
+        **REPORT_UPLOAD,
+        p=PROFILE_SQL,
+        j="SELECT p.*, CAST(NULL AS DOUBLE) AS direct_kg FROM p",
+        s=_summary_sql("", "j"),
+    ),
+)
+def report(spark, sf_dir):
+    dim = F.col("dim")
+    rows = ds.testday(spark, sf_dir).join(ds.cow(spark, sf_dir), "test_id")
+    reason = F.when(dim % 29 == 0, "no_id").when(dim % 23 == 0, "no_milk")
+    out = herd.upload_report(rows.select("test_id", "dim", "milk_kg", "pos", "parity", (dim % 19 != 0).alias("event_ok"), reason.alias("reject_reason")))
+    reasons = [F.col("reasons")[c].alias(c) for c in ("no_id", "no_milk")]
+    return _rounded(out, FIVE).select(
+        "row_count", "other_events", "rejected", *reasons, "usable", "lactations", "detected_parity", *FIVE, F.size("warnings").alias("warnings")
+    )

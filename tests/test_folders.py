@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from dairyframe.operators import herd
 from dairyframe.sources import delimited, files as fl
 
 
@@ -90,3 +91,16 @@ def test_no_rows(spark, tmp_path):
     assert fl.read_delimited(spark, str(tmp_path)).count() == 0
     assert fl.read_delimited(spark, str(tmp_path), multi_line=True).count() == 0
     assert fl.read_actual_yields(spark, str(tmp_path)).count() == 0
+
+
+def test_upload_report(spark, tmp_path):
+    lines = ["TestId,EventType,DaysInMilk,DailyMilkingYield,Parity", "1,,15,30,2", "1,,42,40,2", "2,MilkRecording,70,n/a,3", ",,10,25,3", "2,,38,35,3", "2,Calving,0,0,3", "3,,x,33,2", "3,,250,20,"]
+    write(tmp_path / "a.csv", "\n".join(lines) + "\n")
+    row = herd.upload_report(fl.parse_test_day_files(spark, str(tmp_path))).first()
+    assert (row.row_count, row.other_events, row.rejected, row.usable, row.lactations) == (8, 1, 3, 4, 3)
+    assert row.reasons == {"no_id": 1, "no_dim": 1, "no_milk": 1} and row.detected_parity == 2
+    assert row.DaysInMilk == pytest.approx((28.5 + 38 + 250) / 3) and row.Achieved21Milk == pytest.approx((30 + 35) / 2)
+    assert row.warnings[-1] == "3 rows could not be used." and any("fifth" in w for w in row.warnings)
+    write(tmp_path / "a.csv", lines[0] + "\n")
+    empty = herd.upload_report(fl.parse_test_day_files(spark, str(tmp_path))).first()
+    assert empty.row_count == empty.lactations == 0 and empty.warnings == ["No usable record."] and empty.reasons == {}

@@ -121,6 +121,42 @@ def characteristics_batch(
     return characteristics_from_params(fits, length=length, persistency=persistency, models=names)
 
 
+def daily_arrays(params: DataFrame, *, min_days: int = curves.HORIZON, models: Sequence[str] | None = None) -> DataFrame:
+    """Daily yields of days 1..max(305, max_dim) of every parameter row as an array: key columns, y.
+
+    The curve is built inside its row: nothing is laid out by day, and nothing is shuffled.
+    """
+    longest = F.greatest(F.lit(min_days), F.col("max_dim")) if "max_dim" in params.columns else F.lit(min_days)
+    keys = [c for c in params.columns if c not in (*PARAMETERS, "model", "max_dim", "days", "reason", "sse", "converged")]
+    known = F.col("reason").isNull() if "reason" in params.columns else F.col("a").isNotNull()
+    rows = params.filter(known).withColumn("_horizon", longest.cast("int"))
+    walks = {m: _daily(m, Params.of()) for m in models or curves.MODELS}
+    return rows.select(*keys, _by_model(list(walks), walks.__getitem__, models).alias("y"))
+
+
+def array_diff(a: DataFrame, b: DataFrame, *, keys: Sequence[str] = ("test_id",)) -> DataFrame:
+    """Largest and mean absolute difference of two curves per key, from arrays (keys, y) over the days that both have."""
+    joined = a.select(*keys, F.col("y").alias("_a")).join(b.select(*keys, F.col("y").alias("_b")), list(keys))
+    both = F.least(F.size("_a"), F.size("_b"))
+    gaps = F.zip_with(F.slice("_a", F.lit(1), both), F.slice("_b", F.lit(1), both), lambda x, y: F.abs(x - y))
+    total = F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + g)
+    return joined.withColumn("_g", gaps).select(*keys, F.array_max("_g").alias("max_diff"), (total / F.size("_g")).alias("mean_diff"))
+
+
+def residuals_at(params: DataFrame, actual: DataFrame, *, keys: Sequence[str] = ("test_id",), models: Sequence[str] | None = None) -> DataFrame:
+    """MAE and RMSE of fitted curves against actual daily yields per key: keys, n, mae, rmse.
+
+    The parameters, one row per key, meet the measured days, and the curve is worked out on those days only. Days before 1 and
+    beyond max(305, max_dim) have no predicted yield.
+    """
+    longest = F.greatest(F.lit(curves.HORIZON), F.col("max_dim")) if "max_dim" in params.columns else F.lit(curves.HORIZON)
+    fitted = params.select(*keys, "model", *PARAMETERS, longest.alias("_last"))
+    rows = actual.select(*keys, "day", F.col("milk_kg").alias("_actual")).join(fitted, list(keys))
+    rows = rows.filter((F.col("day") >= 1) & (F.col("day") <= F.col("_last")))
+    gap = F.col("_actual") - curves.curve_by_name(F.col("model"), F.col("day"), Params.of(), models)
+    return rows.groupBy(*keys).agg(F.count(gap).alias("n"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+
+
 def curve_stats(values: Column) -> list[Column]:
     """mean, max, min, population std and total of a predicted curve array."""
     moments = arrays.moments(values)

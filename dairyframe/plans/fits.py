@@ -146,5 +146,5 @@ def metrics(spark, sf_dir):
         "test_id", F.lit("wood").alias("model"), (15.0 + F.col("test_id") % 20).alias("a"), F.lit(0.2).alias("b"),
         F.lit(0.004).alias("c"), none.alias("d"), none.alias("k"),
     )
-    out = ch.residual_metrics(fitting.predict_curve(params), actual)
+    out = ch.residuals_at(params, actual, models=["wood"])
     return out.withColumns({c: F.round(c, 4) for c in ("mae", "rmse")})

@@ -151,9 +151,7 @@ def predict(spark, sf_dir):
 
 def _daily_arrays(spark, sf_dir):
     """Predicted curves as arrays: curve_id, y."""
-    packed = F.array_sort(F.collect_list(F.struct("day", "milk_kg")))
-    daily = fitting.predict_curve(customer_params(spark, sf_dir))
-    return daily.groupBy("curve_id").agg(packed.alias("d")).select("curve_id", F.col("d.milk_kg").alias("y"))
+    return ch.daily_arrays(customer_params(spark, sf_dir))
 
 
 @query(
@@ -195,5 +193,5 @@ def shape(spark, sf_dir):
 def diff(spark, sf_dir):
     params = customer_params(spark, sf_dir)
     shifted = params.withColumn("a", F.col("a") * 1.05)
-    out = ch.curve_diff(fitting.predict_curve(params), fitting.predict_curve(shifted), keys=["curve_id"])
+    out = ch.array_diff(ch.daily_arrays(params), ch.daily_arrays(shifted), keys=["curve_id"])
     return out.select("curve_id", F.round("max_diff", 4).alias("max_diff"), F.round("mean_diff", 4).alias("mean_diff"))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from conftest import by_id
 
+from pyspark.sql import functions as F
+
 from dairyframe.functions import bounded_fit as bf, curves
 from dairyframe.operators import best_prediction as bp, characteristics as ch, fitting
 
@@ -185,3 +187,41 @@ def test_covariance_fit_finds_the_likelihood_peak(testdays):
         assert best <= loss(fit["b1"] * factor, fit["b2"], fit["rho"]) + 0.02
         assert best <= loss(fit["b1"], fit["b2"] * factor, fit["rho"]) + 0.02
     assert fit["rho"] == pytest.approx(rho, abs=0.02) and fit["b2"] == pytest.approx(b2, rel=0.2)
+
+
+def test_array_forms_equal_the_day_by_day_forms(spark, testdays):
+    f = TRUE["wood"][1]
+    rows = [(i, int(t), float(round(f(t, 20 + i, 0.2, 0.003) + (t * i) % 5))) for i in (1, 2, 3) for t in range(5, 330, 20)]
+    params = fitting.fit_curve(testdays(rows), "wood")
+    other = fitting.fit_curve(testdays(rows), "wilmink")
+    actual = testdays(rows).select("test_id", F.col("dim").alias("day"), "milk_kg")
+    plain = {r.test_id: (r.n, r.mae, r.rmse) for r in ch.residual_metrics(fitting.predict_curve(params), actual).collect()}
+    for r in ch.residuals_at(params, actual).collect():
+        assert (r.n, r.mae, r.rmse) == pytest.approx(plain[r.test_id], rel=1e-9)
+    diff = {r.test_id: (r.max_diff, r.mean_diff) for r in ch.curve_diff(fitting.predict_curve(params), fitting.predict_curve(other)).collect()}
+    got = {r.test_id: (r.max_diff, r.mean_diff) for r in ch.array_diff(ch.daily_arrays(params), ch.daily_arrays(other)).collect()}
+    assert got.keys() == diff.keys() and all(got[k] == pytest.approx(diff[k], rel=1e-9) for k in got)
+
+
+def test_unfinished_fits_are_flagged(testdays, monkeypatch):
+    t, y = random_lactations(30, seed=5)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in t])])
+    args = (bf.wood, offsets, np.concatenate(t), np.ones(offsets[-1]), np.concatenate(y), fitting.BOUNDS["wood"])
+    assert bf.fit_flagged(*args)[2].all()
+    monkeypatch.setattr(bf, "ROUNDS", 1)
+    assert not bf.fit_flagged(*args)[2].any()
+
+
+def test_batch_of_all_fits_reads_the_input_once(testdays):
+    f = TRUE["milkbot"][1]
+    rows = [(i, int(t), f(t, 40 + i, 25, 5, 0.003)) for i in (1, 2) for t in range(5, 300, 20)] + [(3, 10, 20.0), (3, 60, 25.0), (3, 200, 15.0)]
+    out = ch.characteristics_batch(testdays(rows), list(fitting.FITTED))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 1
+    got = {(r.test_id, r.fit): r for r in out.collect()}
+    assert {k for k in got if k[0] < 3} == {(i, m) for i in (1, 2) for m in fitting.FITTED}
+    assert {m for i, m in got if i == 3} == {"wood", "fischer", "wilmink"}
+    for m in fitting.FITTED:
+        one = {r.test_id: r for r in ch.calculate_characteristics(testdays(rows), m).collect()}
+        for c in ch.CHARACTERISTICS:
+            assert got[1, m][c] == pytest.approx(one[1][c], rel=1e-6), (m, c)

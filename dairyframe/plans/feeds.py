@@ -259,3 +259,26 @@ def texts(spark, sf_dir):
         tx.byte_text(F.col("user_id") * 1536).alias("size_text"),
         F.sha2("user_email", 256).alias("token"),
     )
+
+
+@query(
+    "display_texts",
+    """SELECT c_custkey AS item_id, printf('%.2f', c_acctbal) AS kg_text, format('{:,.2f}', c_acctbal * 2.20462::DOUBLE) AS lbs_text,
+              'lbs/day' AS unit, CASE WHEN c_custkey % 3 = 1 THEN c_name WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'Untitled' END AS title,
+              greatest(TIMESTAMP '2020-01-01' + to_days(CAST(c_custkey % 50 AS INTEGER)),
+                       CASE WHEN c_custkey % 4 > 0 THEN TIMESTAMP '2020-01-20' + to_days(CAST(c_custkey % 7 AS INTEGER)) END) AS latest
+       FROM customer""",
+)
+def display(spark, sf_dir):
+    """Weights in both units, the unit's label, the first title that is not empty, the later of two times."""
+    c, key = F.col, F.col("c_custkey")
+    title = tx.first_text(F.when(key % 3 == 1, c("c_name")).when(key % 3 == 2, ""), F.when(key % 2 == 0, c("c_mktsegment")), F.lit("Untitled"))
+    checked = F.when(key % 4 > 0, _after("2020-01-20", key % 7))
+    return ds.table(spark, sf_dir, "customer").select(
+        key.alias("item_id"),
+        tx.weight_text(c("c_acctbal"), "kg", 2).alias("kg_text"),
+        tx.weight_text(c("c_acctbal"), "lbs", 2).alias("lbs_text"),
+        tx.unit_label(F.lit("kg/day"), "lbs").alias("unit"),
+        title.alias("title"),
+        fd.latest_of(_after("2020-01-01", key % 50), checked).alias("latest"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from dairyframe import datasets as ds
@@ -359,7 +361,7 @@ def score(spark, sf_dir):
 )
 def score_shape(spark, sf_dir):
     """The richest level of output; the scorer is set up inside each task."""
-    out = ft.score_batch(_daily_to_score(spark, sf_dir), setup=lambda: ft.scaled_mean_curve(CURVE_304), level="rich")
+    out = ft.score_batch(_daily_to_score(spark, sf_dir), setup=partial(ft.scaled_mean_curve, CURVE_304), level="rich")
     digits = {"peak_yield": 6, "cumulative_yield": 6, "persistency": 6}
     rounded = [F.round(F.col(f"shape.{c}") + 0.0, n).alias(c) for c, n in digits.items()]
     return out.select("test_id", F.col("shape.time_to_peak").cast("int").alias("time_to_peak"), *rounded)

@@ -7,6 +7,8 @@ from dairyframe import plans
 
 plans.load_all()
 SF = "/root/testdata/sf0.001"
+#: Queries whose filters leave nothing of the smallest tables; both sides have to agree on that.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(plans.ORACLE))
 def test_matches_sql(spark, con, name):
     ok, message = oracle.compare(spark, con, name, plans.QUERIES[name], plans.ORACLE[name], SF)
-    # some tables are so small here that a filter leaves nothing; that still has to agree
-    assert ok or message == "no rows", message
+    assert ok or (message == "no rows" and name in MAY_BE_EMPTY), message
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))

@@ -147,7 +147,7 @@ def fill_windows(
     return found
 
 
-def _search(rows: DataFrame, asks: DataFrame, shards: list[int], blocks: int, k: int, scale: int, same: bool, low: int, high: int) -> DataFrame:
+def _search(rows: DataFrame, asks: DataFrame, shards: range, blocks: int, k: int, scale: int, same: bool, low: int, high: int) -> DataFrame:
     """Tiles of ``asks`` (rid, label, x, dim, tops, hints) with ``shards`` of ``rows``: (anchor, slot, rid, vec_id, score).
 
     ``tops`` holds the score that each slot's window hangs on (none: one window without ends), ``hints`` scores that are known to be
@@ -155,8 +155,8 @@ def _search(rows: DataFrame, asks: DataFrame, shards: list[int], blocks: int, k:
     """
     none = F.lit(None).cast("array<long>")
     grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    left = rows.filter(F.col("shard").isin(shards)).select("shard", grid, "dim", "rid", "vec_id", "label", "x", none.alias("tops"), none.alias("hints"), F.lit(False).alias("asks"))
-    every = F.explode(F.array(*[F.lit(s) for s in shards])).alias("shard")
+    left = rows.filter(F.col("shard").between(shards[0], shards[-1])).select("shard", grid, "dim", "rid", "vec_id", "label", "x", none.alias("tops"), none.alias("hints"), F.lit(False).alias("asks"))
+    every = F.explode(F.sequence(F.lit(shards[0]), F.lit(shards[-1]))).alias("shard")
     lane = F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block")
     right = asks.select(every, lane, "dim", "rid", "vec_id", "label", "x", "tops", "hints", F.lit(True).alias("asks"))
 
@@ -194,7 +194,7 @@ def _joined(rows: DataFrame, asks: DataFrame, shards: int, blocks: int, k: int,
     The first shard is joined alone. Where it fills a window, its k-th score is a threshold for the other shards: k rows reach
     it, so no row below it is needed. Windows that it leaves open fall to their lower end in every shard.
     """
-    first = written(_search(rows, asks.withColumn("hints", F.lit(None).cast("array<long>")), [0], blocks, k, **how), f"{name}-first")
+    first = written(_search(rows, asks.withColumn("hints", F.lit(None).cast("array<long>")), range(1), blocks, k, **how), f"{name}-first")
     if shards == 1:
         return written(_best(first, k), f"{name}-best")
     reached = _best(first, k).filter(F.col("rank") == k).select("anchor", "slot", "score")
@@ -202,7 +202,7 @@ def _joined(rows: DataFrame, asks: DataFrame, shards: int, blocks: int, k: int,
     held = reached.groupBy(F.col("anchor").alias("rid")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("known"))
     slots = F.sequence(F.lit(0), F.greatest(F.coalesce(F.size("tops"), F.lit(1)), F.lit(1)) - 1)
     hinted = asks.join(held, "rid", "left").withColumn("hints", F.transform(slots, lambda s: F.coalesce(F.col("known")[s], F.lit(UNKNOWN))))
-    rest = _search(rows, hinted, list(range(1, shards)), blocks, k, **how)
+    rest = _search(rows, hinted, range(1, shards), blocks, k, **how)
     return written(_best(first.unionByName(written(rest, f"{name}-rest")), k), f"{name}-best")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 WILMINK_K = -0.05
@@ -36,65 +37,93 @@ def _over(top: Column, bottom: Column) -> Column:
     return F.try_divide(top, bottom)
 
 
-def _milkbot(t: Column, p: Params) -> Column:
-    return p.a * (1 - F.exp(_over(p.c - t, p.b)) / 2) * F.exp(-p.d * t)
+class ColumnMath:
+    """The functions the models need, on Spark columns."""
 
+    exp, pow, ln = staticmethod(F.exp), staticmethod(F.pow), staticmethod(F.ln)
 
-def _wood(t: Column, p: Params) -> Column:
-    return p.a * F.pow(t, p.b) * F.exp(-p.c * t)
+    @staticmethod
+    def over(top: Column | float, bottom: Column) -> Column:
+        return _over(top if isinstance(top, Column) else F.lit(top), bottom)
 
 
-def _wilmink(t: Column, p: Params) -> Column:
-    return p.a + p.b * t + p.c * F.exp(p.k * t)
+class ArrayMath:
+    """The same functions on numpy matrices; ``null`` marks the cells that a division by zero or a logarithm leaves without a value."""
 
+    exp, pow = staticmethod(np.exp), staticmethod(np.power)
 
-def _ali_schaeffer(t: Column, p: Params) -> Column:
-    share = t / F.lit(float(HORIZON))
-    gap = F.ln(_over(F.lit(float(HORIZON)), t))
+    def __init__(self, shape: tuple[int, int]) -> None:
+        self.null = np.zeros(shape, bool)
+
+    def over(self, top, bottom):
+        zero = np.asarray(bottom) == 0
+        self.null |= zero
+        return top / np.where(zero, 1.0, bottom)
+
+    def ln(self, x):
+        self.null |= np.asarray(x) <= 0
+        return np.log(x)
+
+
+def _milkbot(t, p, m=ColumnMath):
+    return p.a * (1 - m.exp(m.over(p.c - t, p.b)) / 2) * m.exp(-p.d * t)
+
+
+def _wood(t, p, m=ColumnMath):
+    return p.a * m.pow(t, p.b) * m.exp(-p.c * t)
+
+
+def _wilmink(t, p, m=ColumnMath):
+    return p.a + p.b * t + p.c * m.exp(p.k * t)
+
+
+def _ali_schaeffer(t, p, m=ColumnMath):
+    share = t / float(HORIZON)
+    gap = m.ln(m.over(float(HORIZON), t))
     return p.a + p.b * share + p.c * share * share + p.d * gap + p.k * gap * gap
 
 
-def _fischer(t: Column, p: Params) -> Column:
-    return p.a - p.b * t - p.a * F.exp(-p.c * t)
+def _fischer(t, p, m=ColumnMath):
+    return p.a - p.b * t - p.a * m.exp(-p.c * t)
 
 
-def _brody(t: Column, p: Params) -> Column:
-    return p.a * F.exp(-p.k * t)
+def _brody(t, p, m=ColumnMath):
+    return p.a * m.exp(-p.k * t)
 
 
-def _sikka(t: Column, p: Params) -> Column:
-    return p.a * F.exp(p.b * t - p.c * t * t)
+def _sikka(t, p, m=ColumnMath):
+    return p.a * m.exp(p.b * t - p.c * t * t)
 
 
-def _nelder(t: Column, p: Params) -> Column:
-    return _over(t, p.a + p.b * t + p.c * t * t)
+def _nelder(t, p, m=ColumnMath):
+    return m.over(t, p.a + p.b * t + p.c * t * t)
 
 
-def _dhanoa(t: Column, p: Params) -> Column:
-    return p.a * F.pow(t, p.b * p.c) * F.exp(-p.c * t)
+def _dhanoa(t, p, m=ColumnMath):
+    return p.a * m.pow(t, p.b * p.c) * m.exp(-p.c * t)
 
 
-def _emmans(t: Column, p: Params) -> Column:
-    return p.a * F.exp(-F.exp(p.d - p.b * t)) * F.exp(-p.c * t)
+def _emmans(t, p, m=ColumnMath):
+    return p.a * m.exp(-m.exp(p.d - p.b * t)) * m.exp(-p.c * t)
 
 
-def _hayashi(t: Column, p: Params) -> Column:
-    return p.b * (F.exp(_over(-t, p.c)) - F.exp(_over(-t, p.a * p.c)))
+def _hayashi(t, p, m=ColumnMath):
+    return p.b * (m.exp(m.over(-t, p.c)) - m.exp(m.over(-t, p.a * p.c)))
 
 
-def _rook(t: Column, p: Params) -> Column:
-    return p.a * _over(F.lit(1.0), 1 + _over(p.b, p.c + t)) * F.exp(-p.d * t)
+def _rook(t, p, m=ColumnMath):
+    return p.a * m.over(1.0, 1 + m.over(p.b, p.c + t)) * m.exp(-p.d * t)
 
 
-def _dijkstra(t: Column, p: Params) -> Column:
-    return p.a * F.exp(_over(p.b * (1 - F.exp(-p.c * t)), p.c) - p.d * t)
+def _dijkstra(t, p, m=ColumnMath):
+    return p.a * m.exp(m.over(p.b * (1 - m.exp(-p.c * t)), p.c) - p.d * t)
 
 
-def _prasad(t: Column, p: Params) -> Column:
-    return p.a + p.b * t + p.c * t * t + _over(p.d, t)
+def _prasad(t, p, m=ColumnMath):
+    return p.a + p.b * t + p.c * t * t + m.over(p.d, t)
 
 
-MODELS: dict[str, Callable[[Column, Params], Column]] = {
+MODELS: dict[str, Callable] = {
     "milkbot": _milkbot,
     "wood": _wood,
     "wilmink": _wilmink,
@@ -119,6 +148,28 @@ def curve(model: str, t: Column, params: Params | None = None) -> Column:
     return MODELS[model](t.cast("double"), params or Params.of())
 
 
+#: The parameters each model uses; a null one of them leaves the row without yields.
+USED = {
+    "wilmink": "abck", "ali_schaeffer": "abcdk", "brody": "ak",
+    **dict.fromkeys(("milkbot", "emmans", "rook", "dijkstra", "prasad"), "abcd"),
+    **dict.fromkeys(("wood", "fischer", "sikka", "nelder", "dhanoa", "hayashi"), "abc"),
+}
+
+
+def curve_values(model: str, t: np.ndarray, params: dict[str, np.ndarray], null: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Yields of many rows of one model as a matrix (row, day), and which cells are null: the numpy twin of :func:`curve`.
+
+    ``t`` is one row of days, ``params`` columns, ``null`` marks rows without a parameter.
+    """
+    shape = (len(params["a"]), t.shape[1])
+    math = ArrayMath(shape)
+    with np.errstate(all="ignore"):
+        values = MODELS[model](t, Params(**params), math)
+    for name in USED[model]:
+        math.null |= null[name][:, None]
+    return np.broadcast_to(values, shape), math.null
+
+
 def brody_two_term(t: Column, a: Column, b: Column, k1: Column, k2: Column) -> Column:
     """The two-exponential Brody form ``a*exp(-k1*t) - b*exp(-k2*t)``."""
     return a * F.exp(-k1 * t) - b * F.exp(-k2 * t)

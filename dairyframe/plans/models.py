@@ -193,5 +193,5 @@ def shape(spark, sf_dir):
 def diff(spark, sf_dir):
     params = customer_params(spark, sf_dir)
     shifted = params.withColumn("a", F.col("a") * 1.05)
-    out = ch.array_diff(ch.daily_arrays(params), ch.daily_arrays(shifted), keys=["curve_id"])
+    out = ch.array_diff(params, shifted, keys=["curve_id"])
     return out.select("curve_id", F.round("max_diff", 4).alias("max_diff"), F.round("mean_diff", 4).alias("mean_diff"))

@@ -8,7 +8,7 @@ Every step is fixed arithmetic, so SQL can repeat a fit (``plans.fit_sql``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,8 @@ FLAT = 1e-10
 EDGE = 1e-6
 #: Decimals of steps of the search parameters (in logarithms) and of residual sums (shares of the squared yields) that decide.
 PLACES, DECIDES = 7, 12
-CELLS = 400_000
+#: Candidate cells of the coarse grid worked on at a time, and records that take their steps together.
+CELLS, RECORDS = 60_000, 16_000
 
 
 @dataclass
@@ -40,6 +41,8 @@ class Days:
     starts: np.ndarray
     row: np.ndarray
     source: np.ndarray | None = None
+    #: The records among those of the whole run.
+    at: np.ndarray | slice = slice(None)
 
     def take(self, which: np.ndarray) -> "Days":
         """The records of the given lactations (ascending), renumbered from 0."""
@@ -50,7 +53,7 @@ class Days:
         keep = wanted[self.row]
         lengths = np.diff(np.append(self.starts, len(self.t)))[which]
         starts = np.cumsum(lengths) - lengths
-        return Days(self.t[keep], self.w[keep], self.y[keep], starts, np.repeat(np.arange(len(which)), lengths), which)
+        return Days(self.t[keep], self.w[keep], self.y[keep], starts, np.repeat(np.arange(len(which)), lengths), which, np.flatnonzero(keep))
 
     def total(self, per_record: np.ndarray) -> np.ndarray:
         return np.add.reduceat(per_record, self.starts, axis=0)
@@ -70,21 +73,51 @@ def _clip_ratio(top: np.ndarray, bottom: np.ndarray, lo, hi) -> np.ndarray:
     return np.clip(ratio, lo, hi)
 
 
-def _one_linear(days: Days, g: np.ndarray, lo: float, hi: float):
+class Grid:
+    """The curve on the distinct days of a batch for candidates that all lactations share, and which of those days each record has.
+
+    A coarse grid is the same for every lactation, so its exponentials are taken once per day, not once per record.
+    """
+
+    def __init__(self, t: np.ndarray, shape: Callable, theta: np.ndarray) -> None:
+        self.days, self.place = np.unique(t, return_inverse=True)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            self.u, self.v = shape(self.days[:, None], theta[None])
+            self.uu = self.u * self.u
+            if self.v is not None:
+                self.uv, self.vv = self.u * self.v, self.v * self.v
+
+    def sums(self, days: Days) -> list[np.ndarray]:
+        at = self.place[days.at]
+        w, wy = days.w[:, None], (days.w * days.y)[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            if self.v is None:
+                return [days.total(w * self.uu[at]), days.total(wy * self.u[at])]
+            squares = [days.total(w * x[at]) for x in (self.uu, self.uv, self.vv)]
+            return [*squares, days.total(wy * self.u[at]), days.total(wy * self.v[at])]
+
+
+def _one_linear(days: Days, g: np.ndarray | None, lo: float, hi: float, sums: Sequence[np.ndarray] | None, residuals: bool):
     w, y = days.w[:, None], days.y[:, None]
-    a = _clip_ratio(days.total(w * y * g), days.total(w * g * g), lo, hi)
+    gg, gy = sums or (days.total(w * g * g), days.total(w * y * g))
+    a = _clip_ratio(gy, gg, lo, hi)
+    if not residuals:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return days.total(w * y * y) - 2 * a * gy + a * a * gg, (a,), None
     residual = np.sqrt(w) * (y - a[days.row] * g)
     return days.total(residual * residual), (a,), residual
 
 
-def _two_linear(days: Days, u: np.ndarray, v: np.ndarray, candidates: Callable):
+def _two_linear(days: Days, u: np.ndarray | None, v: np.ndarray | None, candidates: Callable, sums: Sequence[np.ndarray] | None, residuals: bool):
     """Smallest residual over the candidate (p, q) pairs built from the normal equations.
 
-    Candidates are compared by the same sums, one number per lactation; only the chosen pair is laid out over the records.
+    Candidates are compared by the same sums, one number per lactation; only the chosen pair is laid out over the records, and only
+    where ``residuals`` are wanted.
     """
     w, y = days.w[:, None], days.y[:, None]
-    wu, wv = w * u, w * v
-    sums = [days.total(x) for x in (wu * u, wu * v, wv * v, wu * y, wv * y)]
+    if sums is None:
+        wu, wv = w * u, w * v
+        sums = [days.total(x) for x in (wu * u, wu * v, wv * v, wu * y, wv * y)]
     uu, uv, vv, uy, vy = sums
     yy = days.total(w * y * y)
     best = chosen = None
@@ -99,6 +132,8 @@ def _two_linear(days: Days, u: np.ndarray, v: np.ndarray, candidates: Callable):
         best = np.where(better, sse, best)
         chosen = tuple(np.where(better, new, old) for new, old in zip((p, q), chosen))
     p, q = (np.where(np.isfinite(best), x, 0.0) for x in chosen)
+    if not residuals:
+        return best, (p, q), None
     residual = np.sqrt(w) * (y - p[days.row] * u - q[days.row] * v)
     return np.where(np.isfinite(best), days.total(residual * residual), np.inf), (p, q), residual
 
@@ -109,18 +144,36 @@ def _free(uu, uv, vv, uy, vy):
         return (uy * vv - vy * uv) / det, (uu * vy - uv * uy) / det
 
 
-def wood(days: Days, theta: np.ndarray, bounds: Bounds):
-    b, c = theta[..., 0][days.row], theta[..., 1][days.row]
+def _wood_shape(t: np.ndarray, theta: np.ndarray):
     with np.errstate(divide="ignore"):
-        g = np.exp(b * np.log(days.t)[:, None] - c * days.t[:, None])
-    sse, (a,), residual = _one_linear(days, g, *bounds.linear[0])
+        return np.exp(theta[..., 0] * np.log(t) - theta[..., 1] * t), None
+
+
+def _fischer_shape(t: np.ndarray, theta: np.ndarray):
+    u = 1 - np.exp(-theta[..., 0] * t)
+    return u, np.broadcast_to(-t, u.shape)
+
+
+def _milkbot_shape(t: np.ndarray, theta: np.ndarray):
+    u = np.exp(-theta[..., 1] * t)
+    return u, -np.exp(-t / theta[..., 0]) * u
+
+
+def _laid_out(shape: Callable, days: Days, theta: np.ndarray, grid: Grid | None):
+    """u, v and no sums, or no curves and the sums of a grid."""
+    if grid is not None:
+        return None, None, grid.sums(days)
+    return *shape(days.t[:, None], theta[days.row]), None
+
+
+def wood(days: Days, theta: np.ndarray, bounds: Bounds, *, grid: Grid | None = None, residuals: bool = True):
+    g, _, sums = _laid_out(_wood_shape, days, theta, grid)
+    sse, (a,), residual = _one_linear(days, g, *bounds.linear[0], sums, residuals)
     return sse, np.stack([a, theta[..., 0], theta[..., 1]], axis=-1), residual
 
 
-def fischer(days: Days, theta: np.ndarray, bounds: Bounds):
-    c = theta[..., 0][days.row]
-    u = 1 - np.exp(-c * days.t[:, None])
-    v = np.broadcast_to(-days.t[:, None], u.shape)
+def fischer(days: Days, theta: np.ndarray, bounds: Bounds, *, grid: Grid | None = None, residuals: bool = True):
+    u, v, sums = _laid_out(_fischer_shape, days, theta, grid)
     (alo, ahi), (blo, bhi) = bounds.linear
 
     def candidates(uu, uv, vv, uy, vy):
@@ -133,16 +186,16 @@ def fischer(days: Days, theta: np.ndarray, bounds: Bounds):
             fixed = np.full_like(uu, edge)
             yield _clip_ratio(uy - edge * uv, uu, alo, ahi), fixed, True
 
-    sse, (a, b), residual = _two_linear(days, u, v, candidates)
+    sse, (a, b), residual = _two_linear(days, u, v, candidates, sums, residuals)
     return sse, np.stack([a, b, theta[..., 0]], axis=-1), residual
 
 
-def milkbot(days: Days, theta: np.ndarray, bounds: Bounds, scale: np.ndarray | None = None):
+def milkbot(
+    days: Days, theta: np.ndarray, bounds: Bounds, scale: np.ndarray | None = None, *, grid: Grid | None = None, residuals: bool = True
+):
     """a*exp(-d*t) - q*exp(-t/b - d*t) with q = a*exp(c/b)/2; the bounds on c make q/a a range."""
     b, d = theta[..., 0], theta[..., 1]
-    t = days.t[:, None]
-    u = np.exp(-d[days.row] * t)
-    v = -np.exp(-t / b[days.row]) * u
+    u, v, sums = _laid_out(_milkbot_shape, days, theta, grid)
     (alo, ahi), (clo, chi) = bounds.linear
     if scale is not None:
         factor = scale if days.source is None else scale[days.source]
@@ -160,12 +213,17 @@ def milkbot(days: Days, theta: np.ndarray, bounds: Bounds, scale: np.ndarray | N
                 p = _clip_ratio(uy + r * vy, uu + 2 * r * uv + r * r * vv, alo, ahi)
             yield p, p * r, np.isfinite(p * r)
 
-    sse, (p, q), residual = _two_linear(days, u, v, candidates)
+    sse, (p, q), residual = _two_linear(days, u, v, candidates, sums, residuals)
+    if not residuals:
+        return sse, None, None
     with np.errstate(divide="ignore", invalid="ignore"):
         c = np.clip(b * np.log(2 * q / p), clo, chi)
     return sse, np.stack([p, b, c, d], axis=-1), residual
 
 
+SHAPES = {wood: _wood_shape, fischer: _fischer_shape, milkbot: _milkbot_shape}
+
+
 def _axis_grid(size: int, dims: int) -> np.ndarray:
     """All points of a size**dims grid over [-1, 1]**dims."""
     steps = np.linspace(-1.0, 1.0, size)
@@ -179,7 +237,19 @@ def _least(sse: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.argmin(np.round(np.where(np.isnan(share), np.inf, share), DECIDES), axis=1)
 
 
-def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best_of(solve: Callable, days: Days, theta: np.ndarray, bounds: Bounds, size: np.ndarray, grid: Grid | None = None):
+    """The best candidate of each lactation: its place in ``theta``, residual sum and parameters.
+
+    Candidates are compared by their normal equations; residuals are taken for the best one only.
+    """
+    rows = np.arange(len(days.starts))
+    pick = _least(solve(days, np.exp(theta), bounds, grid=grid, residuals=False)[0], size)
+    at = theta[rows, pick]
+    sse, found, _ = solve(days, np.exp(at)[:, None, :], bounds)
+    return at, sse[:, 0], found[:, 0]
+
+
+def search(solve: Callable, days: Days, bounds: Bounds, shape: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best parameters, residual sum and convergence flag per lactation.
 
     The nonlinear parameters start at the best point of a coarse grid over their ranges (in log
@@ -190,12 +260,17 @@ def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.
     lo = np.log([b[0] for b in bounds.search])
     hi = np.log([b[1] for b in bounds.search])
     dims, n = len(lo), len(days.starts)
-    grid = (lo + hi) / 2 + _axis_grid(COARSE, dims) * (hi - lo) / 2
-    theta = np.broadcast_to(grid, (n, *grid.shape))
-    sse, found, _ = solve(days, np.exp(theta), bounds)
+    points = (lo + hi) / 2 + _axis_grid(COARSE, dims) * (hi - lo) / 2
     size = days.total(days.w * days.y * days.y)
-    rows, pick = np.arange(n), _least(sse, size)
-    best, params, at = sse[rows, pick], found[rows, pick], theta[rows, pick]
+    grid = Grid(days.t, shape, np.exp(points))
+    rows, parts, first = np.arange(n), [], 0
+    ends = np.append(days.starts[1:], len(days.t))
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, days.starts[first] + CELLS // len(points), side="right")))
+        part = days.take(rows[first:last])
+        parts.append(_best_of(solve, part, np.broadcast_to(points, (last - first, *points.shape)), bounds, size[first:last], grid))
+        first = last
+    at, best, params = (np.concatenate(x) for x in zip(*parts))
     active = rows
     for _ in range(ROUNDS):
         part = days.take(active)
@@ -217,13 +292,11 @@ def search(solve: Callable, days: Days, bounds: Bounds) -> tuple[np.ndarray, np.
         step = -np.linalg.solve(damped, np.broadcast_to(gradient[:, None, :, None], (*damped.shape[:3], 1)))[..., 0]
         step = np.clip(np.nan_to_num(step), -1.0, 1.0)[:, :, None, :] * LENGTHS[:, None]
         theta = np.clip(here[:, None, :] + np.round(step.reshape(len(active), -1, dims), PLACES), lo, hi)
-        sse, found, _ = solve(part, np.exp(theta), bounds)
-        rows, pick = np.arange(len(active)), _least(sse, size[active])
-        gain = best[active] - sse[rows, pick]
+        there, sse, found = _best_of(solve, part, theta, bounds, size[active])
+        gain = best[active] - sse
         less = gain > EXACT * size[active]
         moved = active[less]
-        best[moved], params[moved] = sse[rows, pick][less], found[rows, pick][less]
-        at[moved] = theta[rows, pick][less]
+        best[moved], params[moved], at[moved] = sse[less], found[less], there[less]
         active = active[gain > ENOUGH * best[active] + EXACT * size[active]]
         if not len(active):
             break
@@ -244,12 +317,11 @@ def fit_flagged(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.nda
     ``scale`` multiplies the limits of the first linear parameter per lactation.
     """
     offsets = np.asarray(offsets, dtype=np.int64)
-    width = max(COARSE ** len(bounds.search), 1)
     found: list[tuple] = []
     first = 0
     while first < len(offsets) - 1:
         last = first + 1
-        while last < len(offsets) - 1 and (offsets[last + 1] - offsets[first]) * width <= CELLS:
+        while last < len(offsets) - 1 and offsets[last + 1] - offsets[first] <= RECORDS:
             last += 1
         span = slice(offsets[first], offsets[last])
         starts = offsets[first:last] - offsets[first]
@@ -258,8 +330,8 @@ def fit_flagged(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.nda
         chosen = solve
         if scale is not None:
             top = scale[first:last]
-            chosen = lambda d, theta, b, top=top: solve(d, theta, b, top)
-        found.append(search(chosen, days, bounds))
+            chosen = lambda d, theta, b, top=top, **kw: solve(d, theta, b, top, **kw)
+        found.append(search(chosen, days, bounds, SHAPES[solve]))
         first = last
     return tuple(np.concatenate(parts) for parts in zip(*found))
 

@@ -225,3 +225,19 @@ def test_batch_of_all_fits_reads_the_input_once(testdays):
         one = {r.test_id: r for r in ch.calculate_characteristics(testdays(rows), m).collect()}
         for c in ch.CHARACTERISTICS:
             assert got[1, m][c] == pytest.approx(one[1][c], rel=1e-6), (m, c)
+
+
+def test_a_coarse_grid_is_worked_out_once_per_day(monkeypatch):
+    t, y = random_lactations(60, seed=8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in t])])
+    days = np.concatenate(t)
+    args = (bf.milkbot, offsets, days, np.ones(offsets[-1]), np.concatenate(y), fitting.BOUNDS["milkbot"])
+    want = bf.fit_flagged(*args)
+    cells = []
+    shape = bf.SHAPES[bf.milkbot]
+    monkeypatch.setitem(bf.SHAPES, bf.milkbot, lambda t, theta: cells.append(len(t) * theta.shape[-2]) or shape(t, theta))
+    monkeypatch.setattr(bf, "CELLS", 2_000)  # many runs share one grid
+    got = bf.fit_flagged(*args)
+    assert cells == [len(np.unique(days)) * bf.COARSE**2]
+    for a, b in zip(want, got):
+        assert np.allclose(a, b, rtol=1e-9)

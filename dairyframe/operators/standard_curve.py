@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dairyframe.functions.arrays import let
+from dairyframe.functions.daily import flat
+from dairyframe.functions.grid import filled_area, nearest_known, standard_values
 from dairyframe.operators import fitting
 from dairyframe.operators.yields import collapse_days
 
@@ -133,20 +134,6 @@ def _around(days: Column, g: Column) -> Column:
     return F.struct(_same(days, g).alias("e"), _before(days, g).alias("b"), _after(days, g).alias("a"))
 
 
-def _standard_value(days: Column, g: Column, curve: Column) -> Column:
-    """Interpolated yield of grid day g along the standard curve, null where it is not defined."""
-
-    def value(s: Column) -> Column:
-        exact, b, a = s["e"], s["b"], s["a"]
-        g1, g2, gi = _at(curve, b["day"]), _at(curve, a["day"]), _at(curve, g)
-        slope = ((a["first"] - b["first"]) - (g2 - g1)) / (a["day"] - b["day"])
-        between = gi + (slope * (g - b["day"]) + (b["first"] - g1))
-        inside = b.isNotNull() & a.isNotNull() & (a["day"] < HORIZON)
-        return F.when(exact.isNotNull(), exact["first"]).when(inside, between)
-
-    return let(_around(days, g), value)
-
-
 def _linear_value(days: Column, g: Column) -> Column:
     """Linear yield of grid day g inside the measured range, null outside."""
 
@@ -190,8 +177,8 @@ def interp_standard_curve(
     Measured grid days are copied; nothing outside the measured range, nor where the measured day to
     the right is at or beyond 305. The first record of a day counts.
     """
-    values = _doubles(curve)
-    return _on_grid(day_arrays(df, order=order), grid, lambda days, g: _standard_value(days, g, values))
+    rows = _with_values(day_arrays(df, order=order), curve, grid)
+    return _by_grid_day(rows, grid, "_v", "milk_kg")
 
 
 def interp_linear_all(df: DataFrame, *, grid: Sequence[int] = WIDE_GRID, order: str = "pos") -> DataFrame:
@@ -223,21 +210,26 @@ def _nearest(available: Column, g: Column) -> Column:
 
 def nearest_grid_days(df: DataFrame, curve: Sequence[float], *, grid: Sequence[int] = WIDE_GRID, order: str = "pos") -> DataFrame:
     """For each missing grid day the nearest available one: test_id, grid_day, nearest_day."""
-    grid_col = F.array(*[F.lit(g) for g in grid])
-    rows = _with_points(day_arrays(df, order=order), curve, grid).filter(F.size("points") > 0)
-    missing = F.filter(grid_col, lambda g: ~F.exists("points", lambda p: p["day"] == g))
-    pairs = F.transform(missing, lambda g: F.struct(g.alias("grid_day"), _nearest(F.col("points"), g)["day"].alias("nearest_day")))
-    return rows.select("test_id", F.inline(pairs))
+    rows = _with_values(day_arrays(df, order=order), curve, grid)
+    return _by_grid_day(rows.select("test_id", nearest_known(F.col("_v"), grid).alias("_n")), grid, "_n", "nearest_day")
+
+
+def _with_values(arrays: DataFrame, curve: Sequence[float], grid: Sequence[int]) -> DataFrame:
+    """Adds _v ARRAY<DOUBLE>: the interpolated yield of each grid day, null where there is none."""
+    return arrays.withColumn("_v", standard_values(F.col("days"), curve, grid))
+
+
+def _by_grid_day(rows: DataFrame, grid: Sequence[int], values: str, name: str) -> DataFrame:
+    """One row per lactation and grid day that has a value: test_id, grid_day and ``name``."""
+    points = F.arrays_zip(F.array(*[F.lit(int(g)) for g in grid]).alias("grid_day"), F.col(values).alias("value"))
+    long = rows.select("test_id", F.inline(points)).toDF("test_id", "grid_day", name)
+    return long.filter(F.col(name).isNotNull())
 
 
 def _with_points(arrays: DataFrame, curve: Sequence[float], grid: Sequence[int]) -> DataFrame:
     """Adds points ARRAY<STRUCT<day, y>>: the grid days that could be interpolated."""
-    values = _doubles(curve)
-    every = F.transform(
-        F.array(*[F.lit(g) for g in grid]),
-        lambda g: F.struct(g.alias("day"), _standard_value(F.col("days"), g, values).alias("y")),
-    )
-    return arrays.withColumn("points", F.filter(every, lambda p: p["y"].isNotNull()))
+    every = F.arrays_zip(F.array(*[F.lit(int(g)) for g in grid]).alias("day"), F.col("_v").alias("y"))
+    return _with_values(arrays, curve, grid).withColumn("points", F.filter(every, lambda p: p["y"].isNotNull())).drop("_v")
 
 
 def islc_yield(df: DataFrame, standard: Standard, *, order: str = "pos", max_dim: int = HORIZON) -> DataFrame:
@@ -250,31 +242,8 @@ def islc_yield(df: DataFrame, standard: Standard, *, order: str = "pos", max_dim
     grid = list(standard.grid)
     if 0 not in grid or HORIZON not in grid:
         raise ValueError("islc_yield needs the wide grid with days 0 and 305")
-    curve = _doubles(standard.curve)
-    slots = F.create_map(*[F.lit(x) for i, g in enumerate(grid) for x in (g, i)])
-    factor = F.array(*[_doubles(row) for row in standard.factor()])
-    rows = _with_points(day_arrays(df, order=order, max_dim=max_dim), standard.curve, grid)
-    measured = F.transform("days", lambda d: F.struct(d["day"].alias("day"), d["last"].alias("y")))
-    added = F.filter("points", lambda p: ~F.exists("days", lambda d: d["day"] == p["day"]))
-    rows = rows.withColumn("known", F.concat(measured, added))
-
-    def predict(g: Column) -> Column:
-        def from_nearest(near: Column) -> Column:
-            b = F.element_at(F.element_at(factor, slots[near["day"]] + 1), slots[g] + 1)
-            return _at(curve, g) + b * (near["y"] - _at(curve, near["day"]))
-
-        return let(_nearest(F.col("points"), g), from_nearest)
-
-    missing = F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: ~F.exists("known", lambda p: p["day"] == g))
-    filled = F.transform(missing, lambda g: F.struct(g.alias("day"), predict(g).alias("y")))
-    rows = rows.withColumn("line", F.array_sort(F.concat("known", filled)))
-    steps = F.zip_with(
-        F.slice("line", 1, F.size("line") - 1),
-        F.slice("line", 2, F.size("line") - 1),
-        lambda p, q: F.coalesce((q["day"] - p["day"]) * (p["y"] + q["y"]) / 2, F.lit(0.0)),
-    )
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, area: acc + area)
-    return rows.select("test_id", F.when(F.size("points") > 0, total).alias("yield_kg"))
+    rows = day_arrays(df, order=order, max_dim=max_dim)
+    return rows.select("test_id", filled_area(F.col("days"), standard.curve, grid, standard.factor()).alias("yield_kg"))
 
 
 def islc_original_yield(df: DataFrame, standard: Standard, *, order: str = "pos", max_dim: int = HORIZON) -> DataFrame:
@@ -381,8 +350,9 @@ def grid_moments(scaled: DataFrame, grid: Sequence[int]) -> DataFrame:
     Each Arrow batch yields one small matrix product per sum instead of pairs per lactation; the
     batches are then added up, grid x grid rows each.
     """
-    index = {g: i for i, g in enumerate(grid)}
     size = len(grid)
+    index = np.zeros(max(grid) + 1, dtype=np.int64)
+    index[list(grid)] = np.arange(size)
     names = ("n", "si", "sp", "sii", "spp", "sip")
 
     def moments(batches):
@@ -390,10 +360,11 @@ def grid_moments(scaled: DataFrame, grid: Sequence[int]) -> DataFrame:
         for batch in batches:
             z = np.zeros((len(batch), size))
             mask = np.zeros((len(batch), size))
-            rows = np.repeat(np.arange(len(batch)), [len(d) for d in batch["days"]])
+            day, _, lengths = flat(batch.column("days"))
+            rows = np.repeat(np.arange(len(batch)), lengths)
             if len(rows):
-                slots = np.fromiter((index[d] for d in np.concatenate(batch["days"].to_list())), dtype=int)
-                z[rows, slots] = np.concatenate(batch["z"].to_list())
+                slots = index[day.astype(np.int64)]
+                z[rows, slots] = flat(batch.column("z"))[0]
                 mask[rows, slots] = 1.0
             sums["n"] += mask.T @ mask
             sums["si"] += z.T @ mask
@@ -403,11 +374,12 @@ def grid_moments(scaled: DataFrame, grid: Sequence[int]) -> DataFrame:
             sums["sip"] += z.T @ z
         i, p = np.divmod(np.arange(size * size), size)
         days = np.asarray(grid)
-        yield pd.DataFrame({"day_i": days[i], "day_p": days[p], **{n: v.ravel() for n, v in sums.items()}})
+        cells = {"day_i": days[i].astype(np.int32), "day_p": days[p].astype(np.int32), **{n: v.ravel() for n, v in sums.items()}}
+        yield pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in cells.items()})
 
     schema = "day_i int, day_p int, " + ", ".join(f"{n} double" for n in names)
-    flat = scaled.select(F.col("grid.grid_day").alias("days"), F.col("grid.z").alias("z"))
-    partial = flat.mapInPandas(moments, schema)
+    nested = scaled.select(F.col("grid.grid_day").alias("days"), F.col("grid.z").alias("z"))
+    partial = nested.mapInArrow(moments, schema)
     return partial.groupBy("day_i", "day_p").agg(*[F.sum(n).alias(n) for n in names])
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dairyframe.functions.daily import flat, spread_days
 from dairyframe.operators.alignment import dedup_day
 from dairyframe.operators.skew import join_lookup
 from dairyframe.session import scratch_path
@@ -34,11 +34,8 @@ def pivot_days(df: DataFrame) -> DataFrame:
     """
     inside = (F.col("dim") >= 1) & (F.col("dim") <= HORIZON)
     days = df.groupBy("test_id", F.when(inside, F.col("dim")).alias("dim")).agg(F.avg("milk_kg").alias("y"))
-    slots = F.map_from_entries(F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "y"))))
-    nested = days.groupBy("test_id").agg(slots.alias("m"))
-    return nested.select(
-        "test_id", F.transform(F.sequence(F.lit(1), F.lit(HORIZON)), lambda d: F.try_element_at("m", d)).alias("milk")
-    )
+    nested = days.groupBy("test_id").agg(F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "y"))).alias("m"))
+    return nested.select("test_id", spread_days(F.col("m.dim"), F.col("m.y"), HORIZON, missing=None).alias("milk"))
 
 
 def center_yields(df: DataFrame, curve: Sequence[float] | None = None) -> DataFrame:
@@ -59,11 +56,8 @@ def deviation_vector(df: DataFrame, curve: Sequence[float], *, order: str = "pos
     """Measured minus standard on measured days, 0 elsewhere: test_id, deviation ARRAY<DOUBLE> of 305."""
     last = dedup_day(_in_horizon(df), keep="last", order=order)
     entry = F.struct("dim", (F.col("milk_kg") - _expected(curve, F.col("dim"))).alias("v"))
-    nested = last.groupBy("test_id").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    filled = F.transform(
-        F.sequence(F.lit(1), F.lit(HORIZON)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))
-    )
-    return nested.select("test_id", filled.alias("deviation"))
+    nested = last.groupBy("test_id").agg(F.collect_list(F.when(F.col("milk_kg").isNotNull(), entry)).alias("m"))
+    return nested.select("test_id", spread_days(F.col("m.dim"), F.col("m.v"), HORIZON, missing=0.0).alias("deviation"))
 
 
 def ar1_matrix(df: DataFrame, rho: Column, *, size: int) -> DataFrame:
@@ -98,6 +92,17 @@ def _by_length(lengths: np.ndarray):
             yield int(n), np.flatnonzero(lengths == n)
 
 
+def _blocks(batch: pa.RecordBatch, cells: int):
+    """Lactations of a batch with equally many days together: days and values as matrices, in runs of about ``cells`` pairs of days."""
+    day, _, lengths = flat(batch.column("day"))
+    v, _, _ = flat(batch.column("v"))
+    starts, days = np.cumsum(lengths) - lengths, day.astype(np.int64)
+    for n, rows in _by_length(lengths):
+        for part in np.array_split(rows, max(1, len(rows) * n * n // cells + 1)):
+            at = starts[part][:, None] + np.arange(n)
+            yield days[at], v[at]
+
+
 def best_prediction_yield(
     df: DataFrame, curve: Sequence[float] | DataFrame, covariance: np.ndarray | DataFrame, *, order: str = "pos"
 ) -> DataFrame:
@@ -145,21 +150,18 @@ def ar1_log_likelihood(deviations: DataFrame, candidates: np.ndarray) -> DataFra
     def sums(batches):
         out = np.zeros((len(candidates), 3))
         for batch in batches:
-            lengths = batch["day"].map(len).to_numpy()
-            for n, rows in _by_length(lengths):
-                for part in np.array_split(rows, max(1, len(rows) * n * n // 1_000_000 + 1)):
-                    day = np.stack(batch["day"].iloc[part].to_list())
-                    v = np.stack(batch["v"].iloc[part].to_list())
-                    gap = np.abs(day[:, :, None] - day[:, None, :])
-                    for k, (ratio, rho) in enumerate(candidates):
-                        block = rho**gap + ratio * np.eye(n)
-                        lower = np.linalg.cholesky(block)
-                        z = np.linalg.solve(lower, v[:, :, None])[:, :, 0]
-                        log_det = 2 * np.log(np.einsum("rii->ri", lower)).sum()
-                        out[k] += (v.size, log_det, (z * z).sum())
-        yield pd.DataFrame({"candidate": np.arange(len(candidates)), "n": out[:, 0], "log_det": out[:, 1], "quadratic": out[:, 2]})
-
-    partial = deviations.select("day", "v").mapInPandas(sums, "candidate int, n double, log_det double, quadratic double")
+            for day, v in _blocks(batch, 200_000):
+                gap = np.abs(day[:, :, None] - day[:, None, :])
+                for k, (ratio, rho) in enumerate(candidates):
+                    block = (rho ** np.arange(HORIZON + 0.0))[gap] + ratio * np.eye(day.shape[1])
+                    lower = np.linalg.cholesky(block)
+                    z = np.linalg.solve(lower, v[:, :, None])[:, :, 0]
+                    log_det = 2 * np.log(np.einsum("rii->ri", lower)).sum()
+                    out[k] += (v.size, log_det, (z * z).sum())
+        cells = {"candidate": np.arange(len(candidates), dtype=np.int32), "n": out[:, 0], "log_det": out[:, 1], "quadratic": out[:, 2]}
+        yield pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in cells.items()})
+
+    partial = deviations.select("day", "v").mapInArrow(sums, "candidate int, n double, log_det double, quadratic double")
     return partial.groupBy("candidate").agg(*[F.sum(c).alias(c) for c in ("n", "log_det", "quadratic")])
 
 
@@ -181,28 +183,30 @@ def ar1_scores(deviations: DataFrame, b1: float, b2: float, rho: float) -> DataF
     def sums(batches):
         out = np.zeros(len(SCORES))
         for batch in batches:
-            lengths = batch["day"].map(len).to_numpy()
-            for n, rows in _by_length(lengths):
-                for part in np.array_split(rows, max(1, len(rows) * n * n // 500_000 + 1)):
-                    out += _scores(np.stack(batch["day"].iloc[part].to_list()), np.stack(batch["v"].iloc[part].to_list()), b1, b2, rho)
-        yield pd.DataFrame([out], columns=SCORES)
+            for day, v in _blocks(batch, 100_000):
+                out += _scores(day, v, b1, b2, rho)
+        yield pa.RecordBatch.from_pydict({name: pa.array([value]) for name, value in zip(SCORES, out)})
 
-    partial = deviations.select("day", "v").mapInPandas(sums, ", ".join(f"{c} double" for c in SCORES))
+    partial = deviations.select("day", "v").mapInArrow(sums, ", ".join(f"{c} double" for c in SCORES))
     return partial.agg(*[F.sum(c).alias(c) for c in SCORES])
 
 
 def _scores(day: np.ndarray, v: np.ndarray, b1: float, b2: float, rho: float) -> np.ndarray:
     n = day.shape[1]
-    gap = np.abs(day[:, :, None] - day[:, None, :]).astype(float)
-    fading = b2 * rho**gap
+    gap = np.abs(day[:, :, None] - day[:, None, :])
+    distance = np.arange(HORIZON + 0.0)
+    # gaps are whole days, so their powers come from a table
+    fading = (b2 * rho**distance)[gap]
     block = fading + b1 * np.eye(n)
     inverse = np.linalg.inv(block)
     alpha = (inverse @ v[:, :, None])[:, :, 0]
     loss = 0.5 * (np.linalg.slogdet(block)[1] + (v * alpha).sum(axis=1) + n * np.log(2 * np.pi))
-    slopes = [np.broadcast_to(b1 * np.eye(n), block.shape), fading, fading * gap * (1 - rho)]
-    turned = [inverse @ d for d in slopes]
-    gradient = [0.5 * (np.einsum("rii->r", t) - np.einsum("ri,rij,rj->r", alpha, d, alpha)).sum() for t, d in zip(turned, slopes)]
-    curvature = [0.5 * np.einsum("rij,rji->", turned[i], turned[j]) for i in range(3) for j in range(i, 3)]
+    slopes = [fading, fading * ((1 - rho) * distance)[gap]]
+    turned = [b1 * inverse, *[inverse @ d for d in slopes]]
+    pulled = [b1 * alpha, *[(d @ alpha[:, :, None])[:, :, 0] for d in slopes]]
+    gradient = [0.5 * (np.einsum("rii->r", t).sum() - (alpha * x).sum()) for t, x in zip(turned, pulled)]
+    across = [t.transpose(0, 2, 1) for t in turned]
+    curvature = [0.5 * (turned[i] * across[j]).sum() for i in range(3) for j in range(i, 3)]
     return np.array([v.size, loss.sum(), *gradient, *curvature])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dairyframe import datasets as ds
+from dairyframe.functions import daily
 from dairyframe.operators import alignment as al, best_prediction as bp, standard_curve as sc
 from dairyframe.plans import query
 
@@ -220,17 +221,12 @@ DIGEST = """test_id, count(*) AS filled, round(sum({v}), 4) AS total, round(sum(
 
 
 def _digest(df, column):
-    at = F.transform(F.sequence(F.lit(1), F.size(column)), lambda d: d * F.get(F.col(column), d - 1))
-
-    def total(values):
-        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
-
-    return df.select(
+    return df.select("test_id", F.size(column).alias("slots"), daily.tally(F.col(column)).alias("_t")).select(
         "test_id",
-        F.size(F.filter(column, lambda v: v.isNotNull())).alias("filled"),
-        F.size(column).alias("slots"),
-        F.round(total(F.col(column)), 4).alias("total"),
-        F.round(total(at), 3).alias("weighted"),
+        F.col("_t.seen").cast("int").alias("filled"),
+        "slots",
+        F.round("_t.total", 4).alias("total"),
+        F.round("_t.weighted", 3).alias("weighted"),
     )
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dairyframe.functions import arrays as ar, curves, daily
+from dairyframe.functions import arrays as ar, curves, daily, text as tx
 from dairyframe.operators import best_prediction as bp, characteristics as ch, features as ft, standard_curve as sc
 from dairyframe.plans import models
 
@@ -160,3 +160,12 @@ def test_covariance_passes_read_arrow_batches(testdays):
     for out in (bp.ar1_scores(deviations, 1.0, 1.0, 0.9), bp.ar1_log_likelihood(deviations, [(1.0, 0.9)])):
         assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
         assert out.first()["n"] == 12.0
+
+
+def test_a_cell_is_cleaned_once(spark):
+    cells = [" 1,5*", "12**", "1,234.5", "1.5e2", "n/a", "", None, " -3 ", "4*5", "1,2,3", "NaN", "7d", "8*\n"]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "id int, c string")
+    out = frame.select("id", tx.parse_number(F.col("c")).alias("v"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace(") == 1
+    got = {r.id: r.v for r in out.collect()}
+    assert [got[i] for i in range(len(cells))] == [1.5, 12.0, None, 150.0, None, None, None, -3.0, None, None, None, None, 8.0]

@@ -265,8 +265,9 @@ REPORT_UPLOAD = dict(
     ),
 )
 def report(spark, sf_dir):
-    dim = F.col("dim")
-    rows = ds.testday(spark, sf_dir).join(ds.cow(spark, sf_dir), "test_id")
+    dim, tasks = F.col("dim"), ds.lactation_tasks(spark, sf_dir)
+    # both sides are dealt alike, so the join and all groups by lactation above it share this one shuffle
+    rows = ds.testday(spark, sf_dir).repartition(tasks, "test_id").join(ds.cow(spark, sf_dir).repartition(tasks, "test_id"), "test_id")
     reason = F.when(dim % 29 == 0, "no_id").when(dim % 23 == 0, "no_milk")
     out = herd.upload_report(rows.select("test_id", "dim", "milk_kg", "pos", "parity", (dim % 19 != 0).alias("event_ok"), reason.alias("reject_reason")))
     reasons = [F.col("reasons")[c].alias(c) for c in ("no_id", "no_milk")]

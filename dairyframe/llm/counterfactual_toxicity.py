@@ -22,6 +22,8 @@ SAMPLE_BAGS = 20_000
 STANDOUT = 30.0
 LEAST_SHARE = 0.8
 LEAST_DOCUMENTS = 5
+#: Bits of the filter that holds back unlabelled texts before the join with the labels; its size does not depend on the data.
+FILTER_BITS = 1 << 25
 #: Neutral words for groups of people, one list per kind of group. Terms of a list stand in for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "woman", "man"),
@@ -145,13 +147,28 @@ def fit_bags(
     return Classifier({k: float(w[i]) for k, i in vocabulary.items() if w[i]}, bias)
 
 
+def maybe_labelled(texts: DataFrame, marks: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``texts`` whose id may be in ``marks``: all that are, and the few others whose hash meets one of theirs.
+
+    The join with the labels shuffles whole texts, so those that cannot have one are left where they are. Every task gets
+    ``filter_bits`` bits at most, however many labels there are; the join itself decides.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(filter_bits))
+    bits = marks.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    passed = (F.bitmap_bucket_number(place) == F.col("bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return texts.join(F.broadcast(bits), passed, "left_semi")
+
+
 def labelled_sentences(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(words, toxic, slot): the distinct words of every sentence of the labelled documents, equal sentences once per label.
 
     ``slot`` is one bit of 64 by the smallest id that holds the sentence.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    texts = maybe_labelled(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), marks)
     # labels grow with the documents, so they are joined alike at every size
     rows = texts.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", F.explode(F.split(F.lower("text"), "[.!?\n]+")).alias("sentence"))
     rows = rows.filter(F.col("sentence").rlike("\\p{L}")).groupBy("sentence", "toxic").agg(F.min("doc_id").alias("doc_id"))
@@ -194,7 +211,7 @@ def fit(
     and chosen by Spark over all these sentences, and so are the combinations of chosen words and identity terms. The driver gets the
     chosen words, which are the model, and about ``sample`` combinations with their counts, on which it fits the weights.
     """
-    sentences = written(labelled_sentences(docs, labels), "toxicity-sentences")
+    sentences = written(labelled_sentences(docs, labels), "toxicity-sentences", codec="zstd")
     totals = {r.toxic: r["count"] for r in sentences.groupBy("toxic").count().collect()}
     if not totals:
         return Classifier({}, -2.0)

@@ -1,8 +1,11 @@
 """Scores of the trained models against plain forward passes, and pipeline stages on odd tables."""
 
+import glob
 import math
+import os
 import random
 import re
+import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -123,6 +126,45 @@ def test_more_words_than_any_old_bound_carry_weight(spark):
     assert len(words) == 1200 and min(model.weights[w] for w in words) > 0
 
 
+def test_the_filter_loses_no_labelled_text(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    marks = spark.range(0, 20_000, 100).select(F.col("id").cast("int").alias("doc_id"))
+    for bits, most in ((tox.FILTER_BITS, 202), (1 << 12, 1500), (64, 20_000)):
+        passed = [r.doc_id for r in tox.maybe_labelled(docs, marks, bits).collect()]
+        assert len(passed) == len(set(passed)) <= most and set(passed) >= set(range(0, 20_000, 100))
+
+
+def test_labelled_sentences_equal_plain_code(spark):
+    texts = ["Bad one. bad two!", "bad one. Good", None, "", "good\n\nBAD one", "12. 3!", "Ärger x_y", "never labelled. bad one"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1, "second text of an id. good"), (None, "no id. bad one"), (-5, "bad one")]
+    labels = [(0, 1), (1, 0), (1, 1), (2, 1), (3, 0), (4, 0), (5, 1), (6, None), (6, 0), (None, 1), (-5, 1), (99, 1)]
+    toxic, want = {}, {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            toxic[i] = max(toxic.get(i, 0), y)
+    for i, t in docs:
+        for sentence in re.split(r"[.!?\n]+", (t or "").lower()):
+            if i in toxic and re.search(r"[^\W\d_]", sentence):
+                want[sentence, toxic[i]] = tuple(sorted(set(re.findall(r"[^\W\d_]+", sentence)))), toxic[i]
+    made = tox.labelled_sentences(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sorted((tuple(sorted(r.words)), r.toxic) for r in made.collect()) == sorted(want.values())
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert tox.labelled_sentences(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+
+
+def test_texts_without_a_label_are_not_shuffled(spark, tmp_path):
+    """8 MB of texts, one in a hundred labelled: what the join writes to disk is a small part of them."""
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.sha2(F.concat_ws(" ", k, "id").cast("binary"), 256)), " ")
+    spark.range(2000).select(F.col("id").alias("doc_id"), noise.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.range(0, 2000, 100).select(F.col("id").alias("doc_id"), (F.col("id") % 200 == 0).cast("int").alias("toxic"))
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())
+    files = lambda: {f for part in folder.split(",") for f in glob.glob(f"{part}/blockmgr-*/*/shuffle_*.data")}
+    before = files()
+    assert tox.labelled_sentences(docs, labels).count() == 20
+    assert 0 < sum(os.path.getsize(f) for f in files() - before) < 1_000_000
+
+
 def test_near_stage_keeps_unrelated_texts_of_one_id(spark):
     texts = [" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma", "delta")]
     rows = [(None, texts[0], "en", "a", 1), (None, texts[1], "en", "a", 1), (7, texts[2], "en", "a", 1), (7, texts[3], "en", "a", 1), (7, texts[3], "en", "a", 1), (8, texts[2] + " end", "en", "a", 1), (9, None, None, None, None), (9, "", None, None, None)]

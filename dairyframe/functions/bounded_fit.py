@@ -9,7 +9,7 @@ Every step is fixed arithmetic, so SQL can repeat a fit (``plans.fit_sql``).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -27,8 +27,12 @@ FLAT = 1e-10
 EDGE = 1e-6
 #: Decimals of steps of the search parameters (in logarithms) and of residual sums (shares of the squared yields) that decide.
 PLACES, DECIDES = 7, 12
-#: Candidate cells of the coarse grid worked on at a time, and records that take their steps together.
-CELLS, RECORDS = 60_000, 16_000
+#: Cells (record, candidate) worked on at a time, so that what is worked on stays near the processor.
+CELLS = 60_000
+#: Records of a run of lactations, or of one whose records lie on more than DISTINCT days, each of which takes a row of the grid.
+RECORDS, DISTINCT = 64_000, 4_000
+#: So few lactations of one width go on with those of the next.
+FEW = 150
 
 
 @dataclass
@@ -40,20 +44,6 @@ class Days:
     y: np.ndarray
     starts: np.ndarray
     row: np.ndarray
-    source: np.ndarray | None = None
-    #: The records among those of the whole run.
-    at: np.ndarray | slice = slice(None)
-
-    def take(self, which: np.ndarray) -> "Days":
-        """The records of the given lactations (ascending), renumbered from 0."""
-        if len(which) == len(self.starts):
-            return self
-        wanted = np.zeros(len(self.starts), dtype=bool)
-        wanted[which] = True
-        keep = wanted[self.row]
-        lengths = np.diff(np.append(self.starts, len(self.t)))[which]
-        starts = np.cumsum(lengths) - lengths
-        return Days(self.t[keep], self.w[keep], self.y[keep], starts, np.repeat(np.arange(len(which)), lengths), which, np.flatnonzero(keep))
 
     def total(self, per_record: np.ndarray) -> np.ndarray:
         return np.add.reduceat(per_record, self.starts, axis=0)
@@ -67,91 +57,123 @@ class Bounds:
     linear: tuple[tuple[float, float], ...]
 
 
+def _total(per_record: np.ndarray) -> np.ndarray:
+    """Sums over the first axis, the records of a lactation."""
+    return per_record[0] if len(per_record) == 1 else per_record[0] + per_record[1:].sum(axis=0)
+
+
 def _clip_ratio(top: np.ndarray, bottom: np.ndarray, lo, hi) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(bottom > 0, top / bottom, lo)
-    return np.clip(ratio, lo, hi)
+    ratio = top / bottom
+    none = ~(bottom > 0)
+    if none.any():
+        np.copyto(ratio, lo, where=none)
+    np.maximum(ratio, lo, out=ratio)
+    return np.minimum(ratio, hi, out=ratio)
 
 
 class Grid:
-    """The curve on the distinct days of a batch for candidates that all lactations share, and which of those days each record has.
+    """The curve on the distinct days of a run for candidates that all lactations share.
 
     A coarse grid is the same for every lactation, so its exponentials are taken once per day, not once per record.
     """
 
     def __init__(self, t: np.ndarray, shape: Callable, theta: np.ndarray) -> None:
-        self.days, self.place = np.unique(t, return_inverse=True)
-        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            self.u, self.v = shape(self.days[:, None], theta[None])
-            self.uu = self.u * self.u
-            if self.v is not None:
-                self.uv, self.vv = self.u * self.v, self.v * self.v
-
-    def sums(self, days: Days) -> list[np.ndarray]:
-        at = self.place[days.at]
-        w, wy = days.w[:, None], (days.w * days.y)[:, None]
-        with np.errstate(over="ignore", invalid="ignore"):
-            if self.v is None:
-                return [days.total(w * self.uu[at]), days.total(wy * self.u[at])]
-            squares = [days.total(w * x[at]) for x in (self.uu, self.uv, self.vv)]
-            return [*squares, days.total(wy * self.u[at]), days.total(wy * self.v[at])]
-
-
-def _one_linear(days: Days, g: np.ndarray | None, lo: float, hi: float, sums: Sequence[np.ndarray] | None, residuals: bool):
-    w, y = days.w[:, None], days.y[:, None]
-    gg, gy = sums or (days.total(w * g * g), days.total(w * y * g))
-    a = _clip_ratio(gy, gg, lo, hi)
-    if not residuals:
-        with np.errstate(over="ignore", invalid="ignore"):
-            return days.total(w * y * y) - 2 * a * gy + a * a * gg, (a,), None
-    residual = np.sqrt(w) * (y - a[days.row] * g)
-    return days.total(residual * residual), (a,), residual
-
-
-def _two_linear(days: Days, u: np.ndarray | None, v: np.ndarray | None, candidates: Callable, sums: Sequence[np.ndarray] | None, residuals: bool):
-    """Smallest residual over the candidate (p, q) pairs built from the normal equations.
-
-    Candidates are compared by the same sums, one number per lactation; only the chosen pair is laid out over the records, and only
-    where ``residuals`` are wanted.
+        self.days = np.unique(t)
+        u, v = shape(self.days[:, None], theta[None])
+        self.squares, self.plain = ([u * u], [u]) if v is None else ([u * u, u * v, v * v], [u, v])
+
+    def sums(self, t: np.ndarray, w: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """The sums of (record, lactation) arrays as (lactation, candidate) arrays."""
+        place = np.searchsorted(self.days, t)
+
+        def total(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            held = np.take(values, place, axis=0)
+            held *= weight[..., None]
+            return _total(held)
+
+        return [*(total(x, w) for x in self.squares), *(total(x, w * y) for x in self.plain)]
+
+
+def _sums(u: np.ndarray, v: np.ndarray | None, w: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Sums of products of the curve (record, candidate, lactation) with itself and with the yields."""
+    w, y = w[:, None], y[:, None]
+    held = w * u
+    if v is None:
+        return [_total(held * u), _total(w * y * u)]
+    uu = _total(held * u)
+    uv = _total(held * v)
+    held *= y
+    uy = _total(held)
+    held = w * v
+    vv = _total(held * v)
+    held *= y
+    return [uu, uv, vv, uy, _total(held)]
+
+
+def _smallest(sums: Sequence[np.ndarray], yy: np.ndarray, candidates: Callable, pair: bool):
+    """Smallest residual sum over the candidate (p, q) pairs built from the normal equations; with ``pair`` that p and q too.
+
+    Each candidate comes with its part of the residual sum besides ``yy`` and with whether it counts (True for all).
     """
-    w, y = days.w[:, None], days.y[:, None]
-    if sums is None:
-        wu, wv = w * u, w * v
-        sums = [days.total(x) for x in (wu * u, wu * v, wv * v, wu * y, wv * y)]
-    uu, uv, vv, uy, vy = sums
-    yy = days.total(w * y * y)
-    best = chosen = None
-    for p, q, valid in candidates(*sums):
-        with np.errstate(over="ignore", invalid="ignore"):
-            sse = yy - 2 * (p * uy + q * vy) + p * p * uu + 2 * p * q * uv + q * q * vv
-        sse = np.where(valid & np.isfinite(sse), sse, np.inf)
-        if best is None:
-            best, chosen = sse, (p, q)
-            continue
-        better = sse < best
-        best = np.where(better, sse, best)
-        chosen = tuple(np.where(better, new, old) for new, old in zip((p, q), chosen))
-    p, q = (np.where(np.isfinite(best), x, 0.0) for x in chosen)
-    if not residuals:
-        return best, (p, q), None
-    residual = np.sqrt(w) * (y - p[days.row] * u - q[days.row] * v)
-    return np.where(np.isfinite(best), days.total(residual * residual), np.inf), (p, q), residual
+    shape = sums[0].shape
+    best = np.full(shape, np.inf)
+    chosen = (np.zeros(shape), np.zeros(shape)) if pair else None
+    for p, q, sse, valid in candidates(*sums):
+        sse += yy
+        if valid is not True:
+            sse = np.where(valid, sse, np.inf)
+        if pair:
+            better = sse < best
+            chosen = tuple(np.where(better, found, kept) for kept, found in zip(chosen, (p, q)))
+        # a sum that is no number is passed over
+        np.fmin(best, sse, out=best)
+    return best, chosen
 
 
 def _free(uu, uv, vv, uy, vy):
-    det = uu * vv - uv * uv
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (uy * vv - vy * uv) / det, (uu * vy - uv * uy) / det
+    """p and q where both slopes vanish, and their part of the residual sum."""
+    det = uu * vv
+    det -= uv * uv
+    p = uy * vv
+    p -= vy * uv
+    p /= det
+    q = uu * vy
+    q -= uv * uy
+    q /= det
+    sse = p * uu
+    sse -= 2 * uy
+    held = 2 * q
+    held *= uv
+    sse += held
+    sse *= p
+    np.multiply(q, vv, out=held)
+    held -= 2 * vy
+    held *= q
+    sse += held
+    return p, q, sse
+
+
+def _beside(fixed, uu, uv, vv, uy, vy, lo, hi):
+    """The other parameter, in its limits, where that of ``u`` has the value ``fixed``, and the part of the residual sum."""
+    left = vy - fixed * uv
+    other = _clip_ratio(left, vv, lo, hi)
+    sse = other * vv
+    left *= 2
+    sse -= left
+    sse *= other
+    rest = fixed * uu
+    rest -= 2 * uy
+    rest *= fixed
+    sse += rest
+    return other, sse
 
 
 def _wood_shape(t: np.ndarray, theta: np.ndarray):
-    with np.errstate(divide="ignore"):
-        return np.exp(theta[..., 0] * np.log(t) - theta[..., 1] * t), None
+    return np.exp(theta[..., 0] * np.log(t) - theta[..., 1] * t), None
 
 
 def _fischer_shape(t: np.ndarray, theta: np.ndarray):
-    u = 1 - np.exp(-theta[..., 0] * t)
-    return u, np.broadcast_to(-t, u.shape)
+    return 1 - np.exp(-theta[..., 0] * t), -t
 
 
 def _milkbot_shape(t: np.ndarray, theta: np.ndarray):
@@ -159,69 +181,77 @@ def _milkbot_shape(t: np.ndarray, theta: np.ndarray):
     return u, -np.exp(-t / theta[..., 0]) * u
 
 
-def _laid_out(shape: Callable, days: Days, theta: np.ndarray, grid: Grid | None):
-    """u, v and no sums, or no curves and the sums of a grid."""
-    if grid is not None:
-        return None, None, grid.sums(days)
-    return *shape(days.t[:, None], theta[days.row]), None
-
-
-def wood(days: Days, theta: np.ndarray, bounds: Bounds, *, grid: Grid | None = None, residuals: bool = True):
-    g, _, sums = _laid_out(_wood_shape, days, theta, grid)
-    sse, (a,), residual = _one_linear(days, g, *bounds.linear[0], sums, residuals)
-    return sse, np.stack([a, theta[..., 0], theta[..., 1]], axis=-1), residual
+def wood(theta: np.ndarray, sums: Sequence[np.ndarray], yy: np.ndarray, bounds: Bounds, scale: np.ndarray | None = None, *, pair: bool = True):
+    """Residual sums of candidates ``theta`` from their sums, with ``pair`` their linear parameters too; ``scale`` is that of :func:`fit_flagged`."""
+    gg, gy = sums
+    a = _clip_ratio(gy, gg, *bounds.linear[0])
+    sse = a * gg
+    sse -= 2 * gy
+    sse *= a
+    sse += yy
+    return sse, (a,)
 
 
-def fischer(days: Days, theta: np.ndarray, bounds: Bounds, *, grid: Grid | None = None, residuals: bool = True):
-    u, v, sums = _laid_out(_fischer_shape, days, theta, grid)
+def fischer(theta: np.ndarray, sums: Sequence[np.ndarray], yy: np.ndarray, bounds: Bounds, scale: np.ndarray | None = None, *, pair: bool = True):
     (alo, ahi), (blo, bhi) = bounds.linear
 
     def candidates(uu, uv, vv, uy, vy):
-        p, q = _free(uu, uv, vv, uy, vy)
-        yield p, q, (p >= alo) & (p <= ahi) & (q >= blo) & (q <= bhi)
+        p, q, sse = _free(uu, uv, vv, uy, vy)
+        yield p, q, sse, (p >= alo) & (p <= ahi) & (q >= blo) & (q <= bhi)
         for edge in (alo, ahi):
-            fixed = np.full_like(uu, edge)
-            yield fixed, _clip_ratio(vy - edge * uv, vv, blo, bhi), True
+            q, sse = _beside(edge, uu, uv, vv, uy, vy, blo, bhi)
+            yield edge, q, sse, True
         for edge in (blo, bhi):
-            fixed = np.full_like(uu, edge)
-            yield _clip_ratio(uy - edge * uv, uu, alo, ahi), fixed, True
+            p, sse = _beside(edge, vv, uv, uu, vy, uy, alo, ahi)
+            yield p, edge, sse, True
 
-    sse, (a, b), residual = _two_linear(days, u, v, candidates, sums, residuals)
-    return sse, np.stack([a, b, theta[..., 0]], axis=-1), residual
+    return _smallest(sums, yy, candidates, pair)
 
 
-def milkbot(
-    days: Days, theta: np.ndarray, bounds: Bounds, scale: np.ndarray | None = None, *, grid: Grid | None = None, residuals: bool = True
-):
+def milkbot(theta: np.ndarray, sums: Sequence[np.ndarray], yy: np.ndarray, bounds: Bounds, scale: np.ndarray | None = None, *, pair: bool = True):
     """a*exp(-d*t) - q*exp(-t/b - d*t) with q = a*exp(c/b)/2; the bounds on c make q/a a range."""
-    b, d = theta[..., 0], theta[..., 1]
-    u, v, sums = _laid_out(_milkbot_shape, days, theta, grid)
+    b = theta[..., 0]
     (alo, ahi), (clo, chi) = bounds.linear
     if scale is not None:
-        factor = scale if days.source is None else scale[days.source]
-        alo, ahi = alo * factor[:, None], ahi * factor[:, None]
+        alo, ahi = alo * scale, ahi * scale
     rlo, rhi = np.exp(clo / b) / 2, np.exp(np.minimum(chi / b, 600.0)) / 2
 
     def candidates(uu, uv, vv, uy, vy):
-        p, q = _free(uu, uv, vv, uy, vy)
-        yield p, q, (p >= alo) & (p <= ahi) & (q >= p * rlo) & (q <= p * rhi)
+        p, q, sse = _free(uu, uv, vv, uy, vy)
+        yield p, q, sse, (p >= alo) & (p <= ahi) & (q >= p * rlo) & (q <= p * rhi)
         for edge in (alo, ahi):
-            fixed = np.broadcast_to(edge, uu.shape).astype(float)
-            yield fixed, _clip_ratio(vy - fixed * uv, vv, fixed * rlo, fixed * rhi), True
+            q, sse = _beside(edge, uu, uv, vv, uy, vy, edge * rlo, edge * rhi)
+            yield edge, q, sse, True
         for r in (rlo, rhi):
-            with np.errstate(over="ignore", invalid="ignore"):
-                p = _clip_ratio(uy + r * vy, uu + 2 * r * uv + r * r * vv, alo, ahi)
-            yield p, p * r, np.isfinite(p * r)
+            # q is r * p
+            left = r * vy
+            left += uy
+            both = (2 * r) * uv
+            both += uu
+            both += (r * r) * vv
+            p = _clip_ratio(left, both, alo, ahi)
+            both *= p
+            left *= 2
+            both -= left
+            both *= p
+            yield p, p * r if pair else None, both, True
 
-    sse, (p, q), residual = _two_linear(days, u, v, candidates, sums, residuals)
-    if not residuals:
-        return sse, None, None
-    with np.errstate(divide="ignore", invalid="ignore"):
-        c = np.clip(b * np.log(2 * q / p), clo, chi)
-    return sse, np.stack([p, b, c, d], axis=-1), residual
+    return _smallest(sums, yy, candidates, pair)
 
 
+def _plain_parameters(theta: np.ndarray, linear: np.ndarray, bounds: Bounds) -> list[np.ndarray]:
+    return [*linear, *theta]
+
+
+def _milkbot_parameters(theta: np.ndarray, linear: np.ndarray, bounds: Bounds) -> list[np.ndarray]:
+    (b, d), (p, q) = theta, linear
+    return [p, b, np.clip(b * np.log(2 * q / p), *bounds.linear[1]), d]
+
+
+#: The curves of each fit on the coarse grid and along the steps, and its parameters from the search parameters and the linear ones.
 SHAPES = {wood: _wood_shape, fischer: _fischer_shape, milkbot: _milkbot_shape}
+CURVES = dict(SHAPES)
+ORDERED = {wood: _plain_parameters, fischer: _plain_parameters, milkbot: _milkbot_parameters}
 
 
 def _axis_grid(size: int, dims: int) -> np.ndarray:
@@ -230,79 +260,208 @@ def _axis_grid(size: int, dims: int) -> np.ndarray:
     return np.stack([g.ravel() for g in np.meshgrid(*[steps] * dims, indexing="ij")], axis=-1)
 
 
-def _least(sse: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _least(sse: np.ndarray, size: np.ndarray, axis: int) -> np.ndarray:
     """The first candidate with the least residual sum; sums that differ by rounding only are equal."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = sse / np.where(size > 0, size, 1.0)[:, None]
-    return np.argmin(np.round(np.where(np.isnan(share), np.inf, share), DECIDES), axis=1)
+    share = sse / np.expand_dims(np.where(size > 0, size, 1.0), axis)
+    np.fmin(share, np.inf, out=share)
+    return np.argmin(np.round(share, DECIDES, out=share), axis=axis)
+
+
+def _residual(days: "Walk", u: np.ndarray, v: np.ndarray | None, linear: np.ndarray) -> np.ndarray:
+    """Weighted residuals of curves (record, candidate, lactation) with their linear parameters."""
+    gap = days.y[:, None] - linear[0] * u
+    if v is not None:
+        gap -= linear[1] * v
+    gap *= np.sqrt(days.w)[:, None]
+    return gap
 
 
-def _best_of(solve: Callable, days: Days, theta: np.ndarray, bounds: Bounds, size: np.ndarray, grid: Grid | None = None):
-    """The best candidate of each lactation: its place in ``theta``, residual sum and parameters.
+def _left(days: "Walk", u: np.ndarray, v: np.ndarray | None, linear: Sequence[np.ndarray], sse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted residuals and their sum of squares; infinite where no pair of linear parameters counts."""
+    residual = _residual(days, u, v, linear)
+    left = _total(residual * residual)
+    return residual, left if v is None else np.where(np.isfinite(sse), left, np.inf)
 
-    Candidates are compared by their normal equations; residuals are taken for the best one only.
+
+@dataclass
+class Walk:
+    """Lactations with equally many records that take their steps together; the last axis of every array is the lactation.
+
+    ``t``, ``w``, ``y`` and ``residual`` begin with the record, ``at`` (the search parameters in logarithms) and ``linear`` with the
+    parameter. A lactation with fewer records than others has its last day repeated with the weight 0, which adds nothing to any sum.
     """
-    rows = np.arange(len(days.starts))
-    pick = _least(solve(days, np.exp(theta), bounds, grid=grid, residuals=False)[0], size)
-    at = theta[rows, pick]
-    sse, found, _ = solve(days, np.exp(at)[:, None, :], bounds)
-    return at, sse[:, 0], found[:, 0]
+
+    t: np.ndarray
+    w: np.ndarray
+    y: np.ndarray
+    residual: np.ndarray
+    at: np.ndarray
+    linear: np.ndarray
+    best: np.ndarray
+    size: np.ndarray
+    scale: np.ndarray
+    rounds: np.ndarray
+    who: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.who)
+
+    def take(self, which: np.ndarray | slice) -> "Walk":
+        return Walk(**{name: x[..., which] for name, x in vars(self).items()})
+
+    def widened(self, width: int) -> "Walk":
+        more = width - len(self.t)
+        if not more:
+            return self
+        padded = {name: np.concatenate([x, np.zeros((more, len(self)))]) for name, x in vars(self).items() if name in ("w", "y", "residual")}
+        return replace(self, t=np.concatenate([self.t, np.repeat(self.t[-1:], more, axis=0)]), **padded)
+
+    @staticmethod
+    def joined(parts: Sequence["Walk"]) -> "Walk":
+        if len(parts) == 1:
+            return parts[0]
+        return Walk(**{name: np.concatenate([getattr(x, name) for x in parts], axis=-1) for name in vars(parts[0])})
 
 
-def search(solve: Callable, days: Days, bounds: Bounds, shape: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best parameters, residual sum and convergence flag per lactation.
+class Search:
+    """Best parameters of the lactations of a run.
 
     The nonlinear parameters start at the best point of a coarse grid over their ranges (in log
     coordinates) and then take damped Gauss-Newton steps, several dampings and step lengths tried at
     once, until no step improves. A parameter that presses against its bound is held there. A lactation that still
-    improves after ROUNDS steps is flagged as not converged.
+    improves after ROUNDS steps is flagged as not converged. What is found for one lactation does not depend on the others.
     """
-    lo = np.log([b[0] for b in bounds.search])
-    hi = np.log([b[1] for b in bounds.search])
-    dims, n = len(lo), len(days.starts)
-    points = (lo + hi) / 2 + _axis_grid(COARSE, dims) * (hi - lo) / 2
-    size = days.total(days.w * days.y * days.y)
-    grid = Grid(days.t, shape, np.exp(points))
-    rows, parts, first = np.arange(n), [], 0
-    ends = np.append(days.starts[1:], len(days.t))
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(ends, days.starts[first] + CELLS // len(points), side="right")))
-        part = days.take(rows[first:last])
-        parts.append(_best_of(solve, part, np.broadcast_to(points, (last - first, *points.shape)), bounds, size[first:last], grid))
-        first = last
-    at, best, params = (np.concatenate(x) for x in zip(*parts))
-    active = rows
-    for _ in range(ROUNDS):
-        part = days.take(active)
-        here = at[active]
-        sign = np.where(here + NUDGE > hi, -1.0, 1.0)
-        probes = here[:, None, :] + np.concatenate([np.zeros((1, dims)), NUDGE * np.eye(dims)])[None] * sign[:, None, :]
-        _, _, residual = solve(part, np.exp(probes), bounds)
-        base = residual[:, :1]
-        slope = (residual[:, 1:] - base) / (NUDGE * sign)[part.row]
-        gradient = part.total(slope * base)
-        curvature = part.total(slope[:, :, None] * slope[:, None, :])
+
+    def __init__(self, solve: Callable, bounds: Bounds, scaled: bool, n: int) -> None:
+        self.solve, self.bounds, self.scaled = solve, bounds, scaled
+        self.lo = np.log([b[0] for b in bounds.search])
+        self.hi = np.log([b[1] for b in bounds.search])
+        self.dims = len(self.lo)
+        self.at, self.linear = np.zeros((self.dims, n)), np.zeros((2 if len(bounds.linear) == 2 else 1, n))
+        self.best, self.converged = np.zeros(n), np.ones(n, bool)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parameters, residual sum and convergence of every lactation."""
+        return np.stack(ORDERED[self.solve](np.exp(self.at), self.linear, self.bounds), axis=-1), self.best, self.converged
+
+    def _solved(self, days: Walk, at: np.ndarray, *, pair: bool):
+        """Residual sums and linear parameters of candidates (parameter, candidate, lactation), their curves and sums."""
+        theta = np.exp(at).transpose(1, 2, 0)
+        u, v = CURVES[self.solve](days.t[:, None], theta)
+        sums = _sums(u, v, days.w, days.y)
+        return *self.solve(theta, sums, days.size, self.bounds, days.scale if self.scaled else None, pair=pair), u, v, sums
+
+    def start(self, grid: Grid, points: np.ndarray, t: np.ndarray, w: np.ndarray, y: np.ndarray, scale: np.ndarray, who: np.ndarray) -> Walk:
+        """Lactations (record, lactation) at their best point of the grid.
+
+        Candidates are compared by their normal equations; residuals are taken for the best one only.
+        """
+        size, theta = _total(w * y * y), np.exp(points)
+        at, step = np.empty((self.dims, len(who))), max(1, CELLS // (len(points) * len(t)))
+        for first in range(0, len(who), step):
+            part = slice(first, first + step)
+            sums = grid.sums(t[:, part], w[:, part], y[:, part])
+            sse, _ = self.solve(theta, sums, size[part, None], self.bounds, scale[part, None] if self.scaled else None, pair=False)
+            at[:, part] = points[_least(sse, size[part], 1)].T
+        walk = Walk(t, w, y, residual=t, at=at, linear=at, best=size, size=size, scale=scale, rounds=np.zeros(len(who), int), who=who)
+        sse, linear, u, v, _ = self._solved(walk, at[:, None], pair=True)
+        residual, best = _left(walk, u, v, linear, sse)
+        return replace(walk, residual=residual[:, 0], linear=np.concatenate(linear), best=best[0])
+
+    def go(self, walk: Walk, few: int) -> Walk:
+        """Steps until at most ``few`` lactations go on; these are returned."""
+        while len(walk) > few:
+            step = max(1, CELLS // (len(DAMPING) * len(LENGTHS) * len(walk.t)))
+            walk = Walk.joined([self._step(walk.take(slice(first, first + step))) for first in range(0, len(walk), step)])
+        return walk
+
+    def _step(self, walk: Walk) -> Walk:
+        """One step of every lactation; those that go on are returned, the others are done."""
+        lo, hi, n, dims = self.lo[:, None], self.hi[:, None], len(walk), self.dims
+        here, base = walk.at, walk.residual[:, None]
+        nudge = np.where(here + NUDGE > hi, -1.0, 1.0) * NUDGE
+        probes = np.repeat(here[:, None], dims, axis=1)
+        probes[range(dims), range(dims)] += nudge
+        _, linear, u, v, _ = self._solved(walk, probes, pair=True)
+        slope = _residual(walk, u, v, linear)
+        slope -= base
+        slope /= nudge
+        gradient = _total(slope * base)
+        curvature = np.stack([_total(slope * slope[:, i : i + 1]) for i in range(dims)])
         held = ((here <= lo + EDGE) & (gradient > 0)) | ((here >= hi - EDGE) & (gradient < 0))
-        held |= np.einsum("npp->np", curvature) <= FLAT * size[active][:, None]
+        held |= np.einsum("ppn->pn", curvature) <= FLAT * walk.size
         gradient = np.where(held, 0.0, gradient)
-        curvature = np.where(held[:, :, None] | held[:, None, :], 0.0, curvature)
-        diagonal = np.einsum("npp->np", curvature)
-        scale = diagonal + 1e-12 * diagonal.max(axis=1, keepdims=True) + 1e-300
-        damped = curvature[:, None] + DAMPING[None, :, None, None] * (scale[:, None, :, None] * np.eye(dims))
-        step = -np.linalg.solve(damped, np.broadcast_to(gradient[:, None, :, None], (*damped.shape[:3], 1)))[..., 0]
-        step = np.clip(np.nan_to_num(step), -1.0, 1.0)[:, :, None, :] * LENGTHS[:, None]
-        theta = np.clip(here[:, None, :] + np.round(step.reshape(len(active), -1, dims), PLACES), lo, hi)
-        there, sse, found = _best_of(solve, part, theta, bounds, size[active])
-        gain = best[active] - sse
-        less = gain > EXACT * size[active]
-        moved = active[less]
-        best[moved], params[moved], at[moved] = sse[less], found[less], there[less]
-        active = active[gain > ENOUGH * best[active] + EXACT * size[active]]
-        if not len(active):
-            break
-    converged = np.ones(n, bool)
-    converged[active] = False
-    return params, best, converged
+        curvature = np.where(held[:, None] | held[None], 0.0, curvature)
+        step = self._direction(gradient, curvature)
+        np.copyto(step, 0.0, where=np.isnan(step))
+        step = np.minimum(np.maximum(step, -1.0), 1.0)[:, :, None] * LENGTHS[:, None]
+        tried = here[:, None] + np.round(step.reshape(dims, -1, n), PLACES)
+        tried = np.minimum(np.maximum(tried, lo[:, None]), hi[:, None])
+        sse, _, u, v, sums = self._solved(walk, tried, pair=False)
+        # the linear parameters and the residuals are worked out for the best candidate only
+        pick, each = _least(sse, walk.size, 0), np.arange(n)
+        there, u, v = tried[:, pick, each], u[:, pick, each][:, None], v if v is None or v.shape[1] == 1 else v[:, pick, each][:, None]
+        sums = [x[pick if len(x) > 1 else 0, each][None] for x in sums]
+        sse, linear = self.solve(np.exp(there).T[None], sums, walk.size, self.bounds, walk.scale if self.scaled else None)
+        residual, left = _left(walk, u, v, linear, sse)
+        residual, left, linear = residual[:, 0], left[0], np.concatenate(linear)
+        gain = walk.best - left
+        less = gain > EXACT * walk.size
+        best, at, linear = np.where(less, left, walk.best), np.where(less, there, here), np.where(less, linear, walk.linear)
+        more = gain > ENOUGH * best + EXACT * walk.size
+        rounds = walk.rounds + 1
+        done = ~more | (rounds >= ROUNDS)
+        who = walk.who[done]
+        self.at[:, who], self.linear[:, who], self.best[who], self.converged[who] = at[:, done], linear[:, done], best[done], ~more[done]
+        return replace(walk, at=at, linear=linear, best=best, residual=residual, rounds=rounds).take(~done)
+
+    def _direction(self, gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+        """Steps (parameter, damping, lactation) of the damped normal equations."""
+        diagonal = np.einsum("ppn->pn", curvature)
+        scale = diagonal + 1e-12 * diagonal.max(axis=0) + 1e-300
+        if self.dims == 1:
+            return -gradient[:, None] / (curvature[0] + DAMPING[:, None] * scale)[None]
+        (h1, h2), both = gradient, curvature[0, 1]
+        m11, m22 = (curvature[i, i] + DAMPING[:, None] * scale[i] for i in (0, 1))
+        det = m11 * m22 - both * both
+        alone = both == 0
+        return np.stack([-np.where(alone, h / own, (h * other - rest * both) / det) for h, own, rest, other in ((h1, m11, h2, m22), (h2, m22, h1, m11))])
+
+
+def _widths(longest: int) -> np.ndarray:
+    """Numbers of records that lactations are padded to: each up to 8, then steps of a quarter."""
+    widths = [*range(1, 9)]
+    while widths[-1] < longest:
+        widths.append(-(-widths[-1] * 5 // 4))
+    return np.array(widths)
+
+
+def search(solve: Callable, days: Days, bounds: Bounds, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best parameters, residual sum and convergence flag per lactation of a run.
+
+    Lactations are laid out beside others with as many records, so that sums over records are sums of whole arrays.
+    """
+    n = len(days.starts)
+    run = Search(solve, bounds, scale is not None, n)
+    points = (run.lo + run.hi) / 2 + _axis_grid(COARSE, run.dims) * (run.hi - run.lo) / 2
+    lengths = np.diff(np.append(days.starts, len(days.t)))
+    widths = _widths(lengths.max())
+    width = widths[np.searchsorted(widths, lengths)]
+    scale = np.ones(n) if scale is None else scale
+    walk = None
+    with np.errstate(all="ignore"):
+        grid = Grid(days.t, SHAPES[solve], np.exp(points))
+        present = np.unique(width)
+        for i, wide in enumerate(present):
+            who = np.flatnonzero(width == wide)
+            record = np.arange(wide)[:, None]
+            real = record < lengths[who]
+            at = days.starts[who] + np.minimum(record, lengths[who] - 1)
+            new = run.start(grid, points, days.t[at], np.where(real, days.w[at], 0.0), np.where(real, days.y[at], 0.0), scale[who], who)
+            walk = new if walk is None or not len(walk) else Walk.joined([walk.widened(wide), new])
+            last = i + 1 == len(present) or present[i + 1] > 2 * wide
+            walk = run.go(walk, 0 if last else FEW)
+        return run.found()
 
 
 def fit_all(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.ndarray | None = None):
@@ -311,27 +470,22 @@ def fit_all(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.ndarray
 
 
 def fit_flagged(solve: Callable, offsets, t, w, y, bounds: Bounds, scale: np.ndarray | None = None):
-    """Fit every lactation of a batch, in runs small enough for the candidate arrays: parameters, residual sums, convergence.
+    """Fit every lactation of a batch, in runs small enough for the grid of their days: parameters, residual sums, convergence.
 
     ``offsets`` are list offsets into the flat day arrays; every lactation has at least one day.
     ``scale`` multiplies the limits of the first linear parameter per lactation.
     """
     offsets = np.asarray(offsets, dtype=np.int64)
+    records = RECORDS if len(np.unique(t)) <= DISTINCT else DISTINCT
     found: list[tuple] = []
     first = 0
     while first < len(offsets) - 1:
-        last = first + 1
-        while last < len(offsets) - 1 and offsets[last + 1] - offsets[first] <= RECORDS:
-            last += 1
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + records, side="right")) - 1)
         span = slice(offsets[first], offsets[last])
         starts = offsets[first:last] - offsets[first]
         lengths = np.diff(offsets[first : last + 1])
         days = Days(t[span], w[span], y[span], starts, np.repeat(np.arange(last - first), lengths))
-        chosen = solve
-        if scale is not None:
-            top = scale[first:last]
-            chosen = lambda d, theta, b, top=top, **kw: solve(d, theta, b, top, **kw)
-        found.append(search(chosen, days, bounds, SHAPES[solve]))
+        found.append(search(solve, days, bounds, None if scale is None else scale[first:last]))
         first = last
     return tuple(np.concatenate(parts) for parts in zip(*found))
 

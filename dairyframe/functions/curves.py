@@ -166,7 +166,8 @@ def curve_values(model: str, t: np.ndarray, params: dict[str, np.ndarray], null:
     with np.errstate(all="ignore"):
         values = MODELS[model](t, Params(**params), math)
     for name in USED[model]:
-        math.null |= null[name][:, None]
+        if null[name].any():
+            math.null |= null[name][:, None]
     return np.broadcast_to(values, shape), math.null
 
 
@@ -200,31 +201,38 @@ def peak_day_closed(model: str, params: Params | None = None) -> Column:
     return F.lit(None).cast("double")
 
 
-def lower_gamma(s: Column, x: Column) -> Column:
-    """Lower incomplete gamma by its power series, all terms positive for x >= 0.
+def lower_gammas(s: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower incomplete gamma by its power series, all terms positive for x >= 0, and which have none since a divisor is 0.
 
     Terms shrink once their index passes x, so the count follows x.
     """
-    terms = F.greatest(F.lit(30), F.ceil(x + 12 * F.sqrt(x) + 30)).cast("int")
-    first = _over(F.lit(1.0), s)
-    start = F.struct(first.alias("term"), first.alias("total"))
-    summed = F.aggregate(
-        F.sequence(F.lit(1), terms),
-        start,
-        lambda acc, i: F.struct(
-            _over(acc["term"] * x, s + i).alias("term"),
-            (acc["total"] + _over(acc["term"] * x, s + i)).alias("total"),
-        ),
-    )
-    return F.pow(x, s) * F.exp(-x) * summed["total"]
-
-
-def integral_closed(model: str, length: Column, params: Params | None = None) -> Column:
-    """Integral of the curve over days 0..length where a formula exists, else null."""
+    with np.errstate(all="ignore"):
+        terms = np.fmax(30, np.ceil(x + 12 * np.sqrt(x) + 30))
+        none = s == 0
+        term = 1 / s
+        total, i = term.copy(), 0
+        while i < terms.max(initial=0):
+            i += 1
+            below = s + i
+            none |= (below == 0) & (i <= terms)
+            term *= x
+            term /= below
+            total += term if i <= 30 else np.where(i <= terms, term, 0.0)
+            # a sum that has become infinite stays so
+            if i % 32 == 0 and not (np.isfinite(total) & (i < terms)).any():
+                break
+        return np.power(x, s) * np.exp(-x) * total, none
+
+
+def integral_closed(model: str, length: Column, params: Params | None = None, *, gamma: Column) -> Column:
+    """Integral of the curve over days 0..length where a formula exists, else null.
+
+    ``gamma`` holds the lower incomplete gamma function of b + 1 and c * length, which a wood curve needs (:func:`lower_gammas`).
+    """
     p = params or Params.of()
     T = length.cast("double")
     if model == "wood":
-        return p.a * F.pow(p.c, -(p.b + 1)) * lower_gamma(p.b + 1, p.c * T)
+        return p.a * F.pow(p.c, -(p.b + 1)) * gamma
     if model == "wilmink":
         return p.a * T + p.b * T * T / 2 + _over(p.c, p.k) * (F.exp(p.k * T) - 1)
     if model == "fischer":

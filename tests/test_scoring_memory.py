@@ -34,6 +34,20 @@ def test_one_python_worker_and_few_sequences_at_a_time(spark, level):
     assert got == sorted((tuple(r.m) for r in filled.collect()), key=repr) and len(got) == 1500
 
 
+def test_sums_and_shapes_are_those_of_the_predictions(spark):
+    nan = float("nan")
+    found = [[1.0, nan, 3.0], [5.0, 5.0, 1.0], None, [nan, nan, nan], [-1.0, -2.0, -4.0], [0.0, 0.0, 0.0]]
+    frame = spark.createDataFrame([(i, [float(i)]) for i in range(len(found))], "test_id bigint, milk array<double>").coalesce(1)
+    out = ft.score_batch(frame, lambda batch: [found[int(i)] for i in batch["test_id"]], level="rich", late_day=3)
+    assert out.columns == ["test_id", "predictions", "total_kg", "shape"]
+    got = {r.test_id: r for r in out.collect()}
+    assert got[0].predictions == [1.0, None, 3.0] and got[0].total_kg == 4.0 and tuple(got[0].shape) == (3.0, 3, None, 1.0)
+    assert got[1].total_kg == 11.0 and tuple(got[1].shape) == (5.0, 1, 11.0, 0.2)
+    assert got[2].predictions is None and got[2].total_kg is None and got[2].shape.cumulative_yield is None
+    assert got[3].total_kg == 0.0 and got[3].shape.peak_yield is None and got[3].shape.cumulative_yield is None
+    assert got[4].total_kg == -7.0 and tuple(got[4].shape) == (-1.0, 1, -7.0, 0.0) and got[5].total_kg == 0.0
+
+
 def test_an_unknown_imputation_fails(spark):
     frame = spark.createDataFrame([(1, [1.0, None], "guess")], "test_id int, milk array<double>, imputation_method string")
     with pytest.raises(PySparkException, match="unknown imputation method guess"):

@@ -58,8 +58,21 @@ class Bounds:
 
 
 def _total(per_record: np.ndarray) -> np.ndarray:
-    """Sums over the first axis, the records of a lactation."""
-    return per_record[0] if len(per_record) == 1 else per_record[0] + per_record[1:].sum(axis=0)
+    """Sums over the first axis, the records of a lactation, to the last bit as ``Days.total`` adds up to 129 of them."""
+    if len(per_record) == 1:
+        return per_record[0]
+    rest = len(per_record) - 1
+    if rest < 8:
+        return per_record[0] + per_record[1:].sum(axis=0)
+    last = 1 + rest // 8 * 8
+    eight = per_record[1:last].reshape(-1, 8, *per_record.shape[1:]).sum(axis=0)
+    four = eight[::2] + eight[1::2]
+    two = four[::2] + four[1::2]
+    total = two[0] + two[1]
+    for more in per_record[last:]:
+        total += more
+    total += per_record[0]
+    return total
 
 
 def _clip_ratio(top: np.ndarray, bottom: np.ndarray, lo, hi) -> np.ndarray:
@@ -111,15 +124,22 @@ def _sums(u: np.ndarray, v: np.ndarray | None, w: np.ndarray, y: np.ndarray) ->
 
 
 def _smallest(sums: Sequence[np.ndarray], yy: np.ndarray, candidates: Callable, pair: bool):
-    """Smallest residual sum over the candidate (p, q) pairs built from the normal equations; with ``pair`` that p and q too.
-
-    Each candidate comes with its part of the residual sum besides ``yy`` and with whether it counts (True for all).
-    """
-    shape = sums[0].shape
-    best = np.full(shape, np.inf)
-    chosen = (np.zeros(shape), np.zeros(shape)) if pair else None
-    for p, q, sse, valid in candidates(*sums):
-        sse += yy
+    """Smallest residual sum over the candidate (p, q) pairs built from the normal equations; with ``pair`` that p and q too."""
+    uu, uv, vv, uy, vy = sums
+    best = np.full(uu.shape, np.inf)
+    chosen = (np.zeros(uu.shape), np.zeros(uu.shape)) if pair else None
+    for p, q, valid in candidates(*sums):
+        sse = p * uy
+        sse += q * vy
+        sse *= 2
+        np.subtract(yy, sse, out=sse)
+        held = (p * p) * uu
+        sse += held
+        np.multiply(2 * p, q, out=held)
+        held *= uv
+        sse += held
+        np.multiply(q * q, vv, out=held)
+        sse += held
         if valid is not True:
             sse = np.where(valid, sse, np.inf)
         if pair:
@@ -131,7 +151,6 @@ def _smallest(sums: Sequence[np.ndarray], yy: np.ndarray, candidates: Callable,
 
 
 def _free(uu, uv, vv, uy, vy):
-    """p and q where both slopes vanish, and their part of the residual sum."""
     det = uu * vv
     det -= uv * uv
     p = uy * vv
@@ -140,32 +159,7 @@ def _free(uu, uv, vv, uy, vy):
     q = uu * vy
     q -= uv * uy
     q /= det
-    sse = p * uu
-    sse -= 2 * uy
-    held = 2 * q
-    held *= uv
-    sse += held
-    sse *= p
-    np.multiply(q, vv, out=held)
-    held -= 2 * vy
-    held *= q
-    sse += held
-    return p, q, sse
-
-
-def _beside(fixed, uu, uv, vv, uy, vy, lo, hi):
-    """The other parameter, in its limits, where that of ``u`` has the value ``fixed``, and the part of the residual sum."""
-    left = vy - fixed * uv
-    other = _clip_ratio(left, vv, lo, hi)
-    sse = other * vv
-    left *= 2
-    sse -= left
-    sse *= other
-    rest = fixed * uu
-    rest -= 2 * uy
-    rest *= fixed
-    sse += rest
-    return other, sse
+    return p, q
 
 
 def _wood_shape(t: np.ndarray, theta: np.ndarray):
@@ -185,25 +179,19 @@ def wood(theta: np.ndarray, sums: Sequence[np.ndarray], yy: np.ndarray, bounds:
     """Residual sums of candidates ``theta`` from their sums, with ``pair`` their linear parameters too; ``scale`` is that of :func:`fit_flagged`."""
     gg, gy = sums
     a = _clip_ratio(gy, gg, *bounds.linear[0])
-    sse = a * gg
-    sse -= 2 * gy
-    sse *= a
-    sse += yy
-    return sse, (a,)
+    return yy - 2 * a * gy + a * a * gg, (a,)
 
 
 def fischer(theta: np.ndarray, sums: Sequence[np.ndarray], yy: np.ndarray, bounds: Bounds, scale: np.ndarray | None = None, *, pair: bool = True):
     (alo, ahi), (blo, bhi) = bounds.linear
 
     def candidates(uu, uv, vv, uy, vy):
-        p, q, sse = _free(uu, uv, vv, uy, vy)
-        yield p, q, sse, (p >= alo) & (p <= ahi) & (q >= blo) & (q <= bhi)
+        p, q = _free(uu, uv, vv, uy, vy)
+        yield p, q, (p >= alo) & (p <= ahi) & (q >= blo) & (q <= bhi)
         for edge in (alo, ahi):
-            q, sse = _beside(edge, uu, uv, vv, uy, vy, blo, bhi)
-            yield edge, q, sse, True
+            yield edge, _clip_ratio(vy - edge * uv, vv, blo, bhi), True
         for edge in (blo, bhi):
-            p, sse = _beside(edge, vv, uv, uu, vy, uy, alo, ahi)
-            yield p, edge, sse, True
+            yield _clip_ratio(uy - edge * uv, uu, alo, ahi), edge, True
 
     return _smallest(sums, yy, candidates, pair)
 
@@ -217,24 +205,18 @@ def milkbot(theta: np.ndarray, sums: Sequence[np.ndarray], yy: np.ndarray, bound
     rlo, rhi = np.exp(clo / b) / 2, np.exp(np.minimum(chi / b, 600.0)) / 2
 
     def candidates(uu, uv, vv, uy, vy):
-        p, q, sse = _free(uu, uv, vv, uy, vy)
-        yield p, q, sse, (p >= alo) & (p <= ahi) & (q >= p * rlo) & (q <= p * rhi)
+        p, q = _free(uu, uv, vv, uy, vy)
+        yield p, q, (p >= alo) & (p <= ahi) & (q >= p * rlo) & (q <= p * rhi)
         for edge in (alo, ahi):
-            q, sse = _beside(edge, uu, uv, vv, uy, vy, edge * rlo, edge * rhi)
-            yield edge, q, sse, True
+            yield edge, _clip_ratio(vy - edge * uv, vv, edge * rlo, edge * rhi), True
         for r in (rlo, rhi):
-            # q is r * p
             left = r * vy
             left += uy
             both = (2 * r) * uv
             both += uu
             both += (r * r) * vv
             p = _clip_ratio(left, both, alo, ahi)
-            both *= p
-            left *= 2
-            both -= left
-            both *= p
-            yield p, p * r if pair else None, both, True
+            yield p, p * r, True
 
     return _smallest(sums, yy, candidates, pair)
 
@@ -419,23 +401,24 @@ class Search:
         """Steps (parameter, damping, lactation) of the damped normal equations."""
         diagonal = np.einsum("ppn->pn", curvature)
         scale = diagonal + 1e-12 * diagonal.max(axis=0) + 1e-300
-        if self.dims == 1:
-            return -gradient[:, None] / (curvature[0] + DAMPING[:, None] * scale)[None]
-        (h1, h2), both = gradient, curvature[0, 1]
-        m11, m22 = (curvature[i, i] + DAMPING[:, None] * scale[i] for i in (0, 1))
-        det = m11 * m22 - both * both
-        alone = both == 0
-        return np.stack([-np.where(alone, h / own, (h * other - rest * both) / det) for h, own, rest, other in ((h1, m11, h2, m22), (h2, m22, h1, m11))])
+        damped = curvature.transpose(2, 0, 1)[:, None] + DAMPING[:, None, None] * (scale.T[:, None, :, None] * np.eye(self.dims))
+        right = np.broadcast_to(gradient.T[:, None, :, None], (*damped.shape[:3], 1))
+        return -np.linalg.solve(damped, right)[..., 0].transpose(2, 1, 0)
 
 
 def _widths(longest: int) -> np.ndarray:
-    """Numbers of records that lactations are padded to: each up to 8, then steps of a quarter."""
-    widths = [*range(1, 9)]
+    """Numbers of records that lactations are padded to: each up to 8, then steps of two, four, eight and a quarter."""
+    widths = [*range(1, 9), 10, 12, 14, 16, 20, 24, 28, 32]
     while widths[-1] < longest:
-        widths.append(-(-widths[-1] * 5 // 4))
+        widths.append(widths[-1] + (8 if widths[-1] < 128 else widths[-1] // 4))
     return np.array(widths)
 
 
+def _alike(width: int, wider: int) -> bool:
+    """Whether sums over the records of lactations stay the same to the last bit when these are padded to ``wider``."""
+    return (wider - 1) // 8 == (width - 1) // 8 if width <= 128 else wider <= 2 * width
+
+
 def search(solve: Callable, days: Days, bounds: Bounds, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best parameters, residual sum and convergence flag per lactation of a run.
 
@@ -459,7 +442,7 @@ def search(solve: Callable, days: Days, bounds: Bounds, scale: np.ndarray | None
             at = days.starts[who] + np.minimum(record, lengths[who] - 1)
             new = run.start(grid, points, days.t[at], np.where(real, days.w[at], 0.0), np.where(real, days.y[at], 0.0), scale[who], who)
             walk = new if walk is None or not len(walk) else Walk.joined([walk.widened(wide), new])
-            last = i + 1 == len(present) or present[i + 1] > 2 * wide
+            last = i + 1 == len(present) or not _alike(wide, present[i + 1])
             walk = run.go(walk, 0 if last else FEW)
         return run.found()
 
